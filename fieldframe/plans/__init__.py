@@ -9,6 +9,7 @@ from fieldframe.plans import registry
 
 MODULES = (
     "climate_queries",
+    "clean_queries",
 )
 
 
