@@ -10,6 +10,7 @@ from fieldframe.plans import registry
 MODULES = (
     "climate_queries",
     "clean_queries",
+    "panel_queries",
 )
 
 
