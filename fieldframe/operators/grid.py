@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.functions.names import PROVINCE_SUFFIXES, normalize_province_name
+from fieldframe.functions.numbers import flag
+from fieldframe.operators.picks import pick_one
+from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
 
 
 def customer_points(customers: DataFrame) -> DataFrame:
@@ -39,3 +42,268 @@ def _plain_name(name: str) -> str:
     for suffix in PROVINCE_SUFFIXES:
         text = text.removesuffix(suffix)
     return text
+
+
+# --- zones as polygons ----------------------------------------------------------------------
+
+def zones_from_rings(zones: DataFrame, ring: str) -> DataFrame:
+    """Prepare zones for point tests: box and edge list per zone, computed once.
+
+    ``ring`` is a closed ``array<struct<x, y>>``.
+    """
+    r = F.col(ring)
+    edges = F.zip_with(
+        F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1),
+        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
+    )
+    low = lambda axis: F.array_min(F.transform(r, lambda p: p[axis]))
+    high = lambda axis: F.array_max(F.transform(r, lambda p: p[axis]))
+    return zones.withColumns({
+        "_edges": edges, "_x1": low("x"), "_x2": high("x"), "_y1": low("y"), "_y2": high("y"),
+    }).drop(ring)
+
+
+def _odd_crossings(x: Column, y: Column) -> Column:
+    """Ray casting: the point is inside when the ray to the right crosses the ring an odd number of times."""
+    crosses = lambda e: F.when(
+        ((e["y1"] > y) != (e["y2"] > y))
+        & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]),
+        F.lit(1),
+    ).otherwise(F.lit(0))
+    return F.aggregate("_edges", F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
+
+
+def _bins(low: str, high: str, size: float) -> Column:
+    return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
+
+
+def binned_zones(zones: DataFrame, size: float) -> DataFrame:
+    """One row per zone and grid bin that its box touches."""
+    return zones.withColumn("_bx", F.explode(_bins("_x1", "_x2", size))).withColumn(
+        "_by", F.explode(_bins("_y1", "_y2", size))
+    )
+
+
+def join_zones(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "lat", size: float = 1.0,
+               how: str = "inner", polygon: bool = True) -> DataFrame:
+    """Points to the zones that contain them.
+
+    The range condition becomes an equality on grid bins plus a residual test, so Spark
+    hashes on the bin instead of comparing every point with every zone, and a crowded
+    bin can be split by adaptive execution.
+    """
+    x, y = F.col(lon), F.col(lat)
+    left = points.withColumn("_bx", F.floor(x / size)).withColumn("_by", F.floor(y / size)).alias("p")
+    right = binned_zones(zones, size).alias("z")
+    test = x.between(F.col("_x1"), F.col("_x2")) & y.between(F.col("_y1"), F.col("_y2"))
+    if polygon:
+        test = test & _odd_crossings(x, y)
+    same = (F.col("p._bx") == F.col("z._bx")) & (F.col("p._by") == F.col("z._by"))
+    extra = [c for c in zones.columns if c not in ("_edges", "_x1", "_x2", "_y1", "_y2")]
+    return left.join(right, same & test, how).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"z.{c}") for c in extra])
+
+
+def point_in_zone(points: DataFrame, zones: DataFrame, key: str, zone_order: str, size: float = 1.0) -> DataFrame:
+    """Left join of points to polygons, the first zone per point; points outside stay unmatched."""
+    matched = join_zones(points, zones, size=size, how="left")
+    return pick_one(matched, [key], [F.col(zone_order).asc_nulls_last()])
+
+
+def zone_boxes(extents: DataFrame, zone: str) -> DataFrame:
+    """Union of many extents to one box per zone."""
+    return extents.groupBy(zone).agg(
+        F.min("x1").alias("_x1"), F.max("x2").alias("_x2"), F.min("y1").alias("_y1"), F.max("y2").alias("_y2")
+    )
+
+
+# --- grids over time ------------------------------------------------------------------------
+# A cell table has one row per source, variable, cell (lat, lon) and time. A cell without a
+# row at a time counts as missing there, yet stays a cell of its source.
+
+# Role -> (reducer, monthly name, growing-season name).
+CLIMATE_PLAN = {
+    "temperature": ("mean", "monthly_mean_temperature", "growing_season_mean_temperature"),
+    "tmax": ("max", "monthly_max_temperature", "growing_season_max_temperature"),
+    "precipitation": ("sum", "monthly_precipitation_sum", "growing_season_precipitation_sum"),
+    "soil_moisture": ("mean", "monthly_mean_soil_moisture", "growing_season_mean_soil_moisture"),
+    "evapotranspiration": ("sum", "monthly_evapotranspiration_sum", "growing_season_evapotranspiration_sum"),
+    "potential_evapotranspiration": (
+        "sum", "monthly_potential_evapotranspiration_sum", "growing_season_potential_evapotranspiration_sum"),
+    "drought_index": ("mean", "monthly_drought_index_mean", "growing_season_drought_index_mean"),
+}
+ADDITIVE_ROLES = ("precipitation", "evapotranspiration", "potential_evapotranspiration", "et")
+
+
+def _lookup(position: int) -> Column:
+    pairs = [F.lit(x) for role, plan in CLIMATE_PLAN.items() for x in (role, plan[position])]
+    return F.create_map(*pairs)
+
+
+def cell_counts(cells: DataFrame) -> DataFrame:
+    """Number of distinct cells per source."""
+    return cells.select("source", "lat", "lon").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("_cells"))
+
+
+def _spatial_mean(cells: DataFrame, period: Sequence[str]) -> DataFrame:
+    """Reduce each cell over the period, then average over cells.
+
+    Means and maxima average the cells that have data. A sum over nothing is 0, so sums
+    divide by all cells of the source.
+    """
+    known = cells.where(F.col("variable").isin(*CLIMATE_PLAN)).withColumn(
+        "_how", F.try_element_at(_lookup(0), F.col("variable"))
+    )
+    per_cell = known.groupBy("source", "variable", "_how", "lat", "lon", *period).agg(
+        F.avg("value").alias("_mean"), F.max("value").alias("_max"), F.sum("value").alias("_sum")
+    )
+    over = per_cell.groupBy("source", "variable", "_how", *period).agg(
+        F.avg("_mean").alias("_mean"), F.avg("_max").alias("_max"), F.sum("_sum").alias("_sum")
+    )
+    joined = over.join(cell_counts(cells), "source")
+    value = (
+        F.when(F.col("_how") == "mean", F.col("_mean"))
+        .when(F.col("_how") == "max", F.col("_max"))
+        .otherwise(F.coalesce("_sum", F.lit(0.0)) / F.col("_cells"))
+    )
+    return joined.select("source", "variable", "_how", *period, value.alias("value"))
+
+
+def monthly_climate(cells: DataFrame) -> DataFrame:
+    """Monthly value per source and variable; months without data between first and last are filled."""
+    month = F.trunc("time", "month")
+    known = cells.withColumn("_month", month)
+    values = _spatial_mean(known, ["_month"])
+    ends = known.groupBy("source").agg(F.min("_month").alias("_a"), F.max("_month").alias("_b"))
+    spine = ends.select("source", F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("_month"))
+    grid = values.select("source", "variable", "_how").distinct().join(spine, "source")
+    filled = grid.join(values.drop("_how"), ["source", "variable", "_month"], "left")
+    value = F.coalesce("value", F.when(F.col("_how") == "sum", F.lit(0.0)))
+    return filled.select(
+        "source", F.lit("monthly").alias("aggregation"), F.try_element_at(_lookup(1), F.col("variable")).alias("variable"),
+        F.year("_month").alias("year"), F.month("_month").alias("month"), value.alias("value"),
+    )
+
+
+def growing_season_climate(cells: DataFrame, months: Sequence[int]) -> DataFrame:
+    """Growing-season value per source, variable and year."""
+    season = cells.where(F.month("time").isin(*months)).withColumn("year", F.year("time"))
+    values = _spatial_mean(season, ["year"])
+    return values.select(
+        "source", F.lit("growing_season").alias("aggregation"),
+        F.try_element_at(_lookup(2), F.col("variable")).alias("variable"), "year", "value",
+    )
+
+
+def grid_extremes(cells: DataFrame, heat: str, dry: str, baseline: tuple[int, int], months: Sequence[int],
+                  heat_q: float = 0.90, drought_q: float = 0.10) -> DataFrame:
+    """Mean over cells of yearly counts of hot, very hot, dry and compound days.
+
+    Thresholds belong to a cell and rest on its baseline season days, a bounded number.
+    """
+    season = cells.where(F.month("time").isin(*months) & F.col("variable").isin(heat, dry))
+    days = season.groupBy("source", "lat", "lon", "time").agg(
+        F.max(F.when(F.col("variable") == heat, F.col("value"))).alias("_t"),
+        F.max(F.when(F.col("variable") == dry, F.col("value"))).alias("_d"),
+    )
+    cell = Window.partitionBy("source", "lat", "lon")
+    inside = F.year("time").between(*baseline)
+    mark = lambda c, q: bounded_quantile(F.when(inside, F.col(c)), q).over(cell)
+    flagged = days.withColumns({
+        "_hot": flag(F.col("_t") > mark("_t", heat_q)), "_very": flag(F.col("_t") > mark("_t", 0.95)),
+        "_dry": flag(F.col("_d") < mark("_d", drought_q)),
+    })
+    totals = flagged.groupBy("source", F.year("time").alias("year")).agg(
+        F.sum("_hot").alias("hot_days"), F.sum("_very").alias("very_hot_days"), F.sum("_dry").alias("dry_days"),
+        F.sum(F.col("_hot") * F.col("_dry")).alias("compound_hot_dry_days"),
+    )
+    names = ["hot_days", "very_hot_days", "dry_days", "compound_hot_dry_days"]
+    out = totals.join(cell_counts(season), "source")
+    return out.unpivot(["source", "year", "_cells"], names, "variable", "_n").select(
+        "source", F.lit("extremes").alias("aggregation"), "variable", "year", (F.col("_n") / F.col("_cells")).alias("value")
+    )
+
+
+def remote_series(cells: DataFrame) -> DataFrame:
+    """Spatial mean per source, variable and time step."""
+    return cells.groupBy("source", "variable", "time").agg(F.avg("value").alias("value"))
+
+
+def remote_season(cells: DataFrame, months: Sequence[int], summed: Sequence[str] = ("et",)) -> DataFrame:
+    """Season value from the *spatial means*: sum for fluxes, mean otherwise."""
+    series = remote_series(cells.where(F.month("time").isin(*months)))
+    value = F.when(F.col("variable").isin(*summed), F.sum("value")).otherwise(F.avg("value"))
+    return series.groupBy("source", "variable", F.year("time").alias("year")).agg(value.alias("value"))
+
+
+def zone_season(cells: DataFrame, zone: str) -> DataFrame:
+    """Season value per zone, variable and year from cells that carry their zone.
+
+    Additive roles sum the spatial means over time, others average all cells and times.
+    Both come from one pass of per-time sums and counts.
+    """
+    steps = cells.groupBy(zone, "variable", F.year("time").alias("year"), "time").agg(
+        F.sum("value").alias("_s"), F.count("value").alias("_n")
+    )
+    return steps.groupBy(zone, "variable", "year").agg(
+        F.when(F.col("variable").isin(*ADDITIVE_ROLES), F.sum(F.try_divide("_s", "_n")))
+        .otherwise(F.try_divide(F.sum("_s"), F.sum("_n"))).alias("value")
+    ).where("value is not null")
+
+
+def zone_stats(cells: DataFrame, zone: str, value: str) -> DataFrame:
+    """Mean, median, extremes, population deviation and valid count per zone."""
+    valid = cells.where(F.col(value).isNotNull())
+    plain = valid.groupBy(zone).agg(
+        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("valid_pixel_count"),
+    )
+    return plain.join(exact_quantile(valid, [zone], value, 0.5, "median"), zone)
+
+
+def zonal_proxy(zones: DataFrame, cells: DataFrame, zone: str, production: bool, factor: float | None) -> DataFrame:
+    """Total (times factor) or mean of valid cells per zone; empty zones stay with count 0."""
+    valid = cells.where(F.col("value").isNotNull())
+    total, mean = F.sum("value"), F.avg("value")
+    if production:
+        measures = [total.alias("raw_proxy_value"), (total * (factor or 1.0)).alias("raw_proxy_production_ton"),
+                    F.max(F.lit(None).cast("double")).alias("raw_proxy_yield")]
+    else:
+        measures = [mean.alias("raw_proxy_value"), F.max(F.lit(None).cast("double")).alias("raw_proxy_production_ton"),
+                    mean.alias("raw_proxy_yield")]
+    found = valid.groupBy(zone).agg(F.count(F.lit(1)).alias("_n"), *measures)
+    return zones.join(found, zone, "left").withColumn("valid_pixel_count", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def zonal_crop_area(zones: DataFrame, cells: DataFrame, zone: str, zone_area: str) -> DataFrame:
+    """Crop area and share per zone from mask cells ``(zone, source, mask, area_ha)``."""
+    per_source = cells.groupBy(zone, "source").agg(
+        F.coalesce(F.sum(F.when(F.col("mask") > 0, F.col("area_ha"))), F.lit(0.0)).alias("_a")
+    )
+    found = per_source.groupBy(zone).agg(
+        F.sum("_a").alias("_area"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("_a") > 0, F.col("source")))), ";").alias("_files"),
+    )
+    out = zones.join(found, zone, "left")
+    area = F.coalesce("_area", F.lit(0.0))
+    share = F.when(F.col(zone_area) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), area / F.col(zone_area))))
+    status = F.when(area > 0, "zonal_stats").when(F.col("_area").isNotNull(), "no_crop_observed").otherwise("no_overlap")
+    return out.withColumns({
+        "crop_area_ha": area, "crop_fraction": share, "source_file": F.coalesce("_files", F.lit("")), "status": status,
+    }).drop("_area", "_files")
+
+
+def zonal_doy_mean(cells: DataFrame, zone: str) -> DataFrame:
+    """Mean day of year per zone and stage over valid cells (above 0, at most 366)."""
+    valid = cells.where((F.col("value") > 0) & (F.col("value") <= 366))
+    return valid.groupBy(zone, "stage").agg(F.avg("value").alias("mean_doy"))
+
+
+def daily_zone_reduce(temperature_k: DataFrame, precipitation: DataFrame, zone: str) -> DataFrame:
+    """Zone means per day of two cell collections, temperature turned to Celsius."""
+    none = F.lit(None).cast("double")
+    both = temperature_k.select(zone, "date", (F.col("value") - 273.15).alias("_t"), none.alias("_p")).unionByName(
+        precipitation.select(zone, "date", none.alias("_t"), F.col("value").alias("_p"))
+    )
+    return both.groupBy(zone, "date").agg(F.avg("_t").alias("tmax_c"), F.avg("_p").alias("precipitation_mm")).withColumns(
+        {"year": F.year("date"), "month": F.month("date")}
+    )

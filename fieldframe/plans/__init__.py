@@ -11,6 +11,7 @@ MODULES = (
     "climate_queries",
     "clean_queries",
     "panel_queries",
+    "grid_queries",
 )
 
 
