@@ -12,6 +12,7 @@ MODULES = (
     "clean_queries",
     "panel_queries",
     "grid_queries",
+    "model_queries",
 )
 
 
