@@ -13,6 +13,7 @@ MODULES = (
     "panel_queries",
     "grid_queries",
     "model_queries",
+    "quality_queries",
 )
 
 
