@@ -52,3 +52,13 @@ def code_list(c: Column | str) -> Column:
 
 def looks_like_code(c: Column) -> Column:
     return F.trim(c).rlike(r"^\d{6,12}$")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Plain column references are inlined by the optimizer wherever they occur, also inside
+    array lambdas, where they would be computed again for every element; a lambda
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,6 +14,8 @@ MODULES = (
     "grid_queries",
     "model_queries",
     "quality_queries",
+    "crosswalk_queries",
+    "text_queries",
 )
 
 
