@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
 from fieldframe.functions.numbers import as_number, flag, is_true
 from fieldframe.operators.picks import pick_one
 from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
@@ -228,7 +229,7 @@ def treated_by_rows(panel: DataFrame, intensity: str, out: str, q: float = 0.75)
     """Treated when the repeated intensity reaches its quantile over all *rows*."""
     cut = exact_quantile(panel, [], intensity, q, "_cut")
     value = F.when(F.col("_cut").isNotNull(), flag(F.col(intensity) >= F.col("_cut")))
-    return panel.join(F.broadcast(cut), how="left").withColumn(out, value).drop("_cut")
+    return with_row(panel, cut).withColumn(out, value).drop("_cut")
 
 
 def chd_panel(daily: DataFrame, settings: ChdSettings) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
 from fieldframe.functions.numbers import as_number, flag, row_mean, row_sum
 from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
 
@@ -149,10 +150,9 @@ def zscore_within_unit(df: DataFrame, unit: str, value: str, out: str) -> DataFr
     units, years = per(unit, "u"), per("year", "y")
     usable = units.agg((F.count("_u_std") > 0).alias("_usable"))  # one row
     score = lambda tag: (F.col(value) - F.col(f"_{tag}_mean")) / F.col(f"_{tag}_std")
+    joined = df.join(units, unit, "left").join(years, "year", "left")
     return (
-        df.join(units, unit, "left")
-        .join(years, "year", "left")
-        .crossJoin(F.broadcast(usable))
+        with_row(joined, usable)
         .withColumn(out, F.when(F.col("_usable"), score("u")).otherwise(score("y")))
         .drop("_u_mean", "_u_std", "_y_mean", "_y_std", "_usable")
     )
@@ -166,7 +166,7 @@ def exposure_index(df: DataFrame, heat: Sequence[str], dry: Sequence[str]) -> Da
         F.col(c).isNotNull(),
         F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0),
     )
-    out = df.crossJoin(F.broadcast(stats))  # exactly one row
+    out = with_row(df, stats)
     hot = row_mean(*[score(c) for c in heat]) if heat else F.lit(None).cast("double")
     parched = row_mean(*[-score(c) for c in dry]) if dry else F.lit(None).cast("double")
     out = out.withColumns({"heat_component": hot, "drought_component": parched})
@@ -219,7 +219,7 @@ def threshold_chd(df: DataFrame, unit: str | None, tmax: str, precip: str, basel
         out = out.join(groups, unit, "left")
     else:
         out = out.withColumns({"_hot": F.lit(None).cast("double"), "_dry": F.lit(None).cast("double")})
-    out = out.join(F.broadcast(hot_all), how="left").join(F.broadcast(dry_all), how="left")
+    out = with_row(with_row(out, hot_all), dry_all)
     both = (F.col(tmax) > F.coalesce("_hot", "_hot_all")) & (F.col(precip) < F.coalesce("_dry", "_dry_all"))
     return out.withColumn("chd_annual", flag(both)).drop("_hot", "_dry", "_hot_all", "_dry_all")
 

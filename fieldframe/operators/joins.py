@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
 from fieldframe.operators.picks import pick_one
 from fieldframe.operators.quantiles import exact_quantile
 
@@ -15,7 +16,7 @@ def join_thresholds(df: DataFrame, baseline: DataFrame, groups: DataFrame, keys:
                     q: float, out: str) -> DataFrame:
     """Group threshold on every row; groups without one take the global baseline quantile."""
     whole = exact_quantile(baseline, [], value, q, "_all")
-    joined = df.join(groups, list(keys), "left").join(F.broadcast(whole), how="left")
+    joined = with_row(df.join(groups, list(keys), "left"), whole)
     return joined.withColumn(out, F.coalesce(out, "_all")).drop("_all")
 
 
@@ -110,13 +111,15 @@ def align_names(left: DataFrame, right: DataFrame, name: str, normal, first: Seq
     )
 
 
-def broadcast_to_units(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """Regional rows repeated for every unit.
+def broadcast_to_units(rows: DataFrame, units: DataFrame, slices: int = 32) -> DataFrame:
+    """Regional rows repeated for every unit; the product is the wanted result.
 
-    The result *is* the product (regional rows times units); the sides are two annual
-    tables and Spark sends the smaller one around only when its size allows.
+    Rows are hashed into slices and every unit is present once per slice, so the product
+    is an ordinary equality join of even slices: neither side has to fit one task.
     """
-    return units.crossJoin(rows)
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)))
+    spread = units.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint"))
+    return spread.join(sliced, "_slice").drop("_slice")
 
 
 def coverage_grid(units: DataFrame, low: int, high: int, panel: DataFrame, unit: str) -> DataFrame:

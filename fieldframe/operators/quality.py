@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
 from fieldframe.functions.names import normalize_province_name
 from fieldframe.functions.numbers import as_number
 from fieldframe.functions.text import TRUE_TOKENS_WITH_PASS, blank, clean_text, contains_any, first_rule, truthy
@@ -65,7 +66,8 @@ def yield_coverage(df: DataFrame, expected: tuple[int, int] | None = None) -> Da
         F.count(F.lit(1)).alias("_rows"), F.sum(sum(outside[1:], outside[0])).alias("_odd"),
         any_of(have(YIELD_COLUMNS)).alias("_y"), any_of(have(AREA_COLUMNS)).alias("_a"),
         any_of(have(("production_ton",))).alias("_p"),
-    ).crossJoin(F.broadcast(span))
+    )
+    cells = with_row(cells, span)
     named = F.col("admin_key") != ""
     units = cells.groupBy(*groups, "admin_key", "_lo", "_hi").agg(
         F.count_if(within()).alias("_in"), F.count("year").alias("_pairs"), F.count(F.lit(1)).alias("_cells"),
@@ -275,7 +277,7 @@ def exposure_diagnosis(model: DataFrame, annual_exposure: str, sources: Mapping[
         side = frame.agg(
             F.count(F.lit(1)).alias(f"{label}_rows"), F.min("year").cast("int").alias(f"{label}_lo"), F.max("year").cast("int").alias(f"{label}_hi")
         )
-        out = out.crossJoin(F.broadcast(side))  # one row each
+        out = with_row(out, side)
     rate = F.coalesce(F.try_divide(F.col("filled"), F.col("rows")), F.lit(0.0))
     nothing = F.lit(True)
     for label in sources:
@@ -347,7 +349,7 @@ def model_scope(facts: DataFrame, gates: DataFrame) -> DataFrame:
     outcome_rate, has_event. Missing coverage fails every gate.
     """
     state = gates.agg(F.bool_and("passed").alias("gate_passed"), F.count_if(~F.col("passed")).alias("gates_missing"))
-    f = facts.crossJoin(F.broadcast(state))
+    f = with_row(facts, state)
     ok = lambda c, limit: F.coalesce(F.col(c) >= limit, F.lit(False))
     full = ok("coverage_rate", 0.75) & ok("exposure_rate", 0.75) & ok("outcome_rate", 0.75)
     event_only = F.col("has_event") & ~ok("exposure_rate", 0.75)
@@ -475,7 +477,7 @@ def sample_flow(model: DataFrame, outcome: str, exposures: Sequence[str], annual
         F.count_distinct("province").alias("province_count"), F.count(outcome).alias("yield_anomaly_nonmissing"),
         F.count_if(some).alias("exposure_nonmissing"), F.count_if(some & F.col(outcome).isNotNull()).alias("complete_model_rows"))
     right = annual.agg(F.count(F.lit(1)).alias("annual_exposure_rows"), F.count(annual_value).alias("annual_exposure_nonmissing"))
-    return tall(left.crossJoin(F.broadcast(right)))
+    return tall(with_row(left, right))
 
 
 def artifact_summary(tables: Mapping[str, DataFrame], coverage: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -556,7 +558,7 @@ def model_audit(coefficients: DataFrame, events: DataFrame, panel: DataFrame, un
     row = c
     for side in (e, p, pretrend_test(events), treatment_counts(panel, unit, event_year, flag_column),
                  missing_year_share(panel, *window, watched).select("share")):
-        row = row.crossJoin(F.broadcast(side))  # one row each
+        row = with_row(row, side)
     number = lambda x: F.coalesce(F.round(F.col(x), 6).cast("decimal(20,6)").cast("string"), F.lit(""))
     whole = lambda x: F.coalesce(F.col(x).cast("bigint").cast("string"), F.lit(""))
     check = lambda name, ok: (name, F.when(ok, "passed").otherwise("failed"), F.initcap(ok.cast("string")), F.lit(""))

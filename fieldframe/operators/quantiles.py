@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
+
 # Rank error of the sketch is 1/ACCURACY of the group.
 ACCURACY = 100_000
 
@@ -44,7 +46,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
         condition = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
         joined = work.join(brackets, condition)
     else:
-        joined = work.crossJoin(F.broadcast(brackets))  # exactly one row
+        joined = with_row(work, brackets)
     counted = (
         joined.where("_v <= _hi")
         .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
 from fieldframe.functions.numbers import flag
 from fieldframe.functions.text import TRUE_TOKENS_WITH_PASS, truthy
 from fieldframe.operators.quantiles import exact_quantile
@@ -22,7 +23,7 @@ def assign_treatment(df: DataFrame, exposure: str, unit: str, event_year: int, q
         raise ValueError("quantile must be between 0 and 1")
     scores = unit_scores(df, exposure, unit, event_year)
     cut = exact_quantile(scores, [], "_score", q, "_cut")
-    joined = df.join(scores, unit, "left").join(F.broadcast(cut), how="left")
+    joined = with_row(df.join(scores, unit, "left"), cut)
     return joined.withColumn(out, flag(F.col("_score") >= F.col("_cut"))).drop("_score", "_cut")
 
 
@@ -49,7 +50,7 @@ def treatment_counts(df: DataFrame, unit: str, event_year: int, flag_column: str
     else:
         scores = event.groupBy(unit).agg(F.avg(score).alias("_score"))
         cut = exact_quantile(scores, [], "_score", 0.75, "_cut")
-        units = scores.join(F.broadcast(cut), how="left").withColumn("_t", flag(F.col("_score") >= F.col("_cut")))
+        units = with_row(scores, cut).withColumn("_t", flag(F.col("_score") >= F.col("_cut")))
     return units.agg(
         F.coalesce(F.sum("_t"), F.lit(0)).alias("treated"), F.count_if(F.col("_t") == 0).alias("control")
     )

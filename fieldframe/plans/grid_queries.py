@@ -70,7 +70,7 @@ def zone_bbox_range_join(spark, d):
 
 ROLES = ("tmax", "precipitation", "temperature", "soil_moisture")
 CELLS = f"""cells AS (SELECT l_returnflag AS source, {choose_sql(ROLES, 'l_linenumber')} AS variable, 24 + (l_suppkey * 11 % 110) / 10.0 AS lat,
-  105 + (l_suppkey * 37 % 180) / 10.0 AS lon, CAST(l_shipdate AS DATE) AS time, l_quantity AS value FROM lineitem
+  105 + (l_suppkey * 37 % 180) / 10.0 AS lon, CAST(l_shipdate AS DATE) AS time, l_quantity + (l_partkey % 97) / CAST(997.0 AS DOUBLE) AS value FROM lineitem
   WHERE NOT (month(l_shipdate) = 2 AND year(l_shipdate) = 1997))"""
 
 
@@ -81,7 +81,8 @@ def cells(spark, d):
     return I.table(spark, d, "lineitem").where(~gap).select(
         F.col("l_returnflag").alias("source"), choose(ROLES, F.col("l_linenumber")).alias("variable"),
         (F.lit(24.0) + (k * 11 % 110) / 10.0).alias("lat"), (F.lit(105.0) + (k * 37 % 180) / 10.0).alias("lon"),
-        F.to_date("l_shipdate").alias("time"), F.col("l_quantity").alias("value"))
+        F.to_date("l_shipdate").alias("time"),
+        (F.col("l_quantity") + (F.col("l_partkey") % 97) / F.lit(997.0)).alias("value"))
 
 
 N_CELLS = "nc AS (SELECT source, count(DISTINCT (lat, lon)) AS n FROM {src} GROUP BY source)"

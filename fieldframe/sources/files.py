@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldframe.operators.scalars import with_row
 from fieldframe.functions.names import map_province_name
 from fieldframe.functions.text import contains_any, first_rule
 from fieldframe.operators.picks import pick_one, pick_top
@@ -48,7 +49,7 @@ def file_catalog(files: DataFrame, suffixes: Sequence[str], ignored: Sequence[st
 def local_first(local: DataFrame, external: DataFrame) -> DataFrame:
     """Local files, or the external index when there is no local file (one row decides)."""
     some = local.limit(1).agg((F.count(F.lit(1)) > 0).alias("_local"))
-    rest = external.crossJoin(F.broadcast(some)).where("not _local").drop("_local")
+    rest = with_row(external, some).where("not _local").drop("_local")
     return local.unionByName(rest)
 
 
