@@ -118,7 +118,7 @@ def broadcast_to_units(rows: DataFrame, units: DataFrame, slices: int = 32) -> D
     is an ordinary equality join of even slices: neither side has to fit one task.
     """
     sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)))
-    spread = units.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint"))
+    spread = units.withColumn("_slice", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")))
     return spread.join(sliced, "_slice").drop("_slice")
 
 

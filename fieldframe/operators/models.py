@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldframe.session import materialize
 from fieldframe.operators.treatment import assign_treatment, event_study_terms, term_name
 
 
@@ -165,6 +166,7 @@ def fit_two_way_by(df: DataFrame, spec: str, outcome: str, terms: Sequence[str],
         F.col(spec).alias("_g"), F.trim(F.col(unit).cast("string")).alias("_u"), F.col(year).cast("int").alias("_y"),
         *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)],
     ).where("_u is not null and _u <> ''")
+    rows = materialize(rows, "fe-rows")  # read by every aggregate below
     years = sorted(r[0] for r in rows.select("_y").distinct().collect())  # one row per calendar year
     if not years:
         return {}
@@ -173,6 +175,7 @@ def fit_two_way_by(df: DataFrame, spec: str, outcome: str, terms: Sequence[str],
     units = rows.groupBy("_g", "_u").agg(
         F.count(F.lit(1)).alias("_n"), counts.alias("_counts"), *[F.avg(v).alias(f"{v}_m") for v in values]
     )
+    units = materialize(units, "fe-units")
     demeaned = rows.join(units.drop("_counts", "_n"), ["_g", "_u"]).select(
         "_g", "_y", *[(F.col(v) - F.col(f"{v}_m")).alias(v) for v in values], F.col("_v0").alias("_raw")
     )
