@@ -138,6 +138,9 @@ def zone_season_value(spark, d):
     return show(G.zone_season(G.join_zones(season, boxes(spark, d), polygon=False), "zone_id"), ["zone_id", "variable", "year"], ["value"])
 
 
+EXTENT = (105.0, 24.0, 115.8, 35.0)  # of the proxy and mask grids; eastern zones have no cell
+
+
 STATS = ("mean", "median", "min", "max", "std")
 
 
@@ -152,10 +155,10 @@ def zone_stats(spark, d):
 @query("zonal_proxy", with_sql(POINTS, INSIDE) + f"""
 SELECT p.zone_id, count(value) AS valid_pixel_count, {R('sum(value)', 4)} AS raw_proxy_value, {R('sum(value) * 1000', 2)} AS raw_proxy_production_ton,
   CAST(NULL AS DOUBLE) AS raw_proxy_yield
-FROM polys p LEFT JOIN (SELECT zone_id, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS value FROM inside WHERE zone_id % 6 > 0) i ON p.zone_id = i.zone_id GROUP BY p.zone_id""")
+FROM polys p LEFT JOIN (SELECT zone_id, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS value FROM inside WHERE lon <= 115.8) i ON p.zone_id = i.zone_id GROUP BY p.zone_id""")
 def zonal_proxy(spark, d):
     values = points(spark, d).withColumn("value", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")))
-    cells_in = G.join_zones(values, polygons(spark, d)).where("zone_id % 6 > 0")
+    cells_in = G.join_zones(G.clip_bbox(values, "lon", "lat", EXTENT), polygons(spark, d))
     zones = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("zone_id"))
     out = G.zonal_proxy(zones, cells_in, "zone_id", production=True, factor=1000.0)
     return out.select("zone_id", "valid_pixel_count", rounded("raw_proxy_value", 4).alias("raw_proxy_value"),
@@ -163,13 +166,13 @@ def zonal_proxy(spark, d):
 
 
 @query("zonal_crop_area", with_sql(POINTS, INSIDE, """m AS (SELECT zone_id, c_mktsegment AS source,
-   sum(CASE WHEN c_custkey % 3 = 0 AND zone_id % 7 > 0 THEN abs(0.01 * 111320.0 * cos(radians(lat)) * 0.01 * 111320.0) / 10000.0 ELSE 0 END) AS a FROM inside WHERE zone_id % 6 > 0 GROUP BY ALL)""",
+   sum(CASE WHEN c_custkey % 3 = 0 AND zone_id % 7 > 0 THEN abs(0.01 * 111320.0 * cos(radians(lat)) * 0.01 * 111320.0) / 10000.0 ELSE 0 END) AS a FROM inside WHERE lon <= 115.8 GROUP BY ALL)""",
    "z AS (SELECT zone_id, sum(a) AS area, string_agg(source, ';' ORDER BY source) FILTER (a > 0) AS files FROM m GROUP BY zone_id)") + f"""
 SELECT p.zone_id, {R('coalesce(area, 0)', 4)} AS crop_area_ha, {R('greatest(0, least(1, coalesce(area, 0) / (1000.0 * (p.zone_id + 1))))')} AS crop_fraction, coalesce(files, '') AS source_file,
   CASE WHEN area > 0 THEN 'zonal_stats' WHEN area IS NOT NULL THEN 'no_crop_observed' ELSE 'no_overlap' END AS status
 FROM polys p LEFT JOIN z ON p.zone_id = z.zone_id""")
 def zonal_crop_area(spark, d):
-    masks = G.join_zones(points(spark, d), polygons(spark, d)).where("zone_id % 6 > 0").select(
+    masks = G.join_zones(G.clip_bbox(points(spark, d), "lon", "lat", EXTENT), polygons(spark, d)).select(
         "zone_id", F.col("c_mktsegment").alias("source"),
         F.when((F.col("c_custkey") % 3 == 0) & (F.col("zone_id") % 7 > 0), 1).otherwise(0).alias("mask"),
         cell_area_ha(F.lit(0.01), F.lit(0.01), F.col("lat")).alias("area_ha"))
@@ -213,11 +216,11 @@ _ROLE_ROWS = ", ".join(f"('{role}', '{n.replace('_', '')}', {i})" for role, ns i
 
 
 @query("variable_role_map", f"""
-WITH v AS (SELECT DISTINCT l_suppkey AS source, {choose_sql(NAMES, 'l_partkey')} AS name FROM lineitem WHERE (l_partkey + l_suppkey) % 3 = 0),
+WITH v AS (SELECT DISTINCT l_suppkey AS source, {choose_sql(NAMES, 'l_partkey')} AS name FROM lineitem),
 r AS (SELECT * FROM (VALUES {_ROLE_ROWS}) t(role, plain, rank)),
 m AS (SELECT source, role, name, row_number() OVER (PARTITION BY source, role ORDER BY rank, name) AS k FROM v JOIN r ON plain = regexp_replace(lower(name), '[ _-]', '', 'g'))
 SELECT source, role, name FROM m WHERE k = 1""")
 def variable_role_map(spark, d):
-    rows = I.table(spark, d, "lineitem").where("(l_partkey + l_suppkey) % 3 = 0").select(
+    rows = I.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("source"), choose(NAMES, F.col("l_partkey")).alias("name"))
     return L.variable_roles(rows, "source", "name", L.CLIMATE_VARIABLES)

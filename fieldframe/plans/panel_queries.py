@@ -133,8 +133,9 @@ SELECT o_orderkey, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS DOUBLE) EN
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def attach_area(spark, d):
     panel = I.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("admin_id"))
-    areas = I.table(spark, d, "customer").where("c_custkey % 3 > 0").select(
-        F.col("c_custkey").cast("string").alias("admin_id"), F.col("c_custkey").cast("double").alias("crop_area_ha"))
+    areas = I.table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("admin_id"),
+        F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey").cast("double")).alias("crop_area_ha"))
     return J.attach_area(panel, areas, "admin_id", "crop_area_ha", "rice_area_proxy").select("o_orderkey", "rice_area_proxy")
 
 
@@ -241,8 +242,9 @@ calibrated AS (SELECT p.*, k, CASE WHEN k IS NOT NULL THEN proxy_production_ton
 
 def calibrated_panel(spark, d):
     collapsed = P.collapse_proxy(proxy_rows(spark, d), PROXY_KEYS)
-    areas = I.table(spark, d, "customer").where("c_custkey % 11 > 0").select(
-        F.col("c_custkey").alias("admin_id"), (F.lit(1.0) + (F.col("c_custkey") % 3) * 0.5).alias("crop_area_ha"))
+    areas = I.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("admin_id"),
+        F.when(F.col("c_custkey") % 11 > 0, F.lit(1.0) + (F.col("c_custkey") % 3) * 0.5).alias("crop_area_ha"))
     panel = J.attach_area(collapsed, areas, "admin_id", "crop_area_ha", "rice_area_proxy")
     official = I.yields(spark, d).where("crop = 'BUILDING'").withColumn(
         "sown_area_hectare", F.col("area_hectare") * (F.lit(4) + F.col("province").cast("int") % 3))
@@ -350,13 +352,14 @@ def downside_recovery(spark, d):
 
 
 @query("max_duration", """
-WITH t AS (SELECT user_id, event_id, value > 20 AS f FROM events),
-g AS (SELECT user_id, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM t),
+WITH t AS (SELECT user_id, ts, event_id, value > 20 AS f FROM events),
+g AS (SELECT user_id, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM t),
 r AS (SELECT user_id, b, count(*) FILTER (f) AS n FROM g GROUP BY user_id, b)
 SELECT user_id, max(n) AS max_duration FROM r GROUP BY user_id""")
 def max_duration(spark, d):
-    events = I.table(spark, d, "events").select("user_id", "event_id", "value")
-    return X.max_duration(events, "user_id", [F.col("event_id")], F.col("value") > 20, F.floor(F.col("event_id") / 1000), "max_duration")
+    events = I.table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    return X.max_duration(events, "user_id", [F.col("ts"), F.col("event_id")], F.col("value") > 20, hour, "max_duration")
 
 
 @query("zscore_within_unit", with_sql(I.CLIMATE) + f"""
