@@ -466,7 +466,7 @@ def standard_zone_ids(spark, d):
 @query("row_stats", f"""
 WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS m, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value + 1 END AS v FROM events)
 SELECT event_id, {R('coalesce(m, v)')} AS mean, {R('coalesce(m, v)')} AS median, {R('coalesce(m, v)')} AS "min", {R('coalesce(m, v) + 0.5')} AS "max",
-  CASE WHEN coalesce(m, v) IS NOT NULL THEN 0.0 END AS std,
+  CAST(CASE WHEN coalesce(m, v) IS NOT NULL THEN 0.0 END AS DOUBLE) AS std,
   CAST(CASE WHEN coalesce(m, v) IS NULL THEN 0 ELSE 1 END AS BIGINT) AS valid_pixel_count FROM t""")
 def row_stats(spark, d):
     k, v = F.col("event_id"), F.col("value")

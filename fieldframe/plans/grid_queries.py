@@ -102,7 +102,7 @@ def monthly_climate(spark, d):
     return show(G.monthly_climate(cells(spark, d)), ["source", "aggregation", "variable", "year", "month"], ["value"])
 
 
-@query("growing_season_climate", with_sql(CELLS, "season AS (SELECT *, year(time) AS year FROM cells WHERE month(time) IN (6, 7, 8, 9))", N_CELLS.format(src="season"),
+@query("growing_season_climate", with_sql(CELLS, "season AS (SELECT *, CAST(year(time) AS INTEGER) AS year FROM cells WHERE month(time) IN (6, 7, 8, 9))", N_CELLS.format(src="season"),
   "pc AS (SELECT source, variable, lat, lon, year, avg(value) AS a, max(value) AS x, sum(value) AS s FROM season GROUP BY ALL)") + f"""
 SELECT pc.source, 'growing_season' AS aggregation, CASE variable WHEN 'tmax' THEN 'growing_season_max_temperature' WHEN 'precipitation' THEN 'growing_season_precipitation_sum'
   WHEN 'temperature' THEN 'growing_season_mean_temperature' ELSE 'growing_season_mean_soil_moisture' END AS variable, year,
@@ -115,7 +115,7 @@ def growing_season_climate(spark, d):
 @query("grid_extremes", with_sql(CELLS, "season AS (SELECT * REPLACE (CAST(date_trunc('month', time) AS DATE) AS time) FROM cells WHERE month(time) IN (6, 7, 8, 9) AND variable IN ('tmax', 'soil_moisture'))",
   N_CELLS.format(src="season"), "days AS (SELECT source, lat, lon, time, max(value) FILTER (variable = 'tmax') AS t, max(value) FILTER (variable = 'soil_moisture') AS d FROM season GROUP BY ALL)",
   "marks AS (SELECT source, lat, lon, quantile_cont(t, 0.9) AS h, quantile_cont(t, 0.95) AS vh, quantile_cont(d, 0.1) AS dq FROM days WHERE year(time) BETWEEN 1995 AND 1999 GROUP BY ALL)",
-  "fl AS (SELECT d.source, year(d.time) AS year, coalesce(t > h, false) AS hot, coalesce(t > vh, false) AS very, coalesce(d.d < dq, false) AS dry FROM days d LEFT JOIN marks m ON d.source = m.source AND d.lat = m.lat AND d.lon = m.lon)",
+  "fl AS (SELECT d.source, CAST(year(d.time) AS INTEGER) AS year, coalesce(t > h, false) AS hot, coalesce(t > vh, false) AS very, coalesce(d.d < dq, false) AS dry FROM days d LEFT JOIN marks m ON d.source = m.source AND d.lat = m.lat AND d.lon = m.lon)",
   "tot AS (SELECT source, year, count(*) FILTER (hot) AS hot_days, count(*) FILTER (very) AS very_hot_days, count(*) FILTER (dry) AS dry_days, count(*) FILTER (hot AND dry) AS compound_hot_dry_days FROM fl GROUP BY source, year)",
   "tall AS (UNPIVOT tot ON hot_days, very_hot_days, dry_days, compound_hot_dry_days INTO NAME variable VALUE k)") + f"""
 SELECT t.source, 'extremes' AS aggregation, variable, year, {R('k / n')} AS value FROM tall t JOIN nc ON t.source = nc.source""")
@@ -125,14 +125,14 @@ def grid_extremes(spark, d):
 
 
 @query("remote_season", with_sql(CELLS, "ser AS (SELECT source, variable, time, avg(value) AS v FROM cells WHERE month(time) IN (6, 7, 8, 9) GROUP BY ALL)") + f"""
-SELECT source, variable, year(time) AS year, {R("CASE WHEN variable = 'precipitation' THEN sum(v) ELSE avg(v) END")} AS value FROM ser GROUP BY source, variable, year(time)""")
+SELECT source, variable, CAST(year(time) AS INTEGER) AS year, {R("CASE WHEN variable = 'precipitation' THEN sum(v) ELSE avg(v) END")} AS value FROM ser GROUP BY source, variable, year(time)""")
 def remote_season(spark, d):
     return show(G.remote_season(cells(spark, d), I.MONTHS, summed=("precipitation",)), ["source", "variable", "year"], ["value"])
 
 
 @query("zone_season_value", with_sql(CELLS, EXTENTS, "zc AS (SELECT zone_id, variable, time, value FROM cells JOIN boxes ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2 WHERE month(time) IN (6, 7, 8, 9))",
   "st AS (SELECT zone_id, variable, time, sum(value) AS s, count(*) AS n FROM zc GROUP BY ALL)") + f"""
-SELECT zone_id, variable, year(time) AS year, {R("CASE WHEN variable = 'precipitation' THEN sum(s / n) ELSE sum(s) / sum(n) END")} AS value FROM st GROUP BY zone_id, variable, year(time)""")
+SELECT zone_id, variable, CAST(year(time) AS INTEGER) AS year, {R("CASE WHEN variable = 'precipitation' THEN sum(s / n) ELSE sum(s) / sum(n) END")} AS value FROM st GROUP BY zone_id, variable, year(time)""")
 def zone_season_value(spark, d):
     season = cells(spark, d).where(F.month("time").isin(*I.MONTHS))
     return show(G.zone_season(G.join_zones(season, boxes(spark, d), polygon=False), "zone_id"), ["zone_id", "variable", "year"], ["value"])

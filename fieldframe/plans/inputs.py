@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def R(expr: str, digits: int = 6) -> str:
     """SQL twin of ``numbers.rounded``."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(CAST(round({expr}, {digits}) AS DOUBLE) + 0.0)"
 
 
 def with_sql(*ctes: str) -> str:
@@ -58,8 +58,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DAILY = """daily AS (
   SELECT CAST(s_nationkey AS VARCHAR) AS province, CAST(s_nationkey AS VARCHAR) AS province_code,
-         CAST(l_shipdate AS DATE) AS date, year(CAST(l_shipdate AS DATE)) AS year,
-         month(CAST(l_shipdate AS DATE)) AS month,
+         CAST(l_shipdate AS DATE) AS date, CAST(year(l_shipdate) AS INTEGER) AS year,
+         CAST(month(l_shipdate) AS INTEGER) AS month,
          avg(l_quantity) AS tmax_c, sum(l_quantity) AS precipitation_mm
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
@@ -128,7 +128,7 @@ def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 YIELDS = """yields AS (
-  SELECT CAST(c_nationkey AS VARCHAR) AS province, year(o_orderdate) AS year, c_mktsegment AS crop,
+  SELECT CAST(c_nationkey AS VARCHAR) AS province, CAST(year(o_orderdate) AS INTEGER) AS year, c_mktsegment AS crop,
          sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(9999991.0 AS DOUBLE) AS production_ton,
          CAST(count(*) AS DOUBLE) AS area_hectare,
          sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(9999.991 AS DOUBLE) / count(*) AS yield_kg_per_hectare
@@ -158,7 +158,7 @@ def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS_LONG = """long AS (
-  SELECT CAST(user_id AS VARCHAR) AS admin_id, day(ts) AS period, year(ts) AS year, month(ts) AS month,
+  SELECT CAST(user_id AS VARCHAR) AS admin_id, CAST(day(ts) AS INTEGER) AS period, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
          event_type AS variable, value, event_id, ts FROM events)"""
 
 
@@ -178,7 +178,7 @@ def climate_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLIMATE = """climate AS (
-  SELECT CAST(s_nationkey AS VARCHAR) AS province, year(l_shipdate) AS year, avg(l_quantity) AS tmax,
+  SELECT CAST(s_nationkey AS VARCHAR) AS province, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_quantity) AS tmax,
          sum(CAST(round(l_discount * 100) AS BIGINT)) / CAST(count(*) AS DOUBLE) AS precipitation
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 

@@ -31,7 +31,7 @@ def show_sql(floats, digits=6, alias=""):
 @query("prefixed_left_join", with_sql(I.YIELDS, I.CLIMATE, """last AS (
   SELECT province, year, sum_qty, l_suppkey FROM (
     SELECT *, row_number() OVER (PARTITION BY province, year ORDER BY l_suppkey DESC) AS r FROM (
-      SELECT CAST(s_nationkey AS VARCHAR) AS province, year(l_shipdate) AS year, l_suppkey, sum(l_quantity) AS sum_qty
+      SELECT CAST(s_nationkey AS VARCHAR) AS province, CAST(year(l_shipdate) AS INTEGER) AS year, l_suppkey, sum(l_quantity) AS sum_qty
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)) WHERE r = 1)""") + f"""
 SELECT y.province, y.year, crop, {R('yield_kg_per_hectare')} AS yield_kg_per_hectare, l_suppkey AS climate_l_suppkey, sum_qty AS climate_sum_qty
 FROM yields y LEFT JOIN last l ON y.province = l.province AND y.year = l.year""")
@@ -158,7 +158,7 @@ def pivot_variables(spark, d):
 
 
 @query("weighted_zone_mean", f"""
-WITH z AS (SELECT CAST(c_nationkey AS VARCHAR) AS province, year(o_orderdate) AS year, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) / 10000000.0 AS v,
+WITH z AS (SELECT CAST(c_nationkey AS VARCHAR) AS province, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) / 10000000.0 AS v,
   CASE WHEN c_nationkey % 4 = 0 THEN -1.0 ELSE CAST(round(c_acctbal * 100) AS BIGINT) / 100000.0 END AS w FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT province, year, count(*) AS source_rows, {R('coalesce(sum(v * w) FILTER (w > 0) / nullif(sum(w) FILTER (w > 0), 0), avg(v))')} AS chd_annual,
   CAST(min(o_custkey) AS VARCHAR) AS province_code, 'rice_area_ha' AS aggregation_weight FROM z GROUP BY province, year""")
@@ -179,7 +179,7 @@ COLLAPSE_KEYS = ["admin_id", "year", "month", "variable", "source_panel"]
 
 
 @query("collapse_panel", f"""
-WITH t AS (SELECT CASE WHEN user_id % 50 = 0 THEN NULL ELSE CAST(user_id % 20 AS VARCHAR) END AS admin_id, year(ts) AS year, month(ts) AS month,
+WITH t AS (SELECT CASE WHEN user_id % 50 = 0 THEN NULL ELSE CAST(user_id % 20 AS VARCHAR) END AS admin_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
   event_type AS variable, 'events' AS source_panel, value, value + 1 AS hi FROM events)
 SELECT admin_id, year, month, variable, source_panel, {R('avg(value)')} AS mean, {R('median(value)')} AS median, {R('min(value)')} AS "min",
   {R('max(hi)')} AS "max", {R('avg(value / 10)')} AS std, count(*) AS valid_pixel_count FROM t GROUP BY admin_id, year, month, variable, source_panel""")
@@ -209,7 +209,7 @@ def proxy_rows(spark, d):
 
 
 PROXY = """proxy_rows AS (
-  SELECT o_custkey AS admin_id, CAST(c_nationkey AS VARCHAR) AS province, year(o_orderdate) AS year, 'rice' AS crop, 'grid' AS source, 'yield' AS proxy_variable,
+  SELECT o_custkey AS admin_id, CAST(c_nationkey AS VARCHAR) AS province, CAST(year(o_orderdate) AS INTEGER) AS year, 'rice' AS crop, 'grid' AS source, 'yield' AS proxy_variable,
     o_orderpriority AS source_file, CAST(round(o_totalprice * 100) AS BIGINT) / CAST(9999.991 AS DOUBLE) AS v, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
 proxy AS (
   SELECT admin_id, province, year, crop, source, proxy_variable, string_agg(DISTINCT source_file, '; ' ORDER BY source_file) AS source_file,
@@ -472,7 +472,7 @@ def annual_exposure_panel(spark, d):
                 ["tmax_anomaly", "precip_anomaly", "ndvi_anomaly", "chd_event_intensity"])
 
 
-PROVINCE_CHD = """unit AS (SELECT CAST(c_nationkey AS VARCHAR) AS province, o_custkey, year(o_orderdate) AS year, count(*) AS chd,
+PROVINCE_CHD = """unit AS (SELECT CAST(c_nationkey AS VARCHAR) AS province, o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS chd,
     CASE WHEN c_nationkey % 4 = 0 THEN -1.0 ELSE CAST(round(any_value(c_acctbal) * 100) AS BIGINT) / 100000.0 END AS w
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_custkey, year(o_orderdate)),
 zone AS (SELECT province, year, count(*) AS source_rows, coalesce(sum(chd * w) FILTER (w > 0) / nullif(sum(w) FILTER (w > 0), 0), avg(chd)) AS chd_annual

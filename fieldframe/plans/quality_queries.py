@@ -52,7 +52,7 @@ def coverage_rows(spark, d):
   """g AS (SELECT source_file, admin_level, crop_type, count(*) FILTER (admin_key <> '') AS units, count(*) FILTER (inn = (SELECT hi - lo + 1 FROM s)) AS bal, sum(n) FILTER (admin_key <> '') AS pairs FROM u GROUP BY ALL)""",
   """r AS (SELECT source_file, admin_level, crop_type, min(year) AS a, max(year) AS b, count(DISTINCT year) AS obs, (SELECT hi - lo + 1 FROM s) AS e,
      sum(CAST(yv < 500 OR yv > 15000 AS INTEGER) + CAST(av <= 0 AS INTEGER)) AS odd, count(*) - count(DISTINCT (admin_key, coalesce(year, -1))) AS dup FROM y GROUP BY ALL)""") + """
-SELECT r.source_file, r.admin_level, r.crop_type, a AS coverage_year_start, b AS coverage_year_end, CAST(e AS BIGINT) AS expected_years, obs AS observed_years,
+SELECT r.source_file, r.admin_level, r.crop_type, CAST(a AS INTEGER) AS coverage_year_start, CAST(b AS INTEGER) AS coverage_year_end, CAST(e AS BIGINT) AS expected_years, obs AS observed_years,
   round(obs / e, 4) AS year_coverage_rate, units AS admin_unit_count, bal AS balanced_panel_unit_count, round(1 - obs / e, 4) AS missing_rate_by_year,
   round(CASE WHEN units = 0 THEN 1.0 ELSE 1 - pairs / (units * e) END, 4) AS missing_rate_by_admin, 'kg/ha_standardized' AS yield_unit_detected,
   'hectare_standardized' AS area_unit_detected, 'missing' AS production_unit_detected, CAST(odd AS BIGINT) AS suspicious_value_count, dup AS duplicate_record_count,

@@ -58,7 +58,7 @@ _MAP_SQL = ", ".join(f"('{k}', '{v}')" for k, v in PROVINCE_NAMES.items())
 
 
 @query("ers_measure_pivot", f"""
-WITH t AS (SELECT o_orderkey AS k, {choose_sql(ENGLISH, 'o_orderkey')} AS g, year(o_orderdate) AS year, lower({choose_sql(CATEGORIES, 'o_custkey')}) AS c, o_totalprice * 1000 AS v FROM orders),
+WITH t AS (SELECT o_orderkey AS k, {choose_sql(ENGLISH, 'o_orderkey')} AS g, CAST(year(o_orderdate) AS INTEGER) AS year, lower({choose_sql(CATEGORIES, 'o_custkey')}) AS c, o_totalprice * 1000 AS v FROM orders),
 m AS (SELECT * FROM (VALUES {_MAP_SQL}) x(a, b)),
 r AS (SELECT k, coalesce(b, g) AS province, year, CASE WHEN c LIKE '%rice%' THEN 'rice' WHEN c LIKE '%grain%' THEN 'grain' END AS crop,
   CASE WHEN c LIKE '%production%' THEN 'p' WHEN c LIKE '%sown area%' THEN 's' END AS measure, v FROM t LEFT JOIN m ON a = lower(g)),
@@ -132,7 +132,7 @@ def path_category(spark, d):
 @query("filename_metadata", with_sql(PATHS, LOWERED, """m AS (SELECT *, CASE WHEN contains(p, 'ggcp10') THEN 'ggcp10' WHEN contains(p, 'asia_rice_yield') THEN 'asia_rice_yield_4km' WHEN contains(n, 'gdhy') THEN 'gdhy'
   ELSE 'unknown_yield_proxy' END AS source FROM low)""", """v AS (SELECT *, CASE WHEN contains(n, 'prod') THEN 'production' WHEN contains(n, 'yield') OR source IN ('asia_rice_yield_4km', 'gdhy') THEN 'yield' ELSE 'value' END AS variable FROM m)""") + """
 SELECT file_id, source, TRY_CAST(regexp_extract(n, '(?:19|20)\\d{2}', 0) AS INTEGER) AS year, CASE WHEN contains(p, 'rice') THEN 'rice' ELSE 'unknown' END AS crop, variable,
-  CASE WHEN source = 'ggcp10' AND variable = 'production' THEN 1000.0 END AS value_to_ton_factor,
+  CASE WHEN source = 'ggcp10' AND variable = 'production' THEN CAST(1000.0 AS DOUBLE) END AS value_to_ton_factor,
   CASE WHEN contains(n, 'transplant') THEN 'transplanting' WHEN contains(n, 'maturity') THEN 'maturity' WHEN contains(n, 'heading') THEN 'heading' END AS stage,
   CASE WHEN contains(n, 'early_rice') THEN 'early' WHEN contains(n, 'rice') THEN 'rice' END AS season,
   CASE WHEN regexp_matches(n, 'classified-inner_mongolia-(?:(?:19|20)\\d{2})') THEN '内蒙古' ELSE '' END AS province FROM v""")
