@@ -252,13 +252,13 @@ WITH s AS (SELECT event_type, max(epoch_us(ts)) - min(epoch_us(ts)) AS micros FR
 t AS (SELECT e.event_id, value, micros / 1e6 AS step, lower({_UNIT_CASE.replace('event_type', 'e.event_type')}) AS u
   FROM events e JOIN s ON e.event_type = s.event_type)
 SELECT event_id, {R('''CASE WHEN replace(u, ' ', '') LIKE '%kgm-2s-1%' OR u LIKE '%kg/m2/s%' THEN value * step
-  WHEN u IN ('m', 'metres') THEN value * 1000 ELSE value END''', 9)} AS mm FROM t""")
+  WHEN u IN ('m', 'metres') THEN value * 1000 ELSE value END''', 8)} AS mm FROM t""")
 def convert_precipitation(spark, d):
     events = I.table(spark, d, "events").select("event_id", "event_type", "ts", "value")
     steps = O.infer_time_step(events, "event_type", "ts", "step")
     unit = T.first_rule([(F.col("event_type") == k, F.lit(v)) for k, v in PRECIPITATION_UNITS.items()], F.lit("mm"))
     out = events.join(steps, "event_type").withColumn("unit", unit)
-    return out.select("event_id", X.rounded(U.precipitation_to_mm("value", "unit", "step"), 9).alias("mm"))
+    return out.select("event_id", X.rounded(U.precipitation_to_mm("value", "unit", "step"), 8).alias("mm"))
 
 
 RAW_SQL = "CASE WHEN l_linenumber = 7 THEN -32768 WHEN l_linenumber = 6 THEN -9999 ELSE floor(l_extendedprice) - 3500 END"
