@@ -6,7 +6,7 @@ back, so one very large group does not land in a single window task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,23 +139,32 @@ def max_duration(df: DataFrame, unit: str, order: Sequence[Column], flagged: Col
     return links.groupBy(unit).agg(F.greatest(F.max("_len"), F.max("_best")).alias(out))
 
 
-def zscore_within_unit(df: DataFrame, unit: str, value: str, out: str) -> DataFrame:
-    """Score within the unit; when no unit varies, within the year for the whole column.
+def zscores_within_unit(df: DataFrame, unit: str, columns: Mapping[str, str]) -> DataFrame:
+    """Score columns ``{out: value}`` within the unit; a column that varies in no unit is scored within the year.
 
-    Zero deviation yields null.
+    Zero deviation yields null. All columns share one aggregate and one join per key.
     """
-    per = lambda key, tag: df.groupBy(key).agg(
-        F.avg(value).alias(f"_{tag}_mean"), F.nullif(F.stddev_samp(value), F.lit(0.0)).alias(f"_{tag}_std")
-    )
-    units, years = per(unit, "u"), per("year", "y")
-    usable = units.agg((F.count("_u_std") > 0).alias("_usable"))  # one row
-    score = lambda tag: (F.col(value) - F.col(f"_{tag}_mean")) / F.col(f"_{tag}_std")
-    joined = df.join(units, unit, "left").join(years, "year", "left")
-    return (
-        with_row(joined, usable)
-        .withColumn(out, F.when(F.col("_usable"), score("u")).otherwise(score("y")))
-        .drop("_u_mean", "_u_std", "_y_mean", "_y_std", "_usable")
-    )
+    names = list(columns.items())
+
+    def moments(key: str, tag: str) -> DataFrame:
+        parts = [f for i, (_, v) in enumerate(names) for f in (
+            F.avg(v).alias(f"_{tag}m{i}"), F.nullif(F.stddev_samp(v), F.lit(0.0)).alias(f"_{tag}s{i}"))]
+        return df.groupBy(key).agg(*parts)
+
+    units, years = moments(unit, "u"), moments("year", "y")
+    usable = units.agg(*[(F.count(f"_us{i}") > 0).alias(f"_ok{i}") for i in range(len(names))])  # one row
+    joined = with_row(df.join(units, unit, "left").join(years, "year", "left"), usable)
+    score = lambda i, v, tag: (F.col(v) - F.col(f"_{tag}m{i}")) / F.col(f"_{tag}s{i}")
+    scored = {
+        out: F.when(F.col(f"_ok{i}"), score(i, v, "u")).otherwise(score(i, v, "y")) for i, (out, v) in enumerate(names)
+    }
+    kept = [c for c in df.columns if c not in scored]
+    return joined.withColumns(scored).select(*kept, *scored)
+
+
+def zscore_within_unit(df: DataFrame, unit: str, value: str, out: str) -> DataFrame:
+    """One score column within the unit."""
+    return zscores_within_unit(df, unit, {out: value})
 
 
 def exposure_index(df: DataFrame, heat: Sequence[str], dry: Sequence[str]) -> DataFrame:
@@ -238,11 +247,11 @@ ANOMALY_SOURCES = {
 def add_anomalies(df: DataFrame, unit: str) -> DataFrame:
     """Score column for each known variable family that the panel carries."""
     counts = numeric_counts(df, [c for c in df.columns if c not in (unit, "year")])
-    out = df
-    for target, tokens in ANOMALY_SOURCES.items():
-        source = first_column(df, tokens, exclude=(target, unit, "year"), counts=counts)
-        out = zscore_within_unit(out, unit, source, target) if source else out.withColumn(target, F.lit(None).cast("double"))
-    return out
+    found = {
+        target: first_column(df, tokens, exclude=(target, unit, "year"), counts=counts) for target, tokens in ANOMALY_SOURCES.items()
+    }
+    scored = zscores_within_unit(df, unit, {t: c for t, c in found.items() if c}) if any(found.values()) else df
+    return scored.withColumns({t: F.lit(None).cast("double") for t, c in found.items() if not c})
 
 
 def add_chd_annual(df: DataFrame, unit: str | None, baseline: tuple[int, int]) -> DataFrame:

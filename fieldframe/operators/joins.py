@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.operators.scalars import with_row
+from fieldframe.functions.names import normalize_province_name
 from fieldframe.operators.picks import pick_one
 from fieldframe.operators.quantiles import exact_quantile
 
@@ -70,13 +71,16 @@ def coalescing_left_join(left: DataFrame, right: DataFrame, candidates: Sequence
     key = usable_key(left, right, candidates)
     if key is None:
         return left
+    # Names are compared without their suffixes, codes as text.
+    same = normalize_province_name(key) if key == "province" else F.col(key).cast("string")
     present = [v for v in values if v in right.columns]
-    one = pick_one(right, [key, "year"], order).select(key, "year", *[F.col(v).alias(f"_r_{v}") for v in present])
-    joined = left.join(one, [key, "year"], "left")
+    keyed = right.withColumn("_key", same).where("_key <> ''")
+    one = pick_one(keyed, ["_key", "year"], order).select("_key", "year", *[F.col(v).alias(f"_r_{v}") for v in present])
+    joined = left.withColumn("_key", same).join(one, ["_key", "year"], "left")
     for v in present:
         mine = text_or_null(v).cast(dict(right.dtypes)[v]) if v in left.columns else F.lit(None)
         joined = joined.withColumn(v, F.coalesce(mine, F.col(f"_r_{v}")))
-    return joined.drop(*[f"_r_{v}" for v in present])
+    return joined.drop("_key", *[f"_r_{v}" for v in present])
 
 
 def code_or_name_join(panel: DataFrame, other: DataFrame, code: str, name: str, normal_code, normal_name,

@@ -68,7 +68,7 @@ def coalescing_left_join(spark, d):
     text = F.when(F.col("year") % 3 == 1, F.col("area_hectare").cast("string")).when(
         F.col("year") % 3 == 2, F.col("area_hectare").cast("string")).otherwise(" ")
     model = I.unit_yields(spark, d).select("province", "year", text.alias("chd_annual"))
-    annual = I.climate_source(spark, d).withColumnRenamed("tmax", "chd_annual")
+    annual = I.climate_source(spark, d).withColumnRenamed("tmax", "chd_annual").withColumn("province", F.concat("province", F.lit("省")))
     out = J.coalescing_left_join(model, annual, ["admin_id", "admin_code", "province"], ["chd_annual", "precipitation"], [F.col("chd_annual")])
     return show(out, ["province", "year"], ["chd_annual", "precipitation"])
 
