@@ -225,9 +225,16 @@ def event_intensity(panel: DataFrame, unit: str, value: str, event_year: int, ou
     return panel.join(events, unit, "left")
 
 
-def treated_by_rows(panel: DataFrame, intensity: str, out: str, q: float = 0.75) -> DataFrame:
-    """Treated when the repeated intensity reaches its quantile over all *rows*."""
-    cut = exact_quantile(panel, [], intensity, q, "_cut")
+def treated_by_rows(panel: DataFrame, intensity: str, out: str, q: float = 0.75, day_counts: bool = False) -> DataFrame:
+    """Treated when the repeated intensity reaches its quantile over all *rows*.
+
+    Intensities that count days of one season have few distinct values whatever the number
+    of rows, so one aggregate over value counts is enough for them.
+    """
+    if day_counts:
+        cut = panel.agg(bounded_quantile(F.col(intensity), q).alias("_cut"))
+    else:
+        cut = exact_quantile(panel, [], intensity, q, "_cut")
     value = F.when(F.col("_cut").isNotNull(), flag(F.col(intensity) >= F.col("_cut")))
     return with_row(panel, cut).withColumn(out, value).drop("_cut")
 
@@ -238,7 +245,7 @@ def chd_panel(daily: DataFrame, settings: ChdSettings) -> DataFrame:
     return baseline_anomaly(annual, settings.baseline).withColumn("chd_annual", F.col("compound_hot_dry_days"))
 
 
-def add_event_columns(panel: DataFrame, event_year: int, unit: str = "province") -> DataFrame:
+def add_event_columns(panel: DataFrame, event_year: int, unit: str = "province", day_counts: bool = False) -> DataFrame:
     """Event time, post flag, repeated intensity and the row-quantile treatment."""
     out = event_intensity(event_fields(panel, event_year), unit, "chd_annual", event_year, "chd_event_intensity")
-    return treated_by_rows(out, "chd_event_intensity", "chd_event_treated_p75")
+    return treated_by_rows(out, "chd_event_intensity", "chd_event_treated_p75", day_counts=day_counts)

@@ -37,7 +37,7 @@ def annual_panel(spark, d):
 @query("daily_chd_panel", with_sql(*I.CHD_CHAIN) + f"SELECT {_show_sql(PANEL_COLUMNS, FLOATS)} FROM treated")
 def daily_chd_panel(spark, d):
     """Flagship: daily table to annual compound exposure with event treatment."""
-    panel = C.add_event_columns(annual_panel(spark, d), I.EVENT_YEAR)
+    panel = C.add_event_columns(annual_panel(spark, d), I.EVENT_YEAR, day_counts=True)
     return panel.select(*_show(PANEL_COLUMNS, FLOATS))
 
 

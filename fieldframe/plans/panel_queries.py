@@ -506,7 +506,7 @@ def model_panel_frame(spark, d):
     y = I.yields(spark, d).withColumn("province_code", F.col("province"))
     chosen, name = P.select_outcome(y, RICE, GRAIN, I.EVENT_YEAR)
     outcome = X.outcome_trend(chosen, "province", "yield_kg_per_hectare", I.BASELINE, 3)
-    exposure = C.add_event_columns(annual_panel(spark, d), I.EVENT_YEAR).select(
+    exposure = C.add_event_columns(annual_panel(spark, d), I.EVENT_YEAR, day_counts=True).select(
         "province", "province_code", "year", "chd_annual", "tmax_anomaly", "precip_anomaly", "event_time", "post",
         "chd_event_intensity", "chd_event_treated_p75")
     joined = J.code_or_name_join(outcome, exposure, "province_code", "province", N.normalize_admin_code,

@@ -74,3 +74,9 @@ def test_treatment_by_rows_and_missing_intensity(spark):
     assert got == {("A", 0), ("B", 1), ("C", 0)}
     empty = C.treated_by_rows(df.where("x > 100").withColumn("x", F.col("x")), "x", "t")
     assert empty.count() == 0
+
+
+def test_day_count_treatment_equals_the_general_one(spark):
+    df = spark.createDataFrame([(f"u{i}", float(i * i % 13)) for i in range(40)] + [("none", None)], "u string, x double")
+    both = C.treated_by_rows(C.treated_by_rows(df, "x", "a"), "x", "b", day_counts=True)
+    assert both.where("a <> b").count() == 0 and both.where("a = 1").count() > 0
