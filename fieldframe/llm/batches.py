@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -33,18 +35,22 @@ def longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def doubles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def common_width(df: DataFrame, vector: str) -> int:
+    """The most frequent length of a list column's values, the smaller of two; 0 without any."""
+    counts = df.groupBy(F.size(vector).alias("width")).agg(F.count(F.lit(1)).alias("n")).where("width > 0")
+    top = counts.orderBy(F.desc("n"), "width").first()
+    return top["width"] if top else 0
+
+
+def doubles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of a list column: (matrix of the rows that count, their row numbers).
 
-    A vector counts if neither it nor a component is null, all components are finite and one is
-    not zero. Rows of another width than most of the batch's vectors do not count.
+    A vector counts if it has ``width`` components, none null, all finite and one not zero.
     """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    widths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    if not len(widths) or not widths.max():
-        return np.zeros((0, 0)), np.zeros(0, np.int64)
-    width = int(np.bincount(widths[widths > 0]).argmax())
-    rows = np.flatnonzero(widths == width)
+    rows = np.flatnonzero(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) == width) if width else np.zeros(0, np.int64)
+    if not len(rows):
+        return np.zeros((0, width)), rows
     flat = column.take(pa.array(rows)).flatten().cast(pa.float64())
     matrix = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), width)
     good = np.isfinite(matrix).all(axis=1) & (matrix != 0).any(axis=1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import mixing, ngram_join, packing, pii, token_files, toxicity
+from fieldframe.llm import curves, lattice, mixing, ngram_join, packing, pii, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,3 +60,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pii_field")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query("op3_shifted_curves")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query("op10_lattice_near_copies")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)
