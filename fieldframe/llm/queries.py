@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import curves, lattice, mixing, ngram_join, packing, pii, token_files, toxicity
+from fieldframe.llm import curves, density, lattice, mixing, ngram_join, packing, pii, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_text_density")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op2_toxicity_neighbours")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
