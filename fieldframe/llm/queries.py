@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import curves, density, lattice, mixing, ngram_join, packing, pii, token_files, toxicity
+from fieldframe.llm import backoff, curves, density, lattice, mixing, ngram_join, packing, pii, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,6 +72,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+@query("op9_backoff_automaton")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op10_lattice_near_copies")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)

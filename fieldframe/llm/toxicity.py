@@ -10,7 +10,6 @@ examples without any term, which is also the score of texts without any.
 from __future__ import annotations
 
 import math
-import pickle
 from collections import Counter
 
 import numpy as np
@@ -193,10 +192,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     such examples, with no evidence. evidence holds the doc_ids of the voting examples, nearest
     first. Equal texts score alike; other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def scored(batches):
-        own = pickle.loads(model.value)
+        own = model.value
         for batch in batches:
             found = [own.score(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()),
@@ -209,10 +208,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score TOXIC_FROM or more; columns and other rows stay as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def clean(batches):
-        own = pickle.loads(model.value)
+        own = model.value
         for batch in batches:
             yield batch.filter(pa.array([own.score(text)[0] < TOXIC_FROM for text in batch.column("text").to_pylist()], pa.bool_()))
 
