@@ -242,11 +242,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 known = words >= 0
                 rare = np.flatnonzero(~known)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[rare], np.arange(many + 1)).astype(np.int32)), longs(hashes[rare]))
-                base = np.bincount(owner[known], own.word_logs[words[known]], many)
+                base = np.bincount(owner[known], own.word_logs[words[known]], many).astype(float)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(number, number + many)), batch.column("doc_id").slice(first, many), batch.column("held_out").slice(first, many),
                     pa.array(np.diff(starts).astype(np.int64)), pa.array(np.bincount(owner[known], minlength=many).astype(np.int64)),
-                    pa.array(base), pa.array(np.bincount(owner, logs, many)), lists,
+                    pa.array(base), pa.array(np.bincount(owner, logs, many).astype(float)), lists,
                 ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "deep", "rare"])
                 number += many
 
