@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.session import materialize
 
 
+#: Most links that one task contracts.
+EDGES_PER_TASK = 1 << 20
+
+
 class Forest:
     """Union-find over positions 0..n-1; ``label`` holds each position's root after ``settle``."""
 
@@ -48,14 +53,44 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Smallest node reachable by links (columns u, v of one type), for every node of a link: (node, root).
-
-    Each round is written to the shared folder. A star is split over tasks: its centre's least
-    neighbour is an aggregate, and the join back to the leaves is one that Spark may split. No
-    links give no rows; loops and repeated links change nothing.
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each reaches) of the links u-v."""
+    nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[:len(u)], place[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, high, low)
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _contracted(batches):
+    held = [b for b in batches if b.num_rows]
+    if held:
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+        nodes, roots = spanning(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["u", "v"])
+
+
+def components(links: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """Smallest node reachable by links (long columns u, v), for every node of a link: (node, root).
+
+    Links are dealt to tasks of at most ``per_task`` of them, each of which contracts its own to
+    stars. With several tasks the stars are then merged in rounds of large and small stars, each
+    written to the shared folder; a star is split over tasks, as its centre's least neighbour is an
+    aggregate and the join back to the leaves is one that Spark may split. No links give no rows;
+    loops and repeated links change nothing.
     """
-    edges = materialize(links.select("u", "v").where("u <> v").distinct(), "edges")
+    links = materialize(links.select("u", "v").where("u <> v"), "links")
+    tasks = -(-links.count() // per_task)
+    if tasks < 2:
+        return materialize(links.coalesce(1).mapInArrow(_contracted, "u long, v long"), "stars").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges = materialize(links.repartition(tasks).mapInArrow(_contracted, "u long, v long").where("u <> v").distinct(), "edges")
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v") % 999_983)).first()

@@ -16,18 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.llm.batches import longs, runs
-from fieldframe.llm.graph import Forest, components
+from fieldframe.llm.graph import Forest, components, spanning
 from fieldframe.llm.words import STEPS, mix, shingle_sets
 from fieldframe.session import materialize
 
 BITS = 4096
 FAN = 8
 CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 23
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def _segments(words: int, percent: int):
 
 def _chosen_sets(words: int, chosen):
     def of(batches):
-        bits = np.unpackbits(np.frombuffer(chosen.value, np.uint8))
+        bits = np.unpackbits(np.frombuffer(chosen.value, np.uint8), bitorder="little")
         for batch in batches:
             seen, marks, sets = set(), [], []
             for _, tokens in shingle_sets(batch.column("text"), words):
@@ -210,29 +210,30 @@ def _links(percent: int):
             marks = part.column("cls").to_numpy()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("tokens")]
             if len(marks) > 1 and (found := linked(sets, percent)):
-                u, v = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(marks[u]), pa.array(marks[v])], ["u", "v"])
+                u, v = marks[np.array(found).T]
+                if part.column("whole")[0].as_py():  # all of a block: its links are complete
+                    u, v = spanning(u, v)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array([part.column("whole")[0].as_py()] * len(u))], ["u", "v", "whole"])
     return of
 
 
 def _bit_filter(nodes: DataFrame) -> bytes:
     """A bitmap of fixed size with every node's bit set; it only spares work, a wrong hit is dropped by the join."""
-    words = nodes.select(F.pmod("node", F.lit(FILTER_BITS)).alias("bit")).select(
-        F.floor(F.col("bit") / 32768).alias("page"), (F.col("bit") % 32768).alias("bit"))
-    pages = words.groupBy("page").agg(F.collect_set("bit").alias("bits"))
-    bits = np.zeros(FILTER_BITS, np.uint8)
-    for page, inside in pages.toLocalIterator():
-        bits[page * 32768 + np.array(inside)] = 1
-    return np.packbits(bits).tobytes()
+    bit = F.pmod("node", F.lit(FILTER_BITS))
+    words = nodes.groupBy(F.floor(bit / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(node, 32)))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, "<u4")
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.tobytes()
 
 
 def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes (id, n, cls) of a table (id, text), and (node, root) of the classes that links connect."""
     spark = texts.sparkSession
     classes = materialize(texts.mapInArrow(_classes(words), "id long, n int, cls long"), "classes")
-    shared = texts.select("text").mapInArrow(_segments(words, percent), "seg long, cls long").repartition("seg")
-    group = shared.groupBy("seg").agg(F.min("cls").alias("v"), F.max("cls").alias("w")).where("v <> w").drop("w")
-    near = shared.join(group, "seg").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct()
+    shared = texts.select("text").mapInArrow(_segments(words, percent), "seg long, cls long")
+    # the running frame needs no group in memory
+    first = F.first("cls").over(Window.partitionBy("seg").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0))
+    near = shared.withColumn("v", first).where("cls <> v").select(F.col("cls").alias("u"), "v")
     blocks = materialize(components(near), "blocks")
     sizes = classes.select(F.col("cls").alias("node"), "n").distinct()
     measured = blocks.join(sizes, "node").groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
@@ -245,16 +246,19 @@ def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFra
 
     def compare(dealt: DataFrame) -> DataFrame:
         rows = dealt.join(sets, "cls").repartition("task").sortWithinPartitions("task")
-        return rows.select("task", "cls", "tokens").mapInArrow(_links(percent), "u long, v long")
+        return rows.select("task", "whole", "cls", "tokens").mapInArrow(_links(percent), "u long, v long, whole boolean")
 
     # neighbouring chunks meet in one task; with one or two chunks that is all pairs
     ring = F.when(F.col("chunks") < 3, F.array(F.lit(0).cast("long"))).otherwise(
         F.array(F.col("chunk"), F.pmod(F.col("chunk") + F.col("chunks") - 1, F.col("chunks"))))
-    first = member.select("cls", "root", F.explode(ring).alias("at")).select("cls", F.xxhash64("root", "at").alias("task"))
-    links = materialize(compare(first), "links")
+    first = member.select("cls", "root", "chunks", F.explode(ring).alias("at")).select(
+        "cls", F.xxhash64("root", "at").alias("task"), (F.col("chunks") < 3).alias("whole"))
+    found = materialize(compare(first), "found")
+    done = found.where("whole").select(F.col("u").alias("node"), F.col("v").alias("root"))
     large = member.where("chunks > 2")
     if large.isEmpty():
-        return classes, components(links)
+        return classes, done
+    links = found.where("not whole").select("u", "v")
     known = components(links).withColumnRenamed("node", "cls").withColumnRenamed("root", "label")
     large = materialize(large.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "large")
     main = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("label", "k").alias("main"))
@@ -265,7 +269,8 @@ def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFra
                                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     as_all = whole.select("cls", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "chunk")
     second = as_rest.select("cls", "root", "part", "chunk").union(as_all.select("cls", "root", "part", "chunk")).distinct()
-    return classes, components(links.union(compare(second.select("cls", F.xxhash64("root", "part", "chunk").alias("task")))))
+    more = compare(second.select("cls", F.xxhash64("root", "part", "chunk").alias("task"), F.lit(False).alias("whole")))
+    return classes, done.union(components(links.union(more.select("u", "v"))))
 
 
 def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
