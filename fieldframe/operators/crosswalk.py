@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from fieldframe.functions.numbers import parse_year
 from fieldframe.functions.similarity import sequence_ratio
 from fieldframe.functions.text import blank, clean_text, first_rule, looks_like_code
 from fieldframe.operators.picks import pick_one
-from fieldframe.session import materialize
+from fieldframe.session import checkpoint_root, materialize
 
 
 def is_active(year: Column | int) -> Column:
@@ -39,14 +40,16 @@ def expand_validity(records: DataFrame, low: int, high: int) -> DataFrame:
     return records.where(F.col("start_year").isNotNull() & (first <= last)).withColumn("year", F.explode(F.sequence(first, last)))
 
 
-def resolve_succession(records: DataFrame, target_year: int, max_steps: int = 50) -> DataFrame:
+def resolve_succession(records: DataFrame, target_year: int) -> DataFrame:
     """Follow successor codes to those active in the target year: ``(code, standard_code, _order)``.
 
     ``records`` has ``code, start_year, end_year, new_codes array``. Each round joins only
-    the codes that still move and is written out before the next, so lineage stays short
-    and settled rows are not touched again. A code met twice on its own path, or one
-    without successor, stands for itself.
+    the codes that still move, keeps one way (of lowest order) to every code that is reached,
+    and is written out before the next, so lineage stays short, settled rows are not touched
+    again and forks that meet again do not multiply. A code met twice on its own way, or one
+    without successor, stands for itself; that also ends every cycle.
     """
+    spark = records.sparkSession
     latest = pick_one(
         records.where(F.size("new_codes") > 0), ["code"], [F.col("start_year").desc_nulls_last(), F.col("end_year").desc_nulls_first()]
     ).select("code", "new_codes")
@@ -55,23 +58,21 @@ def resolve_succession(records: DataFrame, target_year: int, max_steps: int = 50
     moving = records.select("code").distinct().select(
         "code", F.col("code").alias("_at"), F.array("code").alias("_path"), F.array().cast("array<int>").alias("_order")
     )
-    settled = None
-    for step in range(max_steps):
-        looked = moving.join(state, "_at", "left")
-        again = F.size(F.array_distinct("_path")) < F.size("_path")
-        done = F.coalesce(F.col("_active"), F.lit(False)) | F.col("new_codes").isNull() | again
-        looked = materialize(looked.withColumn("_done", done), f"succession-{step}")
-        found = looked.where("_done").select("code", F.col("_at").alias("standard_code"), "_order")
-        settled = found if settled is None else settled.unionByName(found)
+    again = F.size(F.array_distinct("_path")) < F.size("_path")
+    done = F.coalesce(F.col("_active"), F.lit(False)) | F.col("new_codes").isNull() | again
+    path = f"{checkpoint_root(spark)}/fieldframe/succession-{uuid.uuid4().hex}"
+    while True:
+        looked = materialize(moving.join(state, "_at", "left").withColumn("_done", done), "succession")
+        looked.where("_done").select("code", F.col("_at").alias("standard_code"), "_order").write.mode("append").parquet(path)
         ahead = looked.where("not _done")
         if ahead.isEmpty():
             break
-        moving = ahead.select("code", "_path", "_order", F.posexplode("new_codes").alias("_i", "_next")).select(
+        further = ahead.select("code", "_path", "_order", F.posexplode("new_codes").alias("_i", "_next")).select(
             "code", F.col("_next").alias("_at"), F.concat("_path", F.array("_next")).alias("_path"),
             F.concat("_order", F.array("_i")).alias("_order"),
         )
-    else:
-        raise RuntimeError(f"succession longer than {max_steps} steps")
+        moving = pick_one(further, ["code", "_at"], [F.col("_order")])
+    settled = spark.read.parquet(path)
     return settled.groupBy("code", "standard_code").agg(F.min("_order").alias("_order"))
 
 
@@ -123,14 +124,16 @@ def match_method(rows: DataFrame) -> DataFrame:
     open_case = ~exact & ~explicit & ~same_name & left.isNotNull() & right.isNotNull()
     names = rows.select(F.when(open_case, left).alias("_l"), F.when(open_case, right).alias("_r")).where("_l is not null").distinct()
     scored = names.withColumn("_ratio", F.round(sequence_ratio("_l", "_r"), 3))
-    joined = rows.withColumns({"_l": F.when(open_case, left), "_r": F.when(open_case, right)}).join(scored, ["_l", "_r"], "left")
+    is_open = F.coalesce(open_case, F.lit(False))
+    undecided = rows.where(is_open).withColumns({"_l": left, "_r": right}).join(scored, ["_l", "_r"], "left").drop("_l", "_r")
+    joined = undecided.unionByName(rows.where(~is_open).withColumn("_ratio", F.lit(None).cast("double")))
     method = first_rule(
         [(exact, F.lit("exact_admin_code_match")), (explicit, F.lit("explicit_old_new_crosswalk")),
          (same_name, F.lit("exact_name_match")), (F.col("_ratio").isNotNull(), F.lit("normalized_name_fuzzy_match"))],
         F.lit("unmatched"),
     )
     confidence = first_rule([(exact, F.lit(1.0)), (explicit, F.lit(0.95)), (same_name, F.lit(0.9))], F.coalesce("_ratio", F.lit(0.0)))
-    return joined.withColumns({"match_method": method, "match_confidence": confidence}).drop("_l", "_r", "_ratio")
+    return joined.withColumns({"match_method": method, "match_confidence": confidence}).drop("_ratio")
 
 
 ROLES = ("year", "old_code", "new_code", "code", "name", "province", "prefecture", "county", "status", "change_type")

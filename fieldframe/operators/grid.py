@@ -13,14 +13,6 @@ from fieldframe.operators.picks import pick_one
 from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
 
 
-def customer_points(customers: DataFrame) -> DataFrame:
-    """Cell centres spread over the study box from the customer key."""
-    k = F.col("c_custkey")
-    return customers.withColumn("lon", F.lit(105.0) + (k % 1800) / 100.0).withColumn(
-        "lat", F.lit(24.0) + (k * 7 % 1100) / 100.0
-    )
-
-
 def clip_bbox(df: DataFrame, lon: str, lat: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Inclusive box ``(x1, y1, x2, y2)``; the corners may come in any order."""
     x1, y1, x2, y2 = box

@@ -115,12 +115,14 @@ def align_names(left: DataFrame, right: DataFrame, name: str, normal, first: Seq
     )
 
 
-def broadcast_to_units(rows: DataFrame, units: DataFrame, slices: int = 32) -> DataFrame:
+def broadcast_to_units(rows: DataFrame, units: DataFrame, slices: int | None = None) -> DataFrame:
     """Regional rows repeated for every unit; the product is the wanted result.
 
     Rows are hashed into slices and every unit is present once per slice, so the product
-    is an ordinary equality join of even slices: neither side has to fit one task.
+    is an ordinary equality join of even slices: neither side has to fit one task. There are
+    as many slices as shuffle partitions unless told otherwise.
     """
+    slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(slices)))
     spread = units.withColumn("_slice", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")))
     return spread.join(sliced, "_slice").drop("_slice")

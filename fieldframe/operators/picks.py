@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldframe.session import materialize
+
 
 def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of each key in the given total order.
@@ -24,13 +26,17 @@ def pick_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("_rank", F.rank().over(window)).where("_rank = 1").drop("_rank")
 
 
-def number_rows(df: DataFrame, order: str, out: str, bucket_width: int = 65536) -> DataFrame:
-    """1-based row number by a unique whole-number column, without one global sort task.
+def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
+    """1-based row number by a unique column, without one global sort task.
 
-    Rows are numbered inside fixed-width ranges of the order column; the small table of
-    range sizes gives each range its offset.
+    Spark samples the column and deals rows into ranges of about equal number, whatever the
+    spacing of the values; rows are numbered inside their range, and the table of range sizes,
+    one row per shuffle partition, gives each range its offset. The ranged rows are written
+    once, so both readings see the same ranges.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(bucket_width)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -118,27 +118,25 @@ def is_proxy(columns: Sequence[Column]) -> Column:
 def data_tier(df: DataFrame) -> dict[str, object]:
     """Tier of a yield panel with ``admin_level, crop_type, is_proxy, usable, year``.
 
-    The rows collapse to their few classes and the calendar years, and the decision
-    is a lookup over those.
+    One aggregate: which tiers have rows, the commonest level and crop of each, and the
+    span of years; the decision is a lookup over that one row.
     """
-    classes = df.groupBy("admin_level", "crop_type", "is_proxy", "usable").count().collect()
-    span = df.agg(F.count_distinct("year").alias("n"), F.min("year").alias("lo"), F.max("year").alias("hi")).first()
+    usable = ~F.col("is_proxy") & F.col("usable")
+    facts = [F.count_distinct("year").alias("n"), F.min("year").alias("lo"), F.max("year").alias("hi"),
+             F.bool_or("is_proxy").alias("proxy"), F.mode("admin_level", True).alias("level")]
+    for name, levels, crops in TIERS:
+        fits = usable & F.col("admin_level").isin(*levels) & F.col("crop_type").isin(*crops)
+        facts += [F.count_if(fits).alias(f"{name}_n"), F.mode(F.when(fits, F.col("admin_level")), True).alias(f"{name}_level"),
+                  F.mode(F.when(fits, F.col("crop_type")), True).alias(f"{name}_crop")]
+    span = df.agg(*facts).first()
     rate = span["n"] / (span["hi"] - span["lo"] + 1) if span["n"] else 0.0
-
-    def most(rows, field):
-        counts: dict[str, int] = {}
-        for r in rows:
-            counts[r[field]] = counts.get(r[field], 0) + r["count"]
-        return min(counts, key=lambda v: (-counts[v], v))
-
     tier, level, crop = "missing", "unknown", "unknown"
-    for name, levels, crops in TIERS:
-        rows = [r for r in classes if not r["is_proxy"] and r["usable"] and r["admin_level"] in levels and r["crop_type"] in crops]
-        if rows:
-            tier, level, crop = name, most(rows, "admin_level"), most(rows, "crop_type")
+    for name, _, _ in TIERS:
+        if span[f"{name}_n"]:
+            tier, level, crop = name, span[f"{name}_level"], span[f"{name}_crop"]
             break
-    if tier == "missing" and any(r["is_proxy"] for r in classes):
-        tier, level, crop = "tier_4", most(classes, "admin_level"), "proxy"
+    if tier == "missing" and span["proxy"]:
+        tier, level, crop = "tier_4", span["level"], "proxy"
     strength = (
         "quasi_causal" if tier == "tier_1" and rate >= 0.75
         else "impact_assessment" if tier in ("tier_1", "tier_2") and rate >= 0.5
@@ -497,8 +495,8 @@ def artifact_summary(tables: Mapping[str, DataFrame], coverage: Mapping[str, Seq
     return out
 
 
-def value_counts(df: DataFrame, column: str, top: int | None = 30) -> DataFrame:
-    """Most frequent non-blank values with their counts; ties by value."""
+def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """Non-blank values with their counts, most frequent first, ties by value; all of them unless a report asks for the ``top``."""
     counts = df.where(present(column)).groupBy(F.trim(F.col(column).cast("string")).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
     ordered = counts.orderBy(F.col("rows").desc(), "value")
     return ordered.limit(top) if top else ordered

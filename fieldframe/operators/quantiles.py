@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldframe.operators.scalars import with_row
-
-# Rank error of the sketch is 1/ACCURACY of the group.
-ACCURACY = 100_000
+from fieldframe.session import materialize
 
 
 def bounded_quantile(value, q: float):
@@ -19,50 +16,30 @@ def bounded_quantile(value, q: float):
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
-    """One row per key with the exact quantile, safe for a key that holds most rows.
+    """One row per key with the exact quantile; one way for every size of group.
 
-    A sketch (combined before the shuffle) brackets the wanted rank; rows below the
-    bracket collapse into one counter and only the thin slice inside it is ordered,
-    after equal values were merged into counts. A group that the sketch can hold
-    whole is taken whole, and the result fails loudly if a rank were ever missed.
+    Equal values become counts, and the counts are dealt into ranges of about equal number by
+    key and value, so a key that holds most rows spreads over many ranges. The ranges' sums tell
+    in which one or two of a key's ranges the wanted ranks lie, and only those are numbered.
     """
     keys = list(keys)
     work = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 4.0 / ACCURACY
-    sketch = F.percentile_approx(
-        "_v", F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(ACCURACY)
-    )
-    stats = work.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
-    )
-    small = F.col("_n") <= ACCURACY
-    brackets = stats.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        "_n",
-        F.when(small, F.col("_min")).otherwise(F.col("_s")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_s")[1]).alias("_hi"),
-    )
-    if keys:
-        condition = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        joined = work.join(brackets, condition)
-    else:
-        joined = with_row(work, brackets)
-    counted = (
-        joined.where("_v <= _hi")
-        .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    spans = counted.withColumn("_end", F.sum("_c").over(running)).withColumn("_start", F.col("_end") - F.col("_c"))
+    counted = work.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counted.repartitionByRange(parts, *keys, "_v").withColumn("_range", F.spark_partition_id()), "quantile")
+    # one row per key and range
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_t"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), "_t",
+                         F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"), F.sum("_t").over(whole).alias("_n"))
     position = (F.col("_n") - 1) * F.lit(float(q))
+    holding = placed.where((F.col("_base") <= F.ceil(position)) & (F.col("_base") + F.col("_t") > F.floor(position)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    inside = ranged.join(holding, [F.col("_range") == F.col("_r"), *same])
+    running = Window.partitionBy(*keys, "_range").orderBy("_v")
+    spans = inside.withColumn("_end", F.col("_base") + F.sum("_c").over(running)).withColumn("_start", F.col("_end") - F.col("_c"))
     at = lambda rank: F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
     found = spans.groupBy(*keys).agg(
-        at(F.floor(position)).alias("_low"),
-        at(F.ceil(position)).alias("_high"),
-        F.max(position - F.floor(position)).alias("_frac"),
-    )
-    result = F.when(
-        F.col("_low").isNotNull() & F.col("_high").isNotNull(),
-        F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac"),
-    ).otherwise(F.raise_error(F.lit("quantile bracket missed a rank")).cast("double"))
-    return found.select(*keys, result.alias(out))
+        at(F.floor(position)).alias("_low"), at(F.ceil(position)).alias("_high"), F.max(position - F.floor(position)).alias("_frac"))
+    return found.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac")).alias(out))

@@ -5,8 +5,10 @@ All work is per row with array expressions: no shuffle, no Python, whole texts.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +19,52 @@ from fieldframe.functions.text import contains_any, let
 from fieldframe.operators.picks import pick_one
 
 # Pieces of a page: a script or style element, a comment, a tag (quoted attributes may hold
-# ">"), a run of text, or a lone "<".
+# ">"), a run of text, or a lone "<". Possessive parts never go back, so a long tag costs no stack.
 PIECES = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
-    r"|</?[a-z!?](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<"
+    r"(?is)<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>|<!--.*?-->"
+    r"|</?[a-z!?](?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+>|[^<]++|<"
 )
-WRAPPED = r"(?is)^<(?:script|style)\b[^>]*>|</(?:script|style)\s*>$"
-# Named character references that are decoded, in this order.
-ENTITIES = (("nbsp", " "), ("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&"))
-SPACE = r"[\s ]"
+WRAPPED = r"(?is)^<(?:script|style)\b[^>]*+>|</(?:script|style)\s*+>$"
+# The named references of HTML 5 come from the standard library: those that end with a semicolon,
+# and the older ones that are also read without one.
+NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+UNCLOSED = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+# Numbers 128 to 159 are read as that code page does; numbers of no character give the replacement character.
+OLD_NUMBERS = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+REFERENCE = rf"(&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[A-Za-z][A-Za-z0-9]*+;|&(?:{'|'.join(UNCLOSED)})|[^&]++|&)"
+SPACE = r"[\s\u00a0]"
+
+
+def _table(values: dict[str, str]) -> Column:
+    """A fixed table as one constant."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point as decimal text; null if it has no valid one."""
+    n = F.try_to_number(number, F.lit("9" * 12)).cast("bigint")
+    valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+
+def decode_references(text: Column) -> Column:
+    """Text with numeric and named character references decoded; what is no reference stays."""
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*+);?$", 1)
+        start = F.regexp_extract(piece, rf"^&({'|'.join(UNCLOSED)})", 1)
+        digits = F.regexp_extract(piece, r"^&#[xX]?([0-9a-fA-F]++);?$", 1)
+        # more than twelve digits are no character; leading zeros do not count
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        number = F.when(F.length(short) <= 12, F.when(piece.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(short))
+        numeric = F.coalesce(F.try_element_at(_table(OLD_NUMBERS), number), _character(number), F.lit("\ufffd"))
+        named = F.coalesce(
+            F.try_element_at(_table(NAMED), name),
+            F.when(start != "", F.concat(F.try_element_at(_table(NAMED), start), F.substr(piece, F.length(start) + 2))), piece)
+        return F.when(~piece.startswith("&"), piece).when(digits != "", numeric).otherwise(named)
+
+    decoded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 1), one), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def html_parts(html: Column) -> Column:
@@ -33,13 +72,10 @@ def html_parts(html: Column) -> Column:
     pieces = F.regexp_extract_all(html, F.lit(f"({PIECES})"), 1)
 
     def visible(piece: Column) -> Column:
-        inner = F.regexp_replace(piece, WRAPPED, "")
-        text = piece
-        for name, value in ENTITIES:
-            text = F.regexp_replace(text, f"&{name};?", value)
-        raw = piece.rlike(r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*>$")
+        raw = piece.rlike(r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*+>$")
         markup = piece.rlike(r"(?is)^<[a-z/!?].*>$")
-        return F.regexp_replace(F.when(raw, inner).when(~markup, text), f"^{SPACE}+|{SPACE}+$", "")
+        text = F.when(raw, F.regexp_replace(piece, WRAPPED, "")).when(~markup, decode_references(piece))
+        return F.regexp_replace(text, f"^{SPACE}++|{SPACE}++$", "")
 
     return F.filter(F.transform(pieces, visible), lambda p: p.isNotNull() & (p != ""))
 

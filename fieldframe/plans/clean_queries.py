@@ -589,7 +589,7 @@ def cell_area_ha(spark, d):
 @query("bbox_clip", """
 SELECT c_custkey FROM customer WHERE 105 + (c_custkey % 1800) / 100.0 BETWEEN 108 AND 116.5 AND 24 + (c_custkey * 7 % 1100) / 100.0 BETWEEN 25 AND 31""")
 def bbox_clip(spark, d):
-    return G.clip_bbox(G.customer_points(I.table(spark, d, "customer")), "lon", "lat", (116.5, 25.0, 108.0, 31.0)).select("c_custkey")
+    return G.clip_bbox(I.customer_points(I.table(spark, d, "customer")), "lon", "lat", (116.5, 25.0, 108.0, 31.0)).select("c_custkey")
 
 
 @query("region_filter", """

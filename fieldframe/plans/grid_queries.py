@@ -32,7 +32,7 @@ inside AS (SELECT p.*, zone_id, n_name FROM points p JOIN polys z ON lon > x0 AN
 
 
 def points(spark, d):
-    return G.customer_points(I.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+    return I.customer_points(I.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
 
 
 @query("point_in_zone_join", with_sql(POINTS, INSIDE) + """

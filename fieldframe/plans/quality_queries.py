@@ -318,7 +318,7 @@ def artifact_summary(spark, d):
 
 @query("value_counts", "SELECT trim(p_type) AS value, count(*) AS rows FROM part GROUP BY 1 ORDER BY rows DESC, value LIMIT 30")
 def value_counts(spark, d):
-    return Q.value_counts(I.table(spark, d, "part"), "p_type")
+    return Q.value_counts(I.table(spark, d, "part"), "p_type", 30)
 
 
 @query("numeric_summary", f"SELECT count(value) AS count, {R('avg(value)')} AS mean, {R('min(value)')} AS \"min\", {R('max(value)')} AS \"max\" FROM events")

@@ -14,20 +14,14 @@ from fieldframe.plans.registry import query
 from fieldframe.functions.names import PROVINCE_NAMES
 from fieldframe.sources import files as S
 
-_PIECES_SQL = T.PIECES.replace("'", "''")
-_SPACE_SQL = r"[\s\x{00a0}]"
-
-
-def _decoded(expr):
-    for name, value in T.ENTITIES:
-        expr = f"regexp_replace({expr}, '&{name};?', '{value}', 'g')"
-    return expr
-
-
-HTML = f"""pieces AS (SELECT page_id, list_transform(regexp_extract_all(html, '({_PIECES_SQL})', 1), lambda p:
-  regexp_replace(CASE WHEN regexp_matches(p, '(?is)^<(?:script|style)\\b.*</(?:script|style)\\s*>$') THEN regexp_replace(p, '(?is)^<(?:script|style)\\b[^>]*>|</(?:script|style)\\s*>$', '', 'g')
-    WHEN NOT regexp_matches(p, '(?is)^<[a-z/!?].*>$') THEN {_decoded('p')} END, '^{_SPACE_SQL}+|{_SPACE_SQL}+$', '', 'g')) AS parts FROM pages),
-visible AS (SELECT page_id, array_to_string(list_filter(parts, lambda p: p IS NOT NULL AND p <> ''), chr(10)) AS text FROM pieces)"""
+# Written apart from the operator: what the pages hold are these references, some without semicolon.
+HTML = r"""pieces AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|</?[a-z!?](?:"[^"]*"|''[^'']*''|[^''">])*>|[^<]+|<')) AS piece,
+    generate_subscripts(regexp_extract_all(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->|</?[a-z!?](?:"[^"]*"|''[^'']*''|[^''">])*>|[^<]+|<'), 1) AS i FROM pages),
+shown AS (SELECT page_id, i, CASE WHEN piece ILIKE '<script%' OR piece ILIKE '<style%' THEN regexp_replace(regexp_replace(piece, '^<[^>]*>', ''), '</[^>]*>$', '')
+    WHEN piece[1] <> '<' OR piece = '<' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(piece,
+      '&nbsp;?', chr(160), 'g'), '&middot;?', chr(183), 'g'), '&copy;?', chr(169), 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') END AS part FROM pieces),
+bare AS (SELECT page_id, i, regexp_replace(part, '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g') AS part FROM shown WHERE part IS NOT NULL),
+visible AS (SELECT p.page_id, coalesce(string_agg(part, chr(10) ORDER BY i) FILTER (part <> ''), '') AS text FROM pages p LEFT JOIN bare b ON p.page_id = b.page_id GROUP BY p.page_id)"""
 
 
 @query("html_text", with_sql(HTML) + "SELECT page_id, text FROM visible")
@@ -141,17 +135,17 @@ def filename_metadata(spark, d):
     return paths(spark, d).select("file_id", *[c.alias(n) for n, c in meta.items()])
 
 
-RANKED = """yrs AS (SELECT file_id, grp, path, CAST(unnest(regexp_extract_all(n, '((?:19|20)\\d{2})', 1)) AS INTEGER) AS y, CASE WHEN contains(p, 'rice') THEN 0 WHEN contains(p, 'clcd') OR contains(p, 'cropland') THEN 1 ELSE 2 END AS r FROM low)"""
+RANKED = """yrs AS (SELECT file_id, grp, path, CAST(unnest(CASE WHEN len(regexp_extract_all(n, '((?:19|20)\\d{2})', 1)) = 0 THEN [NULL] ELSE regexp_extract_all(n, '((?:19|20)\\d{2})', 1) END) AS INTEGER) AS y, CASE WHEN contains(p, 'rice') THEN 0 WHEN contains(p, 'clcd') OR contains(p, 'cropland') THEN 1 ELSE 2 END AS r FROM low)"""
 
 
 @query("nearest_year_pick", with_sql(PATHS, LOWERED, RANKED) + """
-SELECT grp, file_id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r, abs(y - 2000), y, path) AS k FROM yrs) WHERE k = 1""")
+SELECT grp, file_id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY y IS NULL, CASE WHEN y IS NOT NULL THEN r END, abs(y - 2000), y, path) AS k FROM yrs) WHERE k = 1""")
 def nearest_year_pick(spark, d):
     return S.nearest_year(paths(spark, d), ["grp"], 2000).select("grp", "file_id")
 
 
 @query("nearest_year_ties", with_sql(PATHS, LOWERED, RANKED) + """
-SELECT DISTINCT grp, file_id FROM (SELECT *, rank() OVER (PARTITION BY grp ORDER BY r, abs(y - 2000)) AS k FROM yrs) WHERE k = 1""")
+SELECT DISTINCT grp, file_id FROM (SELECT *, rank() OVER (PARTITION BY grp ORDER BY y IS NULL, CASE WHEN y IS NOT NULL THEN r END, abs(y - 2000), CASE WHEN y IS NULL THEN path END) AS k FROM yrs) WHERE k = 1""")
 def nearest_year_ties(spark, d):
     return S.nearest_year(paths(spark, d), ["grp"], 2000, ties=True).select("grp", "file_id")
 
@@ -169,21 +163,12 @@ def prefer_variant(spark, d):
     return S.prefer_variant(paths(spark, d), ["chirps", "gleam"]).select("file_id")
 
 
-@query("file_catalog")
-def file_catalog(spark, d):
-    files = S.file_catalog(S.listing(spark, d), [".parquet", ".csv"], ignored=("archive",))
-    return files.select(S.file_name(F.col("path")).alias("file_name"), "suffix", "suffix_rank", "length").orderBy("suffix_rank", "file_name")
-
-
-@query("file_inventory_summary")
-def file_inventory_summary(spark, d):
-    depth = len([p for p in d.split("/") if p])
-    return S.inventory(S.listing(spark, d.rsplit("/", 1)[0]), [d.rstrip("/").rsplit("/", 1)[1]], depth)
+FROZEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("freeze_hashes")
 def freeze_hashes(spark, d):
-    tables = {n: I.table(spark, d, n) for n in ("orders", "lineitem", "customer", "events")}
+    tables = {n: I.table(spark, d, n) for n in FROZEN}
     keys = {"orders": ["o_totalprice"], "events": ["value"]}
     return S.freeze(spark, d, tables, keys).select(
         S.file_name(F.col("path")).alias("file_name"), "sha256", "length", "rows", "columns", "key_coverage")

@@ -121,12 +121,17 @@ def source_rank(path: Column) -> Column:
 
 
 def nearest_year(files: DataFrame, group: Sequence[str], target: int, ties: bool = False) -> DataFrame:
-    """File of best rank whose name year is nearest the target, per group; optionally all that tie on both."""
-    dated = files.withColumn("_y", F.explode(name_years(F.col("path")))).withColumns({
+    """File of best rank whose name year is nearest the target, per group; optionally all that tie on both.
+
+    Dated files come before undated ones; a group without any dated file gives its first by path.
+    """
+    dated = files.withColumn("_y", F.explode_outer(name_years(F.col("path")))).withColumns({
         "_rank": source_rank(F.col("path")), "_dist": F.abs(F.col("_y") - target)})
+    undated = F.col("_y").isNull()
+    best = [undated, F.when(~undated, F.col("_rank")), F.col("_dist")]
     if ties:
-        return pick_top(dated, group, [F.col("_rank"), F.col("_dist")]).select(*files.columns).distinct()
-    return pick_one(dated, group, [F.col("_rank"), F.col("_dist"), F.col("_y"), F.col("path")]).select(*files.columns)
+        return pick_top(dated, group, [*best, F.when(undated, F.col("path"))]).select(*files.columns).distinct()
+    return pick_one(dated, group, [*best, F.col("_y"), F.col("path")]).select(*files.columns)
 
 
 def covering_interval(files: DataFrame, group: Sequence[str], target: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Succession, name matching, page text, announcements, claim rules and files."""
 
+import html
 import re
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
@@ -13,7 +14,7 @@ from fieldframe.operators import text as T
 from fieldframe.plans import crosswalk_queries as KQ
 from fieldframe.sources import files as S
 from fieldframe.sources import tables as TB
-from fieldframe.functions.roles import match_fields
+from fieldframe.functions.roles import CODE_FIELDS, ZONE_FIELDS, conform, match_fields
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,6 +29,18 @@ def test_succession_chain_and_cycle(spark):
     assert [(r["year"], r["match_method"], r["match_confidence"]) for r in panel] == [(2009, "target_boundary_explicit_new_code_chain", 0.95)]
 
 
+def test_succession_long_ladder_and_undated(spark):
+    """A chain past any step limit, forks that meet again at every step, and groups without dated files."""
+    chain = [(f"c{i}", 1980, 1990, [f"c{i + 1}"]) for i in range(60)] + [("c60", 1980, None, [])]
+    ladder = [(f"{s}{i}", 1980, 1990, [f"a{i + 1}", f"b{i + 1}"]) for i in range(25) for s in "ab"] + [("a25", 1980, None, []), ("b25", 1980, None, [])]
+    records = spark.createDataFrame(chain + ladder, "code string, start_year int, end_year int, new_codes array<string>")
+    out = {r["code"]: r["admin_code_standard"] for r in K.standard_codes(K.resolve_succession(records, 2022)).collect()}
+    assert out["c0"] == "c60" and out["a0"] == out["b0"] == "a25;b25" and len(out) == len(chain) + len(ladder)
+    files = spark.createDataFrame([(1, "x/b.tif"), (1, "x/a_rice.tif"), (2, "x/none.tif"), (2, "x/m_1999.tif")], "g int, path string")
+    assert sorted(tuple(r) for r in S.nearest_year(files, ["g"], 2000).collect()) == [(1, "x/a_rice.tif"), (2, "x/m_1999.tif")]
+    assert S.nearest_year(files, ["g"], 2000, ties=True).count() == 2
+
+
 def plain(name):
     return re.sub("(?:%s)+$" % "|".join(N.PLACE_SUFFIXES), "", (name or "").strip())
 
@@ -92,6 +105,18 @@ def test_page_text_equals_a_parser(spark):
         assert re.sub(r"\s+", "", got[row["page_id"]]) == re.sub(r"\s+", "", "".join(parser.parts)), row["page_id"]
 
 
+def test_long_broken_and_referenced_pages(spark):
+    """Tags of any length and unclosed parts; references equal the standard library's."""
+    tag = "<p title='" + "x" * 400_000 + "' " + "y" * 400_000 + ">after</p>"
+    pages = [tag, "a < b", "<p title='open>text</p>", "x<!-- open", "<script>never", "<" * 3000, '"' * 5000 + "<a " + "'" * 5001 + ">t"]
+    refs = ["&#160;a&#20013;", "&eacute;&mdash;&amp;amp;", "&notit; &not &notin; &copy2024 &AMP", "&#x4e2d;&#X41;&#65 &#0;&#xD800;&#1114112;&#99999999999999;", "&#128;&#150;", "&unknown; & &; &#; &#x;", "&frac12;&NotEqualTilde;"]
+    df = spark.createDataFrame(list(enumerate(pages + refs)), "i int, h string")
+    got = {r["i"]: r["t"] for r in df.select("i", T.html_text(F.col("h")).alias("t")).collect()}
+    assert got[0] == "after" and "".join(got[1].split()) == "a<b" and "text" in got[2] and got[3].startswith("x")
+    for i, text in enumerate(refs, len(pages)):
+        assert "".join(got[i].split()) == "".join(html.unescape(text).split()), text
+
+
 def test_announcement(spark):
     text = "标题 2023 全国总计 118,968.5 69541.0 5845.3 北京 89.6 47.8 5332.8 内 蒙古 6984.7 3957.8 5666.4 天津 1 北京 1 2 3"
     df = spark.createDataFrame([(1, text), (2, ""), (3, "nothing here")], "id int, t string")
@@ -112,10 +137,16 @@ def test_claims(spark):
     assert T.forbidden_tokens(df, "t", ["证明"]).first()["detected"] and not T.forbidden_tokens(df, "t", ["zzz"]).first()["detected"]
 
 
-def test_field_roles():
-    found = match_fields(["年份", "省份", "水稻单产(公斤/亩)", "播种面积（千公顷）", "产量"])
+def test_field_roles(spark):
+    found = match_fields(spark, ["年份", "省份", "水稻单产(公斤/亩)", "播种面积（千公顷）", "产量"])
     assert found["year"] == "年份" and found["rice_yield"] == "水稻单产(公斤/亩)" and found["sown_area"] == "播种面积（千公顷）"
     assert "yield" not in found and found["production"] == "产量"
+    assert match_fields(spark, ["统计年份", "地区", "州"]) == {"year": "统计年份", "province": "地区", "prefecture": "州"}
+    assert match_fields(spark, ["year", "region", "省"]) == {"year": "year", "province": "region"}
+    codes = match_fields(spark, ["年度", "原代码", "新代码", "行政区划代码", "名称", "省份", "变更类型"], CODE_FIELDS)
+    assert codes == {"year": "年度", "old_code": "原代码", "new_code": "新代码", "code": "行政区划代码", "name": "名称", "province": "省份", "change_type": "变更类型"}
+    assert match_fields(spark, ["NAME_1", "name_3", "gbcode", "old city"], ZONE_FIELDS, partial=False) == {"province": "NAME_1", "county": "name_3", "code": "gbcode"}
+    assert conform(spark.createDataFrame([(2000, "a", 1)], "`统计年份` int, `地区` string, other int")).columns == ["year", "province"]
 
 
 def test_tables_and_files(spark, tmp_path):

@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 from oracle_check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+plans = entry.load()  # without the optional modules, which have tests of their own
+QUERIES, ORACLES = plans.queries, plans.oracles
 
 
 @pytest.fixture(scope="module")
@@ -21,17 +22,17 @@ def con():
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     if name in ORACLES and name not in BALANCED_ONLY:
-        assert compare(df, con, ORACLES[name]) in (None, "no rows")
+        assert compare(df, con, ORACLES[name]) in ((None, "no rows") if name in MAY_BE_EMPTY else (None,))
     else:
-        assert df.columns and df.limit(1).count() >= 0
+        assert df.count() > 0
 
 
 # The SQL of these is the closed form of a balanced panel, which the smallest tables are not.
+MAY_BE_EMPTY: set[str] = set()
 BALANCED_ONLY = {"two_way_fe", "event_study_fe", "event_study_ols", "robustness_suite"}
 
 
 def test_registry_names():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {
-        "model_coefficients", "match_method", "crosswalk_match", "file_catalog", "file_inventory_summary", "freeze_hashes"}
-    assert not any("pipeline" in n or n.startswith("op") and n[2:3].isdigit() for n in QUERIES)
+        "model_coefficients", "match_method", "crosswalk_match", "freeze_hashes"}

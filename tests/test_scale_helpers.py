@@ -10,11 +10,8 @@ from fieldframe.operators import indices as X
 from fieldframe.operators import picks, quantiles
 
 
-@pytest.mark.parametrize("accuracy", [40, 100_000])
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.75, 0.9, 1.0])
-def test_exact_quantile_matches_numpy(spark, monkeypatch, accuracy, q):
-    """A small accuracy forces the bracket path on a hot group."""
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+def test_exact_quantile_matches_numpy(spark, q):
     rng = random.Random(3)
     rows = [("hot", rng.choice([rng.gauss(0, 1), 1.0, 2.0])) for _ in range(3000)] + [("small", float(i)) for i in range(7)] + [("one", 4.0), (None, 2.0), (None, 3.0)]
     df = spark.createDataFrame(rows + [("hot", None)], "k string, v double")
@@ -25,11 +22,24 @@ def test_exact_quantile_matches_numpy(spark, monkeypatch, accuracy, q):
     assert whole == pytest.approx(np.quantile([v for _, v in rows], q), abs=1e-12)
 
 
+def test_exact_quantile_of_many_rows_in_one_key(spark):
+    """Ten million rows of one key; no window over data rows is unpartitioned."""
+    v = (F.col("id") * 7919 % 10_000_019).cast("double")
+    df = spark.range(10_000_000).select(F.lit("hot").alias("k"), v.alias("v"))
+    values = np.arange(10_000_000, dtype=np.int64) * 7919 % 10_000_019
+    for q in (0.1, 0.905):
+        assert quantiles.exact_quantile(df, ["k"], "v", q, "q").first()["q"] == pytest.approx(np.quantile(values, q), abs=1e-6)
+    assert quantiles.exact_quantile(df, [], "v", 0.5, "q").first()["q"] == pytest.approx(np.quantile(values, 0.5), abs=1e-6)
+
+
 def test_number_rows(spark):
-    keys = sorted(random.Random(1).sample(range(100_000), 500))
-    df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = {r["k"]: r["n"] for r in picks.number_rows(df, "k", "n", bucket_width=1000).collect()}
-    assert got == {k: i + 1 for i, k in enumerate(keys)}
+    """Wide gaps between ids do not make more ranges than shuffle partitions."""
+    keys = sorted(random.Random(1).sample(range(10**15), 500))
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(7)
+    numbered = picks.number_rows(df, "k", "n")
+    assert {r["k"]: r["n"] for r in numbered.collect()} == {k: i + 1 for i, k in enumerate(keys)}
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and "Window" in plan
 
 
 def test_pick_one_limits_before_the_shuffle(spark):
