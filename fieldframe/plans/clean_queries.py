@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fieldframe.functions import names as N
 from fieldframe.functions import numbers as X
+from fieldframe.functions import roles as L
 from fieldframe.functions import text as T
 from fieldframe.functions import units as U
 from fieldframe.operators import grid as G
@@ -598,3 +601,25 @@ def region_filter(spark, d):
     region = I.table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.concat("r_name", F.lit("省")).alias("province"))
     rows = I.table(spark, d, "nation").join(region, "n_regionkey")
     return G.filter_regions(rows, "province", ["ASIA", "EUROPE市"]).select("n_nationkey", "n_name")
+
+
+# --- headers --------------------------------------------------------------------------------
+
+HEADERS = ("统计年份", "Year", "地区", "Region", "省份", "州", "city_name", "区县(名)", "行政区划代码", "code", "作物名称", "播种面积（千公顷）", "收获面积", "总产量", "水稻单产(公斤/亩)", "平均单产", "grain yield", "备注")
+_IGNORED = r"[\s_\-/\\()（）\[\]【】{}]"
+_CANDIDATES = ", ".join(
+    f"('{role}', '{re.sub(_IGNORED, '', name.lower())}', {i}, {len(names)})" for role, names in L.STATISTICS_FIELDS.items() for i, name in enumerate(names))
+_SPECIAL = " OR ".join(f"contains(p, '{w}')" for w in L.SPECIAL_YIELD_WORDS)
+
+
+@query("header_roles", f"""
+WITH h AS (SELECT l_orderkey AS t, l_linenumber AS i, {choose_sql(HEADERS, 'l_partkey')} AS header FROM lineitem),
+n AS (SELECT *, regexp_replace(lower(trim(header)), '{_IGNORED}', '', 'g') AS p FROM h),
+c AS (SELECT * FROM (VALUES {_CANDIDATES}) v(role, name, rank, many)),
+m AS (SELECT t, i, header, role, CASE WHEN p = name THEN rank ELSE many + rank END AS rank FROM n JOIN c ON contains(p, name) AND NOT (role = 'yield' AND ({_SPECIAL}))),
+r AS (SELECT *, row_number() OVER (PARTITION BY t, role ORDER BY rank, i) AS k FROM m)
+SELECT t, role, header FROM r WHERE k = 1""")
+def header_roles(spark, d):
+    """Orders as tables, their lines as headers."""
+    headers = I.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("i"), choose(HEADERS, F.col("l_partkey")).alias("header"))
+    return L.header_roles(headers, "t", "i", "header")

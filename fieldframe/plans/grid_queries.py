@@ -70,15 +70,13 @@ def zone_bbox_range_join(spark, d):
 
 ROLES = ("tmax", "precipitation", "temperature", "soil_moisture")
 CELLS = f"""cells AS (SELECT l_returnflag AS source, {choose_sql(ROLES, 'l_linenumber')} AS variable, 24 + (l_suppkey * 11 % 110) / 10.0 AS lat,
-  105 + (l_suppkey * 37 % 180) / 10.0 AS lon, CAST(l_shipdate AS DATE) AS time, l_quantity + (l_partkey % 97) / CAST(997.0 AS DOUBLE) AS value FROM lineitem
-  WHERE NOT (month(l_shipdate) = 2 AND year(l_shipdate) = 1997))"""
+  105 + (l_suppkey * 37 % 180) / 10.0 AS lon, CAST(l_shipdate AS DATE) AS time, l_quantity + (l_partkey % 97) / CAST(997.0 AS DOUBLE) AS value FROM lineitem)"""
 
 
 def cells(spark, d):
-    """Cell table from line items; February 1997 is left out, so months must be filled."""
+    """Cell table from all line items."""
     k = F.col("l_suppkey")
-    gap = (F.month("l_shipdate") == 2) & (F.year("l_shipdate") == 1997)
-    return I.table(spark, d, "lineitem").where(~gap).select(
+    return I.table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("source"), choose(ROLES, F.col("l_linenumber")).alias("variable"),
         (F.lit(24.0) + (k * 11 % 110) / 10.0).alias("lat"), (F.lit(105.0) + (k * 37 % 180) / 10.0).alias("lon"),
         F.to_date("l_shipdate").alias("time"),
@@ -112,7 +110,7 @@ def growing_season_climate(spark, d):
     return show(G.growing_season_climate(cells(spark, d), I.MONTHS), ["source", "aggregation", "variable", "year"], ["value"])
 
 
-@query("grid_extremes", with_sql(CELLS, "season AS (SELECT * REPLACE (CAST(date_trunc('month', time) AS DATE) AS time) FROM cells WHERE month(time) IN (6, 7, 8, 9) AND variable IN ('tmax', 'soil_moisture'))",
+@query("grid_extremes", with_sql(CELLS, "season AS (SELECT * FROM cells WHERE month(time) IN (6, 7, 8, 9) AND variable IN ('tmax', 'soil_moisture'))",
   N_CELLS.format(src="season"), "days AS (SELECT source, lat, lon, time, max(value) FILTER (variable = 'tmax') AS t, max(value) FILTER (variable = 'soil_moisture') AS d FROM season GROUP BY ALL)",
   "marks AS (SELECT source, lat, lon, quantile_cont(t, 0.9) AS h, quantile_cont(t, 0.95) AS vh, quantile_cont(d, 0.1) AS dq FROM days WHERE year(time) BETWEEN 1995 AND 1999 GROUP BY ALL)",
   "fl AS (SELECT d.source, CAST(year(d.time) AS INTEGER) AS year, coalesce(t > h, false) AS hot, coalesce(t > vh, false) AS very, coalesce(d.d < dq, false) AS dry FROM days d LEFT JOIN marks m ON d.source = m.source AND d.lat = m.lat AND d.lon = m.lon)",
@@ -120,8 +118,7 @@ def growing_season_climate(spark, d):
   "tall AS (UNPIVOT tot ON hot_days, very_hot_days, dry_days, compound_hot_dry_days INTO NAME variable VALUE k)") + f"""
 SELECT t.source, 'extremes' AS aggregation, variable, year, {R('k / n')} AS value FROM tall t JOIN nc ON t.source = nc.source""")
 def grid_extremes(spark, d):
-    steps = cells(spark, d).withColumn("time", F.trunc("time", "month"))
-    return show(G.grid_extremes(steps, "tmax", "soil_moisture", I.BASELINE, I.MONTHS), ["source", "aggregation", "variable", "year"], ["value"])
+    return show(G.grid_extremes(cells(spark, d), "tmax", "soil_moisture", I.BASELINE, I.MONTHS), ["source", "aggregation", "variable", "year"], ["value"])
 
 
 @query("remote_season", with_sql(CELLS, "ser AS (SELECT source, variable, time, avg(value) AS v FROM cells WHERE month(time) IN (6, 7, 8, 9) GROUP BY ALL)") + f"""
@@ -138,9 +135,6 @@ def zone_season_value(spark, d):
     return show(G.zone_season(G.join_zones(season, boxes(spark, d), polygon=False), "zone_id"), ["zone_id", "variable", "year"], ["value"])
 
 
-EXTENT = (105.0, 24.0, 115.8, 35.0)  # of the proxy and mask grids; eastern zones have no cell
-
-
 STATS = ("mean", "median", "min", "max", "std")
 
 
@@ -155,10 +149,10 @@ def zone_stats(spark, d):
 @query("zonal_proxy", with_sql(POINTS, INSIDE) + f"""
 SELECT p.zone_id, count(value) AS valid_pixel_count, {R('sum(value)', 4)} AS raw_proxy_value, {R('sum(value) * 1000', 2)} AS raw_proxy_production_ton,
   CAST(NULL AS DOUBLE) AS raw_proxy_yield
-FROM polys p LEFT JOIN (SELECT zone_id, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS value FROM inside WHERE lon <= 115.8) i ON p.zone_id = i.zone_id GROUP BY p.zone_id""")
+FROM polys p LEFT JOIN (SELECT zone_id, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS value FROM inside) i ON p.zone_id = i.zone_id GROUP BY p.zone_id""")
 def zonal_proxy(spark, d):
     values = points(spark, d).withColumn("value", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")))
-    cells_in = G.join_zones(G.clip_bbox(values, "lon", "lat", EXTENT), polygons(spark, d))
+    cells_in = G.join_zones(values, polygons(spark, d))
     zones = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("zone_id"))
     out = G.zonal_proxy(zones, cells_in, "zone_id", production=True, factor=1000.0)
     return out.select("zone_id", "valid_pixel_count", rounded("raw_proxy_value", 4).alias("raw_proxy_value"),
@@ -166,13 +160,13 @@ def zonal_proxy(spark, d):
 
 
 @query("zonal_crop_area", with_sql(POINTS, INSIDE, """m AS (SELECT zone_id, c_mktsegment AS source,
-   sum(CASE WHEN c_custkey % 3 = 0 AND zone_id % 7 > 0 THEN abs(0.01 * 111320.0 * cos(radians(lat)) * 0.01 * 111320.0) / 10000.0 ELSE 0 END) AS a FROM inside WHERE lon <= 115.8 GROUP BY ALL)""",
+   sum(CASE WHEN c_custkey % 3 = 0 AND zone_id % 7 > 0 THEN abs(0.01 * 111320.0 * cos(radians(lat)) * 0.01 * 111320.0) / 10000.0 ELSE 0 END) AS a FROM inside GROUP BY ALL)""",
    "z AS (SELECT zone_id, sum(a) AS area, string_agg(source, ';' ORDER BY source) FILTER (a > 0) AS files FROM m GROUP BY zone_id)") + f"""
 SELECT p.zone_id, {R('coalesce(area, 0)', 4)} AS crop_area_ha, {R('greatest(0, least(1, coalesce(area, 0) / (1000.0 * (p.zone_id + 1))))')} AS crop_fraction, coalesce(files, '') AS source_file,
   CASE WHEN area > 0 THEN 'zonal_stats' WHEN area IS NOT NULL THEN 'no_crop_observed' ELSE 'no_overlap' END AS status
 FROM polys p LEFT JOIN z ON p.zone_id = z.zone_id""")
 def zonal_crop_area(spark, d):
-    masks = G.join_zones(G.clip_bbox(points(spark, d), "lon", "lat", EXTENT), polygons(spark, d)).select(
+    masks = G.join_zones(points(spark, d), polygons(spark, d)).select(
         "zone_id", F.col("c_mktsegment").alias("source"),
         F.when((F.col("c_custkey") % 3 == 0) & (F.col("zone_id") % 7 > 0), 1).otherwise(0).alias("mask"),
         cell_area_ha(F.lit(0.01), F.lit(0.01), F.col("lat")).alias("area_ha"))

@@ -184,23 +184,14 @@ CLIMATE = """climate AS (
 
 
 def remote_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annual vegetation-like panel per customer nation, restricted to building customers."""
-    return (
-        yields(spark, sf_dir)
-        .where("crop in ('BUILDING', 'MACHINERY')")
-        .groupBy("province", "year")
-        .pivot("crop", ["BUILDING", "MACHINERY"])
-        .agg(F.sum("area_hectare"))
-        .select("province", "year", F.col("BUILDING").alias("ndvi"), F.col("MACHINERY").alias("precipitation"))
-        .where("ndvi > 2")
-    )
+    """Annual vegetation-like panel per customer nation, from all crops; ndvi is missing where one crop is."""
+    return yields(spark, sf_dir).groupBy("province", "year").agg(
+        F.sum(F.when(F.col("crop") == "BUILDING", F.col("area_hectare"))).alias("ndvi"), F.sum("area_hectare").alias("precipitation"))
 
 
 REMOTE = """remote AS (
-  SELECT province, year, sum(area_hectare) FILTER (crop = 'BUILDING') AS ndvi,
-         sum(area_hectare) FILTER (crop = 'MACHINERY') AS precipitation
-  FROM yields WHERE crop IN ('BUILDING', 'MACHINERY') GROUP BY province, year
-  HAVING sum(area_hectare) FILTER (crop = 'BUILDING') > 2)"""
+  SELECT province, year, sum(area_hectare) FILTER (crop = 'BUILDING') AS ndvi, sum(area_hectare) AS precipitation
+  FROM yields GROUP BY province, year)"""
 
 
 def customer_points(customers: DataFrame) -> DataFrame:

@@ -148,13 +148,14 @@ def unmatched_units(spark, d):
 
 # --- aggregation and reshaping --------------------------------------------------------------
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 @query("pivot_variables", with_sql(I.EVENTS_LONG) + f"""
-SELECT admin_id, period, {', '.join(R(f"avg(value) FILTER (variable = '{v}')") + f' AS "{v}"' for v in ('click', 'error', 'view'))}
-FROM long WHERE variable IN ('click', 'error', 'view') GROUP BY admin_id, period""")
+SELECT admin_id, period, {', '.join(R(f"avg(value) FILTER (variable = '{v}')") + f' AS "{v}"' for v in EVENT_TYPES)}
+FROM long GROUP BY admin_id, period""")
 def pivot_variables(spark, d):
-    names = ["view", "click", "error"]
-    long = I.events_long(spark, d).where(F.col("variable").isin(*names))
-    return show(P.pivot_variables(long, ["admin_id", "period"], names), ["admin_id", "period"], sorted(names))
+    return show(P.pivot_variables(I.events_long(spark, d), ["admin_id", "period"], list(EVENT_TYPES)), ["admin_id", "period"], sorted(EVENT_TYPES))
 
 
 @query("weighted_zone_mean", f"""
@@ -405,14 +406,14 @@ def chd_annual(spark, d):
 
 @query("union_dedupe", with_sql(I.YIELDS) + f"""
 , u AS (SELECT province, year, crop, yield_kg_per_hectare AS y, 0 AS s FROM yields UNION ALL
-  SELECT province, year, 'BUILDING', production_ton, 1 FROM yields WHERE crop = 'FURNITURE' AND year > 1998)
+  SELECT province, year, CASE WHEN year > 1998 THEN crop ELSE lower(crop) END, production_ton, 1 FROM yields)
 SELECT province, year, crop, {R('y')} AS yield_kg_per_hectare, s AS source_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY province, year, crop ORDER BY s DESC) AS r FROM u) WHERE r = 1""")
 def union_dedupe(spark, d):
     y = I.yields(spark, d)
     first = y.select("province", "year", "crop", "yield_kg_per_hectare", F.lit(0).alias("source_rank"))
-    second = y.where("crop = 'FURNITURE' and year > 1998").select(
-        "province", "year", F.lit("BUILDING").alias("crop"), F.col("production_ton").alias("yield_kg_per_hectare"), F.lit(1).alias("source_rank"))
+    second = y.select(
+        "province", "year", F.when(F.col("year") > 1998, F.col("crop")).otherwise(F.lower("crop")).alias("crop"), F.col("production_ton").alias("yield_kg_per_hectare"), F.lit(1).alias("source_rank"))
     out = P.union_dedupe([first, second], ["province", "year", "crop"], [F.col("yield_kg_per_hectare").desc()])
     return show(out, ["province", "year", "crop", "source_rank"], ["yield_kg_per_hectare"])
 
@@ -441,11 +442,11 @@ RICE, GRAIN = ("building", "rice"), ("furniture", "grain")
 
 
 @query("select_outcome", with_sql(I.YIELDS) + f"""
-SELECT province, year, crop, {R('yield_kg_per_hectare')} AS yield_kg_per_hectare, 'province_grain_yield_anomaly' AS outcome_type FROM yields
-WHERE crop = 'FURNITURE' AND year <> 1996""")
+SELECT province, year, crop, {R('yield_kg_per_hectare')} AS yield_kg_per_hectare, 'province_rice_yield_anomaly' AS outcome_type FROM yields
+WHERE crop = 'BUILDING'""")
 def select_outcome(spark, d):
-    """Rice lacks the event year here, so grain is chosen."""
-    y = I.yields(spark, d).where("year <> 1996 and not (crop = 'BUILDING' and year = 2000)")
+    """Rice has the event year; tests cover the choice of grain."""
+    y = I.yields(spark, d)
     chosen, name = P.select_outcome(y, RICE, GRAIN, I.EVENT_YEAR)
     return show(chosen.withColumn("outcome_type", F.lit(name)), ["province", "year", "crop", "outcome_type"], ["yield_kg_per_hectare"])
 

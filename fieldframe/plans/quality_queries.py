@@ -72,7 +72,7 @@ TIER_SCHEMA = ("tier string, admin_level string, crop_type string, observed_year
 
 @query("data_tier", f"""
 WITH t AS (SELECT {choose_sql(Y_LEVELS, 'c_custkey')} AS lv, {choose_sql(Y_CROPS, 'c_custkey // 3')} AS cr, year(o_orderdate) AS year,
-  o_orderpriority LIKE '%URGENT%' AS proxy FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) <> 1998),
+  o_orderpriority LIKE '%URGENT%' AS proxy FROM orders JOIN customer ON o_custkey = c_custkey),
 c AS (SELECT * FROM t WHERE NOT proxy AND lv IN ('county', 'prefecture') AND cr = 'grain'),
 m AS (SELECT (SELECT lv FROM c GROUP BY lv ORDER BY count(*) DESC, lv LIMIT 1) AS lv, 'grain' AS cr, count(DISTINCT year) AS n, max(year) - min(year) + 1 AS e FROM t)
 SELECT 'tier_2' AS tier, lv AS admin_level, cr AS crop_type, n AS observed_years, {R('n / e')} AS year_coverage_rate, 'impact_assessment' AS conclusion_strength,
@@ -80,7 +80,7 @@ SELECT 'tier_2' AS tier, lv AS admin_level, cr AS crop_type, n AS observed_years
   'strong_causal_claim_without_parallel_trends_and_coverage_checks' AS forbidden_claim FROM m""")
 def data_tier(spark, d):
     """Rice rows exist only as proxies here, so grain rows decide."""
-    rows = coverage_rows(spark, d).where("year <> 1998 or year is null")
+    rows = coverage_rows(spark, d)
     proxy = Q.is_proxy([F.when(F.col("source_file").contains("URGENT") | (F.col("crop_type") == "rice"), F.lit("ggcp proxy")).otherwise(F.col("source_file"))])
     flags = rows.select("admin_level", "crop_type", "year", proxy.alias("is_proxy"), (F.col("yield_kg_per_hectare") > 0).alias("usable"))
     return show(spark.createDataFrame([tuple(Q.data_tier(flags).values())], TIER_SCHEMA),
@@ -340,10 +340,10 @@ def treatment_counts(spark, d):
 
 
 @query("missing_year_share", f"""
-WITH a AS (SELECT y FROM range(1990, 2006) t(y) WHERE y NOT IN (SELECT DISTINCT year(o_orderdate) FROM orders WHERE year(o_orderdate) <> 1998))
+WITH a AS (SELECT y FROM range(1990, 2006) t(y) WHERE y NOT IN (SELECT DISTINCT year(o_orderdate) FROM orders))
 SELECT count(*) AS missing_years, {R('count(*) FILTER (y IN (1991, 1998, 2000)) / count(*)')} AS share FROM a""")
 def missing_year_share(spark, d):
-    rows = I.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).where("year <> 1998")
+    rows = I.table(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
     return show(Q.missing_year_share(rows, 1990, 2005, [1991, 1998, 2000]), ["missing_years"], ["share"])
 
 

@@ -50,16 +50,16 @@ def brute_force(row, candidates):
     same = [c for c in candidates if c["year"] == row["year"]]
     pool = same or candidates
     prov, pref, county = plain(row["province"]), plain(row["prefecture"]), plain(row["county"])
-    if not prov:
-        return None
     place = lambda c: {k: plain(c[v]) for k, v in (("p", "province_standard"), ("f", "prefecture_standard"), ("c", "county_standard"), ("n", "admin_name_standard"))}
     pool = [(c, place(c)) for c in pool]
-    pool = [(c, n) for c, n in pool if prov in (n["p"], n["n"])]
+    pool = [(c, n) for c, n in pool if not prov or prov in (n["p"], n["n"])]
     for wanted, key in ((pref, "f"), (county, "c")):
         if wanted:
             exact = [(c, n) for c, n in pool if wanted in (n[key], n["n"])]
             pool = exact or pool
     target = county or pref or prov
+    if not target:
+        return None
     best = None
     for c, n in pool:
         score = max((SequenceMatcher(None, target, v).ratio() for v in n.values() if v), default=0.0)
