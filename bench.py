@@ -19,6 +19,7 @@ from fieldframe.session import get_session  # noqa: E402
 HEADLINE = (
     "daily_chd_panel", "zonal_proxy", "two_way_fe", "robustness_suite", "annual_exposure_panel", "model_panel", "proxy_panel",
     "point_in_zone_join", "grid_extremes", "yield_coverage", "resolve_succession", "max_duration", "claim_guardrails",
+    "crosswalk_match", "zone_stats", "standard_zone_ids", "html_text", "monthly_climate",
 )
 
 

@@ -125,18 +125,19 @@ def admin_key(code: Column, names, clean_name: Column) -> Column:
     return F.coalesce(clean_text(code), F.nullif(joined, F.lit("")), clean_text(clean_name), F.lit(""))
 
 
+# Words of a source and their rank; the first row with a word applies.
+SOURCE_PRIORITIES = (
+    (("official", "统计局", "调查总队", "government"), 100),
+    (("yearbook", "年鉴"), 90),
+    (("cnki", "csyd", "eps"), 80),
+    (("third", "第三方", "tjnj", "yougis"), 30),
+)
+
+
 def source_priority(source_type: Column, source_name: Column) -> Column:
     """Rank of a source from its words; official before yearbook before database before third party."""
     text = F.lower(F.concat_ws(" ", F.coalesce(source_type, F.lit("")), F.coalesce(source_name, F.lit(""))))
-    return first_rule(
-        [
-            (contains_any(text, ("official", "统计局", "调查总队", "government")), F.lit(100)),
-            (contains_any(text, ("yearbook", "年鉴")), F.lit(90)),
-            (contains_any(text, ("cnki", "csyd", "eps")), F.lit(80)),
-            (contains_any(text, ("third", "第三方", "tjnj", "yougis")), F.lit(30)),
-        ],
-        F.lit(50),
-    )
+    return first_rule([(contains_any(text, words), F.lit(rank)) for words, rank in SOURCE_PRIORITIES], F.lit(50))
 
 
 def direction(c: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +31,10 @@ YIELD_TO_KG_HA = (
     (("吨/公顷", "吨/ha", "t/ha", "ton/ha", "tons/ha"), 1000.0),
 )
 
+# Precipitation rates and metres in climate tables.
+RATE_UNITS = ("kgm-2s-1", "kg/m2/s", "kgm**-2s**-1")
+METRE_UNITS = ("m", "meter", "metre", "meters", "metres")
+
 # Coded units of the entry templates.
 CODED_AREA = {"hectare": 1.0, "mu": 1.0 / 15.0, "thousand_hectare": 1000.0, "ten_thousand_mu": 10000.0 / 15.0}
 CODED_PRODUCTION = {
@@ -53,28 +59,44 @@ def unit_text(c: Column | str) -> Column:
 
 def unit_in_header(header: str) -> str:
     """Unit inside the last parentheses of a column header; a bare header carries none."""
-    import re
-
     found = re.findall(r"[（(]([^()（）]+)[）)]", header)
     return found[-1] if found else ""
 
 
-def convert_by_words(value: Column | str, unit: Column, rules: Sequence) -> Column:
-    factor = first_rule([(contains_any(unit, words), F.lit(f)) for words, f in rules], F.lit(1.0))
+def names_unit(unit: Column | str, words: Sequence[str], slash: bool = False) -> Column:
+    """True when a unit text holds one of the words: Latin words as whole tokens, others anywhere.
+
+    Spaces may stand inside a unit (``10000 t``) or between words (``in kg``), so the text is looked
+    at both ways. With ``slash`` per and 每 count as a slash.
+    """
+    def hit(text: Column) -> Column:
+        if slash:
+            text = F.replace(F.replace(text, F.lit("per"), F.lit("/")), F.lit("每"), F.lit("/"))
+        latin = [re.escape(w) for w in words if w.isascii()]
+        tests = [text.contains(w) for w in words if not w.isascii()]
+        if latin:
+            tests.append(text.rlike(rf"(?<![a-z])(?:{'|'.join(latin)})s?(?![a-z])"))
+        return reduce(lambda a, b: a | b, tests)
+
+    spaced = F.translate(F.lower(F.trim(F.coalesce(col(unit).cast("string"), F.lit("")))), "（）／", "()/")
+    return hit(unit_text(unit)) | hit(spaced)
+
+
+def convert_by_words(value: Column | str, unit: Column | str, rules: Sequence, slash: bool = False) -> Column:
+    factor = first_rule([(names_unit(unit, words, slash), F.lit(f)) for words, f in rules], F.lit(1.0))
     return parse_number(value) * factor
 
 
 def production_to_ton(value: Column | str, unit: Column | str) -> Column:
-    return convert_by_words(value, unit_text(unit), PRODUCTION_TO_TON)
+    return convert_by_words(value, unit, PRODUCTION_TO_TON)
 
 
 def area_to_hectare(value: Column | str, unit: Column | str) -> Column:
-    return convert_by_words(value, unit_text(unit), AREA_TO_HECTARE)
+    return convert_by_words(value, unit, AREA_TO_HECTARE)
 
 
 def yield_to_kg_ha(value: Column | str, unit: Column | str) -> Column:
-    compact = F.replace(F.replace(unit_text(unit), F.lit("per"), F.lit("/")), F.lit("每"), F.lit("/"))
-    return convert_by_words(value, compact, YIELD_TO_KG_HA)
+    return convert_by_words(value, unit, YIELD_TO_KG_HA, slash=True)
 
 
 def coded_factor(unit: Column, factors: Mapping[str, float]) -> Column:
@@ -110,8 +132,8 @@ def temperature_to_celsius(value: Column | str, unit: Column | str) -> Column:
 def precipitation_to_mm(value: Column | str, unit: Column | str, step_seconds: Column | str) -> Column:
     """Mass-flux rates times the time step, metres to millimetres, anything else as it is."""
     u = F.lower(F.trim(col(unit)))
-    rate = contains_any(F.replace(u, F.lit(" "), F.lit("")), ["kgm-2s-1", "kg/m2/s", "kgm**-2s**-1"])
-    metres = u.isin("m", "meter", "metre", "meters", "metres")
+    rate = contains_any(F.replace(u, F.lit(" "), F.lit("")), RATE_UNITS)
+    metres = u.isin(*METRE_UNITS)
     return (
         F.when(F.coalesce(rate, F.lit(False)), col(value) * col(step_seconds))
         .when(F.coalesce(metres, F.lit(False)), col(value) * 1000.0)

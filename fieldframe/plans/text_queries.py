@@ -92,6 +92,14 @@ def claim_guardrails(spark, d):
     return T.claim_issues(docs, "doc_id", "text", RULES)
 
 
+TOKENS = ("retour", "Apache License", "quasi_causal")
+
+
+@query("forbidden_tokens", "SELECT bool_or(" + " OR ".join(f"contains(text, '{t}')" for t in TOKENS) + ") AS detected FROM documents")
+def forbidden_tokens(spark, d):
+    return T.forbidden_tokens(I.table(spark, d, "documents"), "text", TOKENS)
+
+
 # --- files ----------------------------------------------------------------------------------
 
 FOLDERS = ("era5_land/x", "nasa/MOD13Q1", "CHIRPS/clipped", "chirps/full", "ChinaRiceCalendar", "clcd/v1", "asia_rice_yield", "GGCP10/prod", "gleam/raw", "misc")
@@ -171,4 +179,4 @@ def freeze_hashes(spark, d):
     tables = {n: I.table(spark, d, n) for n in FROZEN}
     keys = {"orders": ["o_totalprice"], "events": ["value"]}
     return S.freeze(spark, d, tables, keys).select(
-        S.file_name(F.col("path")).alias("file_name"), "sha256", "length", "rows", "columns", "key_coverage")
+        S.file_name(F.col("path")).alias("file_name"), "sha256", "length", "rows", "columns", "year_min", "year_max", "key_coverage")

@@ -18,6 +18,7 @@ def get_session(app_name: str = "fieldframe", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.legacy.javaCharsets": "true",  # statistics tables come in GB18030 too
         **conf,
     }
     for key, value in settings.items():

@@ -61,20 +61,19 @@ def inventory(files: DataFrame, categories: Sequence[str], root_depth: int) -> D
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("length") > 0).alias("readable"))
 
 
+# Category, words of its paths and suffixes; the first row that fits applies.
+CATEGORIES = (
+    ("phenology", ("chinaricecalendar",), RASTER_SUFFIXES),
+    ("crop_mask", ("china_single_season_rice", "single_season_rice", "/clcd/"), RASTER_SUFFIXES),
+    ("climate", ("era5_land", "cmfd", "chirps", "terraclimate"), CLIMATE_SUFFIXES),
+    ("remote_sensing", ("nasa", "mod13q1", "myd13q1", "mod11a2", "mod16a2", "smap", "spl3smp", "grace", "gleam"), (*CLIMATE_SUFFIXES, *RASTER_SUFFIXES, ".hdf", ".h5")),
+)
+
+
 def path_category(path: Column) -> Column:
     """Category of an external file from path words and suffix; null when none applies."""
     p, s = F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), suffix(path)
-    crop = contains_any(p, ("china_single_season_rice", "single_season_rice", "/clcd/"))
-    remote = ("nasa", "mod13q1", "myd13q1", "mod11a2", "mod16a2", "smap", "spl3smp", "grace", "gleam")
-    return first_rule(
-        [
-            (p.contains("chinaricecalendar") & s.isin(*RASTER_SUFFIXES), F.lit("phenology")),
-            (crop & s.isin(*RASTER_SUFFIXES), F.lit("crop_mask")),
-            (contains_any(p, ("era5_land", "cmfd", "chirps", "terraclimate")) & s.isin(*CLIMATE_SUFFIXES), F.lit("climate")),
-            (contains_any(p, remote) & s.isin(*CLIMATE_SUFFIXES, *RASTER_SUFFIXES, ".hdf", ".h5"), F.lit("remote_sensing")),
-        ],
-        F.lit(None).cast("string"),
-    )
+    return first_rule([(contains_any(p, words) & s.isin(*suffixes), F.lit(name)) for name, words, suffixes in CATEGORIES], F.lit(None).cast("string"))
 
 
 def name_years(path: Column) -> Column:
@@ -112,12 +111,17 @@ def filename_metadata(path: Column) -> dict[str, Column]:
     }
 
 
+# Words of mask files, best first.
+MASK_WORDS = (
+    ("rice", "single_season_rice", "middle_rice", "early_rice", "late_rice", "稻"),
+    ("clcd", "cropland", "worldcover", "landcover", "crop_land"),
+)
+
+
 def source_rank(path: Column) -> Column:
     """Rice masks before generic cropland masks before the rest."""
     p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    rice = ("rice", "single_season_rice", "middle_rice", "early_rice", "late_rice", "稻")
-    land = ("clcd", "cropland", "worldcover", "landcover", "crop_land")
-    return first_rule([(contains_any(p, rice), F.lit(0)), (contains_any(p, land), F.lit(1))], F.lit(2))
+    return first_rule([(contains_any(p, words), F.lit(rank)) for rank, words in enumerate(MASK_WORDS)], F.lit(len(MASK_WORDS)))
 
 
 def nearest_year(files: DataFrame, group: Sequence[str], target: int, ties: bool = False) -> DataFrame:
@@ -167,12 +171,21 @@ def rows_per_file(df: DataFrame, columns: int | None = None) -> DataFrame:
 
 
 def freeze(spark: SparkSession, root: str, tables: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
-    """Version freeze: hash, size, rows, columns and filled share of key columns per file."""
+    """Version freeze: hash, size, rows, columns, year range and filled share of key columns per file.
+
+    The range is that of a year column, or of the years of the first date or time column; null without.
+    """
+    def years(df: DataFrame) -> list[Column]:
+        whole = next((F.col(c) for c, kind in df.dtypes if c.lower() == "year" and kind in ("int", "bigint", "smallint")), None)
+        dated = next((F.year(c) for c, kind in df.dtypes if kind in ("date", "timestamp", "timestamp_ntz")), None)
+        year = next((y for y in (whole, dated) if y is not None), F.lit(None))
+        return [F.min(year).cast("int").alias("year_min"), F.max(year).cast("int").alias("year_max")]
+
     measured = None
     for name, df in tables.items():
         filled = [F.concat(F.lit(f"{c}="), F.round(F.count(c) / F.count(F.lit(1)), 6).cast("string")) for c in keys.get(name, ())]
         part = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-            F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.concat_ws(";", *filled).alias("key_coverage"))
+            F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), *years(df), F.concat_ws(";", *filled).alias("key_coverage"))
         measured = part if measured is None else measured.unionByName(part)
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     hashes = fingerprints(spark, root, "*.parquet").withColumn("path", plain(F.col("path")))

@@ -21,8 +21,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    if encoding not in ("UTF-8", "ISO-8859-1"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GB18030 is outside Spark's default list
+    """CSV as text; encodings outside Spark's list need the session setting that ``get_session`` makes."""
     df = spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(path)
     return df.withColumnsRenamed({c: c.removeprefix("﻿") for c in df.columns})
 

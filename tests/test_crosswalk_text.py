@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldframe.functions import names as N
+from fieldframe.functions import units as U
 from fieldframe.operators import crosswalk as K
 from fieldframe.operators import text as T
 from fieldframe.plans import crosswalk_queries as KQ
@@ -137,6 +138,17 @@ def test_claims(spark):
     assert T.forbidden_tokens(df, "t", ["证明"]).first()["detected"] and not T.forbidden_tokens(df, "t", ["zzz"]).first()["detected"]
 
 
+def test_units_match_whole_tokens(spark):
+    units = ["mg", "g", "100g", "grain weight", "in kg", "kg", "10000 t", "万吨", "千克", "mushroom", "mu", "公斤/亩", "kg per mu", "grams"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u string")
+    got = {r["u"]: (r["t"], r["h"], r["y"]) for r in df.select("u", U.production_to_ton(F.lit("1"), "u").alias("t"), U.area_to_hectare(F.lit("1"), "u").alias("h"), U.yield_to_kg_ha(F.lit("1"), "u").alias("y")).collect()}
+    assert {u: t for u, (t, _, _) in got.items()} == {
+        "mg": 1.0, "g": 1e-6, "100g": 1e-6, "grain weight": 1.0, "in kg": 1e-3, "kg": 1e-3, "10000 t": 1e4, "万吨": 1e4, "千克": 1e-3, "mushroom": 1.0, "mu": 1.0,
+        "公斤/亩": 1e-3, "kg per mu": 1e-3, "grams": 1e-6}
+    assert got["mu"][1] == pytest.approx(1 / 15) and got["mushroom"][1] == 1.0
+    assert got["kg per mu"][2] == 15.0 and got["公斤/亩"][2] == 15.0 and got["kg"][2] == 1.0
+
+
 def test_field_roles(spark):
     found = match_fields(spark, ["年份", "省份", "水稻单产(公斤/亩)", "播种面积（千公顷）", "产量"])
     assert found["year"] == "年份" and found["rice_yield"] == "水稻单产(公斤/亩)" and found["sown_area"] == "播种面积（千公顷）"
