@@ -11,6 +11,7 @@ from fieldframe.functions.names import PROVINCE_SUFFIXES, normalize_province_nam
 from fieldframe.functions.numbers import flag
 from fieldframe.operators.picks import pick_one
 from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
+from fieldframe.session import materialize
 
 
 def clip_bbox(df: DataFrame, lon: str, lat: str, box: tuple[float, float, float, float]) -> DataFrame:
@@ -163,9 +164,9 @@ def _spatial_mean(cells: DataFrame, period: Sequence[str]) -> DataFrame:
 def monthly_climate(cells: DataFrame) -> DataFrame:
     """Monthly value per source and variable; months without data between first and last are filled."""
     month = F.trunc("time", "month")
-    known = cells.withColumn("_month", month)
-    values = _spatial_mean(known, ["_month"])
-    ends = known.groupBy("source").agg(F.min("_month").alias("_a"), F.max("_month").alias("_b"))
+    # one row per source, variable and month: the months, variables and their ends follow from it
+    values = materialize(_spatial_mean(cells.withColumn("_month", month), ["_month"]), "monthly")
+    ends = values.groupBy("source").agg(F.min("_month").alias("_a"), F.max("_month").alias("_b"))
     spine = ends.select("source", F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("_month"))
     grid = values.select("source", "variable", "_how").distinct().join(spine, "source")
     filled = grid.join(values.drop("_how"), ["source", "variable", "_month"], "left")
@@ -244,7 +245,7 @@ def zone_season(cells: DataFrame, zone: str) -> DataFrame:
 
 def zone_stats(cells: DataFrame, zone: str, value: str) -> DataFrame:
     """Mean, median, extremes, population deviation and valid count per zone."""
-    valid = cells.where(F.col(value).isNotNull())
+    valid = materialize(cells.where(F.col(value).isNotNull()).select(zone, value), "zone-values")  # joined once, read twice
     plain = valid.groupBy(zone).agg(
         F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("valid_pixel_count"),

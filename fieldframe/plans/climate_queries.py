@@ -29,9 +29,9 @@ def _show_sql(columns, floats):
     return ", ".join(f"{R(c)} AS {c}" if c in floats else c for c in columns)
 
 
-def annual_panel(spark, d):
+def annual_panel(spark, d, daily=None):
     """The annual panel, written once: the event fields below read it several times."""
-    return materialize(C.chd_panel(I.daily(spark, d), I.SETTINGS), "annual-chd")
+    return materialize(C.chd_panel(daily if daily is not None else I.daily(spark, d), I.SETTINGS), "annual-chd")
 
 
 @query("daily_chd_panel", with_sql(*I.CHD_CHAIN) + f"SELECT {_show_sql(PANEL_COLUMNS, FLOATS)} FROM treated")

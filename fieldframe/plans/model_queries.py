@@ -24,9 +24,9 @@ PANEL = """fe AS (SELECT a.province, a.year, yield_anomaly_pct AS y, CAST(t.chd_
 FE_CHAIN = (*I.CHD_CHAIN, I.YIELDS, I.UNIT_YIELDS, OUTCOME, PANEL)
 
 
-def fe_panel(spark, d):
+def fe_panel(spark, d, daily=None):
     """All-crop yield anomaly and annual exposure per unit and year."""
-    exposure = annual_panel(spark, d).select("province", "year", F.col("chd_annual").cast("double").alias("x"),
+    exposure = annual_panel(spark, d, daily).select("province", "year", F.col("chd_annual").cast("double").alias("x"),
                                               F.col("hot_days").cast("double").alias("h"))
     outcome = outcome_panel(spark, d).select("province", "year", F.col("yield_anomaly_pct").alias("y"))
     return materialize(outcome.join(exposure, ["province", "year"]), "fe-panel")
@@ -158,9 +158,10 @@ def _robustness_sql():
 
 def robustness_frame(spark, d):
     """All variants as result rows; coverage is the share of unit-year cells that have a value."""
-    panel = fe_panel(spark, d).withColumnRenamed("x", "chd_annual").withColumn("is_backfill", F.col("year") == 1996)
+    daily = materialize(I.daily(spark, d), "daily")  # read by the panel and by the variants
+    panel = fe_panel(spark, d, daily).withColumnRenamed("x", "chd_annual").withColumn("is_backfill", F.col("year") == 1996)
     specs = B.standard_specs(I.SETTINGS)
-    fits = B.robustness_fits(panel, I.daily(spark, d), I.SETTINGS, HIGHLIGHTED, "y", specs=specs)
+    fits = B.robustness_fits(panel, daily, I.SETTINGS, HIGHLIGHTED, "y", specs=specs)
     units = panel.agg(F.count_distinct("province")).first()[0]
     years = I.YEARS[1] - I.YEARS[0] + 1
     covered = {s.name: fits[s.name].n >= 0.75 * years * (len(HIGHLIGHTED) if s.highlighted else units) for s in specs if s.name in fits}
