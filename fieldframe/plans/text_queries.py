@@ -29,12 +29,22 @@ def html_text(spark, d):
     return I.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("announcement_rows", f"""
+_SINGLE = ", ".join(f"'{n}'" for n in T.ANNOUNCED if n not in T.SPLIT_NAMES)
+_DOUBLE = ", ".join(f"'{n}'" for n in T.SPLIT_NAMES)
+
+
+@query("announcement_rows", with_sql(HTML, """tab AS (SELECT page_id, text || ' 全国总计 ' || page_id || ' 12.5 x 3,000 北京 1 2 黑 龙江 ' || CAST(page_id % 7 + 4.5 AS DOUBLE) || ' 5 6 7 ' ||
+    CASE WHEN page_id % 2 = 0 THEN '河北 1 2 3 河北 9 9 9 ' ELSE '河北 8 9' END AS t FROM visible)""",
+  "tok AS (SELECT page_id, list_filter(string_split_regex(regexp_replace(replace(t, chr(160), ' '), '[　,，]', '', 'g'), '\\s+'), lambda x: x <> '') AS ts FROM tab)",
+  "word AS (SELECT page_id, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM tok)",
+  "pair AS (SELECT *, w || lead(w) OVER (PARTITION BY page_id ORDER BY i) AS ww FROM word)",
+  f"name AS (SELECT page_id, i, i AS last, w AS province FROM pair WHERE w IN ({_SINGLE}) UNION ALL SELECT page_id, i, i + 1, ww FROM pair WHERE ww IN ({_DOUBLE}))",
+  "span AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY page_id ORDER BY i), 1000000000) AS stop FROM name)",
+  f"number AS (SELECT s.page_id, s.i, s.province, CAST(w.w AS DOUBLE) AS v, row_number() OVER (PARTITION BY s.page_id, s.i ORDER BY w.i) AS k FROM span s JOIN word w ON w.page_id = s.page_id AND w.i > s.last AND w.i < s.stop AND regexp_matches(w.w, '{T.NUMBER}'))",
+  "three AS (SELECT page_id, i, province, max(v) FILTER (k = 1) AS a, max(v) FILTER (k = 2) AS p, max(v) FILTER (k = 3) AS y FROM number GROUP BY ALL HAVING count(*) >= 3)",
+  "first AS (SELECT *, row_number() OVER (PARTITION BY page_id, province ORDER BY i) AS k FROM three)") + f"""
 SELECT page_id, CAST(2000 + page_id % 20 AS INTEGER) AS year, province, CASE WHEN province = '全国总计' THEN 'national' ELSE 'province' END AS admin_level, 'grain' AS crop,
-  {R('a * 1000')} AS sown_area_hectare, {R('p * 10000')} AS production_ton, {R('y')} AS yield_kg_per_hectare
-FROM (SELECT page_id, '全国总计' AS province, CAST(page_id AS DOUBLE) AS a, 12.5 AS p, 3000.0 AS y FROM pages
-      UNION ALL SELECT page_id, '黑龙江', page_id % 7 + 4.5, 5, 6 FROM pages
-      UNION ALL SELECT page_id, '河北', 1, 2, 3 FROM pages WHERE page_id % 2 = 0)""")
+  {R('a * 1000')} AS sown_area_hectare, {R('p * 10000')} AS production_ton, {R('y')} AS yield_kg_per_hectare FROM first WHERE k = 1""")
 def announcement_rows(spark, d):
     """Whole page text followed by a table: one region lacks a number, one is split, one repeats."""
     k = F.col("page_id")
