@@ -158,7 +158,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(),
                 bearing = None
                 if prompt:
                     bearing = np.ones(len(ids), bool)
-                    bearing[:len(own.ids(text[:prompt]))] = False
+                    bearing[:len(own.ids((text or "")[:prompt]))] = False
                 done += packer.add(Piece(doc_id, 0, ids, bearing, len(ids)))
             yield rows(done)
         yield rows(packer.close())
