@@ -1,7 +1,7 @@
 """Token ids in files: ids ranked by frequency, in one to four bytes each, with separate control bytes.
 
-A file table holds blocks in ascending doc_id order: documents' ids and lengths, control bytes (two
-bits per id, four ids a byte) and data bytes. The rank table is written beside it. Both are Parquet
+A file table holds blocks in ascending doc_id order: documents' ids and lengths, and for all their
+ids in one stream control bytes (two bits per id, four ids a byte) and data bytes. The rank table is written beside it. Both are Parquet
 under the shared folder, and reading needs nothing else.
 """
 
@@ -71,17 +71,18 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
     docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, n long, ids binary").write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
 
-    def unpacked(row_ids: bytes, n: int) -> np.ndarray:
-        return np.frombuffer(row_ids, small if len(row_ids) == 2 * n else "<u4")
+    def joined(batch: pa.RecordBatch) -> np.ndarray:
+        """Ids of all rows of a batch, one after another."""
+        raw = b"".join(batch.column("ids").to_pylist())
+        return np.frombuffer(raw, small if len(raw) == 2 * int(batch.column("n").to_numpy().sum()) else "<u4")
 
     def counted(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, n in zip(batch.column("ids"), batch.column("n").to_pylist()):
-                found = np.bincount(unpacked(raw.as_buffer(), n))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[:len(found)] += found
+            found = np.bincount(joined(batch))
+            if len(found) > len(total):
+                total = np.pad(total, (0, len(found) - len(total)))
+            total[:len(found)] += found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "count"])
 
@@ -95,36 +96,44 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
 
     def ranked(batches):
         for batch in batches:
-            pairs = [encode_ranks(shared.value[unpacked(raw.as_buffer(), n)]) for raw, n in zip(batch.column("ids"), batch.column("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([c for c, _ in pairs], pa.binary()),
-                                              pa.array([d for _, d in pairs], pa.binary())], ["doc_id", "n", "control", "data"])
+            kind = small if len(order) <= 1 << 16 else "<u4"
+            ranks = shared.value[joined(batch)].astype(kind).tobytes()
+            cut = np.concatenate(([0], np.cumsum(batch.column("n").to_numpy()))) * np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([ranks[a:b] for a, b in zip(cut, cut[1:])], pa.binary())],
+                                             ["doc_id", "n", "ids"])
 
     def blocks(batches):
         at, held, size = 0, [], 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                n = batch.column("n")[row].as_py()
-                held.append((batch.column("part")[row].as_py(), batch.column("doc_id")[row].as_py(), n, batch.column("control")[row].as_py(), batch.column("data")[row].as_py()))
-                size += n
+            ends = np.cumsum(batch.column("n").to_numpy())
+            first = 0
+            while first < batch.num_rows:
+                before = int(ends[first - 1]) if first else 0
+                last = min(batch.num_rows, int(np.searchsorted(ends, before + BLOCK_IDS - size)) + 1)
+                held.append(batch.slice(first, last - first))
+                size += int(ends[last - 1]) - before
+                first = last
                 if size >= BLOCK_IDS:
-                    yield _block(held, at)
+                    yield block(held, at)
                     at, held, size = at + size, [], 0
         if held:
-            yield _block(held, at)
+            yield block(held, at)
 
-    sorted_rows = ids.mapInArrow(ranked, "doc_id long, n long, control binary, data binary").repartitionByRange("doc_id")
-    sorted_rows = sorted_rows.sortWithinPartitions("doc_id", "n", F.xxhash64("control", "data")).withColumn("part", F.spark_partition_id())
-    form = "part int, at long, tokens long, docs array<long>, lengths array<long>, control array<binary>, data binary"
-    sorted_rows.select("part", "doc_id", "n", "control", "data").mapInArrow(blocks, form).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    def block(rows: list[pa.RecordBatch], at: int) -> pa.RecordBatch:
+        """One block, ``at`` ids into its part: its documents' ids as one stream."""
+        table = pa.Table.from_batches(rows)
+        control, data = encode_ranks(np.concatenate([joined(r) for r in rows]))
+        lengths = table.column("n").to_pylist()
+        return pa.RecordBatch.from_arrays([
+            pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([at], pa.int64()), pa.array([sum(lengths)], pa.int64()),
+            pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
+            pa.array([control], pa.binary()), pa.array([data], pa.binary()),
+        ], ["part", "at", "tokens", "docs", "lengths", "control", "data"])
 
-
-def _block(rows: list[tuple], at: int) -> pa.RecordBatch:
-    """One block, ``at`` ids into its part; documents keep their own control bytes, so that each starts on a byte."""
-    parts, docs, lengths, control, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([
-        pa.array([parts[0]], pa.int32()), pa.array([at], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([docs], pa.list_(pa.int64())),
-        pa.array([lengths], pa.list_(pa.int64())), pa.array([control], pa.list_(pa.binary())), pa.array([b"".join(data)], pa.binary()),
-    ], ["part", "at", "tokens", "docs", "lengths", "control", "data"])
+    sorted_rows = ids.mapInArrow(ranked, "doc_id long, n long, ids binary").repartitionByRange("doc_id")
+    sorted_rows = sorted_rows.sortWithinPartitions("doc_id", "n", F.xxhash64("ids")).withColumn("part", F.spark_partition_id())
+    form = "part int, at long, tokens long, docs array<long>, lengths array<long>, control binary, data binary"
+    sorted_rows.select("part", "doc_id", "n", "ids").mapInArrow(blocks, form).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -143,18 +152,17 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def decoded(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                at, used, out = base[row["part"]] + row["at"], 0, []
-                for doc_id, n, control in zip(row["docs"], row["lengths"], row["control"]):
-                    codes = np.frombuffer(control, np.uint8)
-                    size = int(TOTALS[codes].sum()) - (-n % 4)  # ids that fill the last byte have no data
-                    ids = id_of.value[decode_ranks(control, row["data"][used:used + size], n)]
-                    out.append((doc_id, at, n, zlib.crc32(ids.tobytes()), ids.tolist() if with_ids else None))
-                    at, used = at + n, used + size
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *([pa.array(columns[4], pa.list_(pa.int64()))] if with_ids else [])],
-                                                 ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
-
-    return files.select("part", "at", "docs", "lengths", "control", "data").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+                ids = id_of.value[decode_ranks(row["control"], row["data"], row["tokens"])]
+                ends = np.cumsum(row["lengths"])
+                starts = ends - row["lengths"]
+                raw = memoryview(ids.tobytes())
+                columns = [pa.array(row["docs"], pa.int64()), pa.array(base[row["part"]] + row["at"] + starts, pa.int64()), pa.array(row["lengths"], pa.int64()),
+                           pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(starts, ends)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
+
+    return files.select("part", "at", "tokens", "docs", "lengths", "control", "data").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
 def tokens_round_trip(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:

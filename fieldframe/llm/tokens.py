@@ -15,6 +15,11 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 UNSAFE = re.compile(r"\s (?:\s|\Z)|[\x1c-\x1f\x85]")
+#: Single newlines between characters that are not white space, or one at the end.
+LINES = re.compile(r"\S+(?:\n\S+)*\n?")
+PUNCTUATION = ".,;:!?$%&#*|)"
+#: An ASCII text that UNSAFE matches holds one of these.
+SUSPECT = ("  ", "\n ", "\t ", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
 KEPT = 1_000_000
 _encoders: dict[str, Encoder] = {}
 
@@ -26,6 +31,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def unsafe(text: str) -> bool:
+    """Whether cutting at single spaces could change ids; plain texts are told apart without the pattern."""
+    if text.isascii() and not any(c in text for c in SUSPECT):
+        return False
+    return UNSAFE.search(text) is not None
+
+
+def single(word: str) -> bool:
+    """Whether a word is surely one pre-token: Latin letters, or ASCII digits."""
+    return word.isalpha() and max(word) < "ɐ" or word.isascii() and word.isdigit()
+
+
 class Encoder(dict):
     """Ids of the piece " " + word by word, as bytes of 32-bit unsigned little-endian integers."""
 
@@ -36,9 +53,10 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
         self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.heads: dict[str, bytes] = {}
+        self.newline = self.whole("\n")
         step = self.tokenizer.pre_tokenizer
         self.byte_level = type(step).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
 
@@ -46,28 +64,49 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalnum():
-            ids = self[word[:-1]] + self.head(word[-1])
-        elif word.isalpha() and max(word) < "ɐ":
-            piece = "".join(map(self.letters.__getitem__, b" " + word.encode()))
-            ids = b"".join([self.coded[t.id] for t in self.model.tokenize(piece)])
+        """Ids of a piece that is not kept yet, from parts that pre-tokenisation cuts anyway."""
+        plain = word.rstrip(PUNCTUATION)
+        if plain != word and plain and plain[-1].isalnum():
+            ids = self[plain] + self.head(word[len(plain):])
+        elif "\n" in word and LINES.fullmatch(word):
+            # a newline between other characters is a piece of its own; such pieces seldom repeat and are not kept
+            first, *others = word.split("\n")
+            return self[first] + b"".join([self.newline + self.head(line) for line in others])
+        elif single(word):
+            ids = self.model_ids(" " + word)
         else:
             ids = self.whole(" " + word)
         self[word] = ids
         return ids
 
+    def model_ids(self, piece: str) -> bytes:
+        """Ids of one pre-token, with a space before it or not."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(piece.translate(self.letters))])
+
     def head(self, word: str) -> bytes:
-        if word not in self.heads:
+        """Ids of a word without a space before it; kept apart."""
+        ids = self.heads.get(word)
+        if ids is None:
             if len(self.heads) > KEPT // 4:
                 self.heads.clear()
-            self.heads[word] = self.whole(word) if word else b""
-        return self.heads[word]
+            plain = word.rstrip(PUNCTUATION)
+            if plain != word and plain and plain[-1].isalnum():
+                ids = self.head(plain) + self.head(word[len(plain):])
+            elif single(word):
+                ids = self.model_ids(word)
+            else:
+                ids = self.whole(word) if word else b""
+            self.heads[word] = ids
+        return ids
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a text; of a null or empty text none."""
         if not text:
             return np.zeros(0, "<u4")
-        if not self.byte_level or UNSAFE.search(text) or any(s in text for s in self.special):
+        if not self.byte_level or unsafe(text) or any(s in text for s in self.special):
             return np.frombuffer(self.whole(text), "<u4")
         if len(self) > KEPT:
             self.clear()
