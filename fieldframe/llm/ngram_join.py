@@ -28,6 +28,7 @@ BITS = 4096
 FAN = 8
 CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
 FILTER_BITS = 1 << 23
+SPARE_PERCENT = 6
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -66,12 +67,18 @@ class Segments:
             parts = (high + most) * (100 - self.percent) // (100 + self.percent) + 1
             if parts < 2 or n > most:
                 continue
+            # with some segments more, a linked pair agrees on more of them than a usual set has empty
+            # ones, so only sets with more empty segments than that are filed under empty ones
+            spare = parts * SPARE_PERCENT // 100 + 3
+            parts += spare
             if sums is None:
                 sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(tokens))))
             if parts not in self.edges:
                 self.edges[parts] = np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
             cut = np.concatenate(([0], np.searchsorted(tokens, self.edges[parts]), [n]))
-            out.append(mix((sums[cut[1:]] - sums[cut[:-1]]) * STEPS[2] + np.uint64(c << 32) + np.arange(parts, dtype=np.uint64)))
+            codes = mix((sums[cut[1:]] - sums[cut[:-1]]) * STEPS[2] + np.uint64(c << 32) + np.arange(parts, dtype=np.uint64))
+            filled = cut[1:] > cut[:-1]
+            out.append(codes[filled] if parts - int(filled.sum()) <= spare else codes)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
