@@ -225,8 +225,14 @@ def train(windows: list[tuple[list[str], list[int]]], rounds: int = ROUNDS, rate
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Train on windows of at most ``sample`` documents with a digit or @, chosen by hash of doc_id."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.xxhash64("text")).limit(sample)
+    """Train on windows of at most ``sample`` documents with a digit or @, chosen by hash of doc_id and text.
+
+    Hashes alone are ranked; texts are read again for those up to the last chosen one.
+    """
+    mark = F.xxhash64("doc_id", "text")
+    able = docs.where(F.col("text").rlike("[0-9@]")).select("text", mark.alias("mark"))
+    last = able.select("mark").orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
+    some = able.where(F.col("mark") <= F.lit(last)).orderBy("mark").limit(sample)
 
     def windows(batches):
         for batch in batches:
