@@ -1,16 +1,18 @@
 """Language-model scores from a weighted backoff automaton.
 
-States are the root, frequent words and frequent word pairs; arcs are smoothed n-grams, and where a
-state has no arc for a word, a failure arc with its weight leads to the state of the shorter history.
-All words are counted over all training texts. A word, pair or triple is a state or arc if it makes
-up a stated share of all tokens, so their number is at most one over that share at any size of the
-corpus, and tables of them may be broadcast; the counts of all other words stay in a table that is
-joined. The state after a word depends on the last two words only, so batches of texts go through the
-automaton at once.
+States are the root, words and word pairs; arcs are smoothed n-grams, and where a state has no arc for
+a word, a failure arc with its weight leads to the state of the shorter history. All words are states,
+and every pair and triple seen twice or more in the training texts is an arc, so the automaton grows
+with the corpus. It lies in hash-partitioned tables. A path's log probability is a sum over the text's
+words, pairs and triples: each n-gram carries the log of its arc, less that of the path it replaces,
+and the failure weight of the state it leads to. So a text needs only the values of its n-grams. The
+most frequent values are broadcast, a bit filter keeps back n-grams the tables do not hold, and all
+others are joined; what is broadcast changes no result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.llm.batches import longs
-from fieldframe.llm.words import mix, text_slices, word_hashes
+from fieldframe.llm.words import BASE, STEPS, mix, text_slices, word_hashes
 from fieldframe.session import materialize
 
-WORD_SHARE = 2.5e-7  # of all tokens: at most 4 million words, 64 MB
-ARC_SHARE = 1e-6  # of all tokens: at most a million pairs and a million triples
+WORD_SHARE = 2.5e-7  # of all tokens: words that are broadcast, at most 4 million; the others are joined
+HOT_ARCS = 1 << 21  # most pairs and triples that are broadcast; the others are joined
+ARC_SHARE = 0.0  # of all tokens that an arc must have; 0: two occurrences at any size of the corpus
+FILTER_WORDS = 1 << 21  # 64-bit words of a bit filter
 DISCOUNT = 0.75
 END = mix(np.array([0xE0D], np.uint64))[0]
 BUFFER = 1 << 22
@@ -74,148 +78,188 @@ def token_runs(column: pa.Array):
         yield first, end, tokens, starts
 
 
-def with_start(values: np.ndarray, starts: np.ndarray, start) -> np.ndarray:
-    """The value before each token; before a text's first token stands ``start``."""
-    out = np.empty_like(values)
-    out[1:] = values[:-1]
-    out[starts[:-1]] = start
+def pair_ids(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """64-bit key of each pair of words (x, y)."""
+    return mix(x * BASE + y)
+
+
+def triple_ids(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """64-bit key of each triple by the keys of its first and its last pair."""
+    return mix(x * STEPS[0] + y)
+
+
+def pairs_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, word) of every token; before a text's first word stands END."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[starts[:-1]] = END
+    return before, tokens
+
+
+def triples_of(pairs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first pair, last pair, token) of every triple by its pairs' keys; a text's first token ends none."""
+    inner = np.ones(len(pairs), bool)
+    inner[starts[:-1]] = False
+    at = np.flatnonzero(inner)
+    return pairs[at - 1], pairs[at], at
+
+
+class KeyFilter:
+    """Bits of a set of keys, two for each: tells keys that are not in it, and few others are let through."""
+
+    def __init__(self, table: DataFrame):
+        # one row for each 64-bit word of the filter
+        shift, size = 64 - (FILTER_WORDS.bit_length() - 1), FILTER_WORDS
+        bits = F.expr("shiftleft(1L, cast(key & 63 as int)) | shiftleft(1L, cast(shiftright(key, 6) & 63 as int))")
+        rows = table.groupBy(F.shiftrightunsigned("key", shift).cast("int").alias("at")).agg(F.bit_or(bits).alias("bits")).toArrow()
+        self.shift, self.bits = np.uint64(shift), np.zeros(size, np.uint64)
+        self.bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        low = np.uint64(63)
+        bits = self.bits[(keys >> self.shift).astype(np.int64)]
+        return ((bits >> (keys & low)) & (bits >> ((keys >> np.uint64(6)) & low)) & np.uint64(1)).astype(bool)
+
+
+def _written(table: DataFrame, label: str) -> DataFrame:
+    """materialize(); then Spark may drop the shuffle files behind it, which it only does when the driver collects garbage."""
+    out = materialize(table, label)
+    del table
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
-def _counted(part):
-    """A function for mapInArrow that yields (key, count) of ``part``'s keys, in buffers of bounded size."""
-    def of(batches):
-        held, size = [], 0
+FORM = "x long, y long, count long"
+
+
+def _counts(xs: list[np.ndarray], ys: list[np.ndarray] | None) -> pa.RecordBatch:
+    """Counts of distinct x, or of distinct (x, y) in the order of x."""
+    x = np.concatenate(xs)
+    if ys is None:
+        x, n = np.unique(x, return_counts=True)
+        y = pa.nulls(len(x), pa.int64())
+    else:
+        y = np.concatenate(ys)
+        _, at, n = np.unique(triple_ids(x, y), return_index=True, return_counts=True)
+        order = np.argsort(x[at])
+        at, n = at[order], n[order]
+        x, y = x[at], longs(y[at])
+    return pa.RecordBatch.from_arrays([longs(x), y, pa.array(n.astype(np.int64))], ["x", "y", "count"])
+
+
+def _buffered(batches, part) -> Iterator[pa.RecordBatch]:
+    """Counts of the columns that ``part`` gives for token runs, in buffers of bounded size; a column is x or (x, y)."""
+    held: list[tuple] = []
+    size = 0
+
+    def counted():
+        for column in zip(*held):
+            yield _counts([c[0] for c in column], [c[1] for c in column] if len(column[0]) > 1 else None)
+
+    for batch in batches:
+        for _, _, tokens, starts in token_runs(batch.column("text")):
+            held.append(part(tokens, starts))
+            size += len(tokens)
+            if size >= BUFFER:
+                yield from counted()
+                held, size = [], 0
+    if size:
+        yield from counted()
+
+
+def _with_key(table: DataFrame, ids) -> DataFrame:
+    """table (x, y, count) with the n-gram's key."""
+    def keyed(batches):
         for batch in batches:
-            for _, _, tokens, starts in token_runs(batch.column("text")):
-                held.append(part(tokens, starts))
-                size += len(held[-1])
-                if size >= BUFFER:
-                    yield _counts(held)
-                    held, size = [], 0
-        if size:
-            yield _counts(held)
-    return of
+            x, y = (batch.column(c).to_numpy().view(np.uint64) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([longs(ids(x, y)), *(batch.column(c) for c in ("x", "y", "count"))], ["key", "x", "y", "count"])
+    return table.mapInArrow(keyed, f"key long, {FORM}")
 
 
-def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([longs(keys), pa.array(counts.astype(np.int64))], ["key", "count"])
+def _fail(left: str, lower: str) -> Column:
+    """log10 weight that gives a state's missing words what its arcs leave."""
+    least = F.lit(1e-12)
+    return F.log10(F.greatest(1 - F.sum(left), least) / F.greatest(1 - F.sum(lower), least))
 
 
 @dataclass
 class Automaton:
-    """Words with counts, pairs and triples with log10 probabilities, states with log10 failure weights."""
+    """Sizes of the training texts; tables of words (key, count, base, value) and of pairs and triples (key, count, value)."""
 
     tokens: int
     kinds: int
-    words: Lookup
-    word_logs: np.ndarray
-    end_word: int
-    pairs: Lookup
-    pair_logs: np.ndarray
-    triples: Lookup
-    triple_logs: np.ndarray
-    word_fail: np.ndarray
-    pair_fail: np.ndarray
-
-    def pair_keys(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return before * len(self.word_logs) + words
-
-    def find(self, lookup: Lookup, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Arc for a word from a state; -1 where the state or the word has none."""
-        out = np.full(len(words), -1, np.int64)
-        able = (before >= 0) & (words >= 0)
-        out[able] = lookup.find(self.pair_keys(before[able], words[able]))
-        return out
-
-    def traverse(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of every token; for words outside the table without the root's part."""
-        before = with_start(words, starts, self.end_word)
-        pair = self.find(self.pairs, before, words)  # also the state after the token, if any
-        state = with_start(pair, starts, -1)
-        triple = self.find(self.triples, state, words)
-        out = np.zeros(len(words))
-        hit = triple >= 0
-        out[hit] = self.triple_logs[triple[hit]]
-        fall = ~hit
-        deep = fall & (state >= 0)
-        out[deep] += self.pair_fail[state[deep]]
-        hit = fall & (pair >= 0)
-        out[hit] += self.pair_logs[pair[hit]]
-        fall &= ~hit
-        some = fall & (before >= 0)
-        out[some] += self.word_fail[before[some]]
-        root = fall & (words >= 0)
-        out[root] += self.word_logs[words[root]]
-        return out
+    words: DataFrame
+    arcs: DataFrame
 
 
-def _fail(sums: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """log10 weight that gives a state's missing words what its arcs leave."""
-    return np.log10(np.maximum(1 - sums, 1e-12) / np.maximum(1 - lower, 1e-12))
+def fit(texts: DataFrame) -> Automaton:
+    """The automaton of a table (text)."""
+    spark = texts.sparkSession
 
+    def total(function, least: str) -> DataFrame:
+        return texts.select("text").mapInArrow(function, FORM).groupBy("x", "y").agg(F.sum("count").alias("count")).where(least)
+
+    def short(batches):
+        return _buffered(batches, lambda tokens, starts: ((tokens,), pairs_of(tokens, starts)))
+
+    counts = _written(total(short, "y is null or count >= 2"), "counts")
+    words = counts.where("y is null").select(F.col("x").alias("key"), "count")
+    tokens, kinds = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    seen = F.col("count") >= F.lit(max(2.0, ARC_SHARE * tokens))
+    pairs = _written(_with_key(counts.where("y is not null").where(seen), pair_ids), "pairs")
+    known_pairs = spark.sparkContext.broadcast(KeyFilter(pairs))
+
+    def long(batches):
+        # a triple is seen at most as often as its pairs, so one with a pair that is no arc is none either
+        def part(tokens, starts):
+            ids = pair_ids(*pairs_of(tokens, starts))
+            first, last, _ = triples_of(ids, starts)
+            held = known_pairs.value.may_hold(ids)
+            inner = np.ones(len(ids), bool)
+            inner[starts[:-1]] = False
+            at = np.flatnonzero(inner)
+            both = held[at - 1] & held[at]
+            return ((first[both], last[both]),)
+        return _buffered(batches, part)
+
+    triples = _with_key(total(long, "count >= 2").where(seen), triple_ids)
 
-def fit(texts: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton of a table (text), and the counts (key, count) of all its tokens."""
-    spark = texts.sparkSession
-    form = "key long, count long"
-
-    def total(part) -> DataFrame:
-        return texts.select("text").mapInArrow(_counted(part), form).groupBy("key").agg(F.sum("count").alias("count"))
-
-    counts = materialize(total(lambda tokens, starts: tokens), "words")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-
-    def large(table: DataFrame, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys with at least that share of all tokens, so at most 1 / share rows, by key."""
-        rows = table.where(F.col("count") >= F.lit(max(float(least), share * tokens))).toArrow()
-        keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("count").to_numpy()
-        order = np.argsort(keys)
-        return keys[order], n[order]
-
-    keys, n = large(counts, WORD_SHARE, 1)
-    words, size = Lookup(keys), len(keys)
-    often = n >= max(2.0, ARC_SHARE * tokens)
-    shared_words = spark.sparkContext.broadcast((words, often))
-
-    def pair_keys(hashes, starts):
-        known, use = shared_words.value
-        ids = known.find(hashes)
-        before = with_start(ids, starts, int(known.find(np.array([END]))[0]))
-        able = (ids >= 0) & (before >= 0)
-        able[able] = use[ids[able]] & use[before[able]]
-        return (before[able] * len(use) + ids[able]).astype(np.uint64)
-
-    pair_key, pair_n = large(total(pair_keys), ARC_SHARE, 2)
-    pairs = Lookup(pair_key)
-    shared_pairs = spark.sparkContext.broadcast(pairs)
-
-    def triple_keys(hashes, starts):
-        (known, use), found = shared_words.value, shared_pairs.value
-        ids = known.find(hashes)
-        before = with_start(ids, starts, int(known.find(np.array([END]))[0]))
-        pair = np.full(len(ids), -1, np.int64)
-        able = (ids >= 0) & (before >= 0)
-        pair[able] = found.find(before[able] * len(use) + ids[able])
-        state = with_start(pair, starts, -1)
-        able = (state >= 0) & (pair >= 0)
-        return (state[able] * len(use) + ids[able]).astype(np.uint64)
-
-    triple_key, triple_n = large(total(triple_keys), ARC_SHARE, 2)
-    triples = Lookup(triple_key)
     # smoothing: one added to word counts; pairs and triples discounted
-    word_p = (n + 1) / (tokens + kinds + 1)
-    many = max(size, 1)
-    first, second = (pair_key // np.uint64(many)).astype(np.int64), (pair_key % np.uint64(many)).astype(np.int64)
-    pair_p = (pair_n - DISCOUNT) / n[first] if len(first) else np.zeros(0)
-    word_fail = _fail(np.bincount(first, pair_p, size), np.bincount(first, word_p[second], size))
-    state, third = (triple_key // np.uint64(many)).astype(np.int64), (triple_key % np.uint64(many)).astype(np.int64)
-    triple_p = (triple_n - DISCOUNT) / pair_n[state] if len(state) else np.zeros(0)
-    lower = pair_p[pairs.find((second[state] * many + third).astype(np.uint64))] if len(state) else np.zeros(0)
-    pair_fail = _fail(np.bincount(state, triple_p, len(pair_key)), np.bincount(state, lower, len(pair_key)))
-    end_word = int(words.find(np.array([END]))[0]) if size else -1
-    return Automaton(tokens, kinds, words, np.log10(word_p), end_word, pairs, np.log10(pair_p), triples, np.log10(triple_p), word_fail, pair_fail), counts
+    share = (F.col("count") + 1) / float(tokens + kinds + 1)
+    before = words.select(F.col("key").alias("x"), F.col("count").alias("of"))
+    after = words.select(F.col("key").alias("y"), share.alias("lower"))
+    p = (F.col("count") - DISCOUNT) / F.col("of")
+    pairs = _written(pairs.join(before, "x").join(after, "y").select("key", "x", "count", p.alias("p"), "lower"), "pair_shares")
+    word_fail = _written(pairs.groupBy("x").agg(_fail("p", "lower").alias("fail")), "word_fail")
+    before = pairs.select(F.col("key").alias("x"), F.col("count").alias("of"))
+    after = pairs.select(F.col("key").alias("y"), F.col("p").alias("lower"))
+    triples = _written(triples.join(before, "x").join(after, "y").select("key", "x", "count", p.alias("p"), "lower"), "triple_shares")
+    pair_fail = _written(triples.groupBy("x").agg(_fail("p", "lower").alias("fail")), "pair_fail")
+
+    own = F.log10(share)
+    word_values = words.join(word_fail.withColumnRenamed("x", "key"), "key", "left").select(
+        "key", "count", own.alias("base"), (own + F.coalesce("fail", F.lit(0.0))).alias("value"))
+    # an arc takes the place of the failure arc and the lower arc
+    gain = F.log10("p") - F.log10("lower") - F.col("fail")
+    to = pair_fail.select(F.col("x").alias("key"), F.col("fail").alias("next"))
+    pair_values = pairs.join(word_fail, "x").join(to, "key", "left").select("key", "count", (gain + F.coalesce("next", F.lit(0.0))).alias("value"))
+    triple_values = triples.join(pair_fail, "x").select("key", "count", gain.alias("value"))
+    return Automaton(tokens, kinds, _written(word_values, "words"), _written(pair_values.unionByName(triple_values), "arcs"))
+
+
+def _hot_count(model: Automaton) -> float:
+    """Least count of the arcs that are broadcast, of which there are HOT_ARCS at most."""
+    bound = 2 * model.tokens / HOT_ARCS  # pairs and triples with that count are at most HOT_ARCS
+    sizes = model.arcs.where(F.col("count") < F.lit(min(bound, 10_000.0))).groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    many, least = model.arcs.where(F.col("count") >= F.lit(min(bound, 10_000.0))).count(), min(bound, 10_000.0)
+    if many > HOT_ARCS:
+        return bound
+    for r in sizes.orderBy(F.desc("count")).collect():
+        many += r["n"]
+        if many > HOT_ARCS:
+            break
+        least = float(r["count"])
+    return least
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -226,38 +270,55 @@ def score_texts(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    model, counts = fit(rows.where(~F.col("held_out")))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    model = fit(rows.where(~F.col("held_out")))
     floor = float(np.log10(1.0 / (model.tokens + model.kinds + 1)))
+    often, hot = F.col("count") >= F.lit(max(1.0, WORD_SHARE * model.tokens)), F.col("count") >= F.lit(_hot_count(model))
+    # what a known word has above the floor, which every token gets
+    words = model.words.select("key", "count", F.lit(1).alias("known"), (F.col("base") - floor).alias("base"), (F.col("value") - floor).alias("value"))
+    arcs = model.arcs.select("key", "count", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "value")
+    joined = words.where(~often).unionByName(arcs.where(~hot)).drop("count")
+
+    def table(found: DataFrame, *columns: str) -> tuple:
+        """Bounded by HOT_ARCS or one over WORD_SHARE; position -1 is the last, without a value."""
+        got = found.select("key", *columns).toArrow()
+        return (Lookup(got.column("key").to_numpy().view(np.uint64)), *(np.append(got.column(c).to_numpy(), 0.0) for c in columns))
+
+    shared = rows.sparkSession.sparkContext.broadcast((table(words.where(often), "base", "value"), table(arcs.where(hot), "value"), KeyFilter(joined)))
 
     def traversed(batches):
-        own: Automaton = shared.value
+        (known, bases, values), (arc, arc_values), rest = shared.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, end, hashes, starts in token_runs(batch.column("text")):
-                many = end - first
-                words = own.words.find(hashes)
-                owner = np.repeat(np.arange(many), np.diff(starts))
-                logs = own.traverse(words, starts)
-                known = words >= 0
-                rare = np.flatnonzero(~known)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[rare], np.arange(many + 1)).astype(np.int32)), longs(hashes[rare]))
-                base = np.bincount(owner[known], own.word_logs[words[known]], many).astype(float)
+            for first, end, tokens, starts in token_runs(batch.column("text")):
+                many, owner = end - first, np.repeat(np.arange(end - first), np.diff(starts))
+                pairs = pair_ids(*pairs_of(tokens, starts))
+                a, b, at = triples_of(pairs, starts)
+                keys, owners = np.concatenate((pairs, triple_ids(a, b))), np.concatenate((owner, owner[at]))
+                ids, arcs_at = known.find(tokens), arc.find(keys)
+                score = np.bincount(owner, values[ids], many) + np.bincount(owners, arc_values[arcs_at], many)
+                asked, whose = np.concatenate((tokens[ids < 0], keys[arcs_at < 0])), np.concatenate((owner[ids < 0], owners[arcs_at < 0]))
+                some = rest.may_hold(asked)
+                asked, whose = asked[some], whose[some]
+                heads = np.arange(number, number + many)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(number, number + many)), batch.column("doc_id").slice(first, many), batch.column("held_out").slice(first, many),
-                    pa.array(np.diff(starts).astype(np.int64)), pa.array(np.bincount(owner[known], minlength=many).astype(np.int64)),
-                    pa.array(base), pa.array(np.bincount(owner, logs, many).astype(float)), lists,
-                ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "deep", "rare"])
+                    pa.array(heads), pa.array(heads), batch.column("doc_id").slice(first, many), batch.column("held_out").slice(first, many),
+                    pa.array(np.diff(starts).astype(np.int64)), pa.array(np.bincount(owner[ids >= 0], minlength=many).astype(np.int64)),
+                    pa.array(np.bincount(owner, bases[ids], many).astype(float)), pa.array(score.astype(float)),
+                ], names)
+                yield pa.RecordBatch.from_arrays([longs(asked), pa.array(number + whose), *(pa.nulls(len(asked), t) for t in kinds)], names)
                 number += many
 
-    form = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, deep double, rare array<long>"
-    scored = materialize(rows.mapInArrow(traversed, form), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key"))
-    seen = rare.join(counts.where(F.col("count") < F.lit(max(1.0, WORD_SHARE * model.tokens))), "key").select(
-        "row", (F.log10((F.col("count") + 1) / float(model.tokens + model.kinds + 1)) - F.lit(floor)).alias("more"))
-    found = seen.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("more").alias("more"))
-    # every rare word adds the root's part to both scores: the floor, and what its count is above it
-    plain = F.size("rare") * F.lit(floor) + F.coalesce("more", F.lit(0.0))
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + plain).alias("base_score"), (F.col("deep") + plain).alias("score"))
+    names, kinds = ["key", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    form = "key long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double"
+    # one row for each text, keyed by its number, and one for each n-gram that is asked for
+    asked = rows.mapInArrow(traversed, form)
+    more = joined.select("key", F.col("known").alias("more_known"), F.col("base").alias("more_base"), F.col("value").alias("more"))
+    own = F.col("n_tokens").isNotNull()
+
+    def either(mine: str, other: str) -> Column:
+        return F.coalesce(F.sum(F.when(own, F.col(mine)).otherwise(F.col(other))), F.lit(0))
+
+    plain = F.max("n_tokens") * F.lit(floor)
+    return asked.join(more, "key", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), either("n_known", "more_known").cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (either("base", "more_base") + plain).alias("base_score"), (either("value", "more") + plain).alias("score")).drop("row")

@@ -124,6 +124,31 @@ def test_automaton_equals_recursion(spark, small, monkeypatch, word_share, arc_s
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_automaton_does_not_depend_on_what_is_broadcast(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = plain.backoff_scores([(r.doc_id, r.text) for r in docs.collect()], 0, 0, backoff.DISCOUNT)
+    for word_share, arcs, bits in ((1e-3, 64, 16), (1.0, 1, 1 << 12)):
+        monkeypatch.setattr(backoff, "WORD_SHARE", word_share)
+        monkeypatch.setattr(backoff, "HOT_ARCS", arcs)
+        monkeypatch.setattr(backoff, "FILTER_WORDS", bits)
+        got = backoff.score_texts(docs).collect()
+        assert len(got) == len(want)
+        for r in got:
+            w = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+            assert math.isclose(r.base_score, w[3], abs_tol=1e-6) and math.isclose(r.score, w[4], abs_tol=1e-6)
+
+
+def test_more_text_does_not_remove_arcs(spark):
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:4]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(learned[0], "the rare gem"), (learned[1], "a rare gem"), (learned[2], "the rare gem"), (held, "the rare gem")]
+    want = plain.backoff_scores([*rows, (learned[3], "filler " * 3_200_000)], 0, 0, backoff.DISCOUNT)
+    got = backoff.score_texts(spark.createDataFrame([*rows, (learned[3], "filler " * 3_200_000)], "doc_id long, text string")).collect()
+    r = next(r for r in got if r.doc_id == held)
+    assert math.isclose(r.score, want[held][4], abs_tol=1e-6) and r.score > r.base_score + 10
+
+
 def test_automaton_without_training_rows(spark):
     kind = "doc_id long, text string"
     assert backoff.score_texts(spark.createDataFrame([], kind)).count() == 0
