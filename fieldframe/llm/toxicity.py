@@ -1,29 +1,31 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings. Those that differ most between toxic and other examples (log
-likelihood ratio) span the vectors; a bounded hash sample of labelled rows gives examples, so terms,
-index and broadcast are bounded. The search is exact: blocks of examples are visited by falling
-upper bound until none can still enter the k best. Votes weigh by nearness and shrink to the rate of
-examples without any term, which is also the score of texts without any.
+Terms are all words and word beginnings of the examples; no level keeps a term out. Each weighs by its
+idf times the log likelihood ratio of toxic and other examples, so what tells nothing weighs next to
+nothing in any language and with few examples too. A bounded hash sample of labelled rows gives
+examples, so index and broadcast are bounded. The search is exact: sums over rare terms come from
+postings, common terms are multiplied for blocks of examples whose upper bound can still enter the k
+best. Votes weigh by nearness and shrink to the rate of examples without any term, which is also the
+score of texts without any.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldframe.session import materialize
 
 EXAMPLES = 8192  # most labelled rows used, by hash of doc_id
-TERMS = 1024  # most terms
-LEAST_RATIO = 30.0  # log likelihood ratio that a term needs
 BEGINNINGS = (4, 5, 6)  # lengths of word beginnings, in bytes
 BLOCK = 32
+TEXTS = 256  # searched at once
+COMMON = 32  # a term is common if it stands in one of so many examples
 NEIGHBOURS = 15
 SOFT = 0.05  # distance added before a vote's weight is its inverse
 SHRINK = 1.0  # weight of the rate of examples without terms
@@ -57,56 +59,129 @@ def _ratio(a: Column, b: Column, toxic: int, other: int) -> Column:
     return part(a, inside, toxic) + part(b, inside, other) + part(toxic - a, outside, toxic) + part(other - b, outside, other)
 
 
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges first..end, one after another."""
+    sizes = end - first
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - stops + sizes, sizes)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of examples, with each term's largest weight per block."""
+    """Unit vectors in blocks of examples: postings of rare terms, columns of common ones with their largest weight per block.
+
+    A vector is a dict of terms and weights over 0, or an array of each.
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], toxic: list[int], terms: int):
+    def __init__(self, vectors: list, ids: list[int], toxic: list[int], terms: int):
+        vectors = [_arrays(v) for v in vectors]
         # examples with the same leading terms share blocks, which keeps the bounds tight
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:3], ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
-        self.blocks = -(-len(order) // BLOCK)
-        self.largest = np.zeros((terms, self.blocks), np.float32)
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for term, weight in vectors[i].items():
-                lists.setdefault((term, at // BLOCK), []).append((at % BLOCK, weight))
-        for (term, block), found in lists.items():
-            places, weights = zip(*found)
-            self.postings[term, block] = np.array(places), np.array(weights)
-            self.largest[term, block] = np.nextafter(np.float32(max(weights)), np.float32(2))
-
-    def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.blocks, self.terms = -(-len(order) // BLOCK), terms
+        empty = [np.zeros(0, np.int32)], [np.zeros(0)]
+        self.starts = np.cumsum([0, *(len(vectors[i][0]) for i in order)])
+        self.of = np.concatenate([vectors[i][0] for i in order] or empty[0]).astype(np.int32)
+        self.weights = np.concatenate([vectors[i][1] for i in order] or empty[1])
+        places = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.starts))
+        sizes = np.bincount(self.of, minlength=terms)
+        # column of each common term, -1 for the others
+        common = np.flatnonzero(sizes * COMMON > len(order))
+        self.column = np.full(terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.of]
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.dense[at[at >= 0], places[at >= 0]] = self.weights[at >= 0]
+        self.largest = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(common), 0), np.float32)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.of[rare], kind="stable")]
+        self.posted, self.posted_weights = places[rare], self.weights[rare].astype(np.float32)
+        self.lists = np.concatenate(([0], np.cumsum(np.where(self.column < 0, sizes, 0))))
+
+    def nearest(self, vector, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, places) of the k examples with the largest cosine over 0, ties to the smaller id."""
+        return self.nearest_of([vector], k)[0]
+
+    def nearest_of(self, vectors: list, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each vector, searched together."""
+        vectors = [_arrays(v) for v in vectors]
+        width = self.blocks * BLOCK
+        sums, common = np.zeros((len(vectors), width), np.float32), np.zeros((len(vectors), len(self.dense)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.column[terms]
+            common[i, at[at >= 0]] = weights[at >= 0]
+            first, end = self.lists[terms[at < 0]], self.lists[terms[at < 0] + 1]
+            found = _ranges(first, end)
+            sums[i] = np.bincount(self.posted[found], self.posted_weights[found] * np.repeat(weights[at < 0], end - first), width)
+        # sums over the rare terms are below the cosines, and with the largest weights of the common ones above them
+        slack = np.float32(1e-4)  # over the error of single precision
+        last = max(0, width - k)
+        kth = np.partition(sums, last, axis=1)[:, last] if width else np.zeros(len(vectors), np.float32)
+        bounds = sums.reshape(len(vectors), self.blocks, BLOCK).max(axis=2) + common @ self.largest if width else np.zeros((len(vectors), 0))
+        open_ = bounds + slack >= kth[:, None]
+        for block in np.flatnonzero(open_.any(axis=0)):
+            need, part = np.flatnonzero(open_[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+            sums[need, part] += common[need] @ self.dense[:, part]
+        out, query = [], np.zeros(self.terms)
+        for i, (terms, weights) in enumerate(vectors):
+            least = np.partition(sums[i], last)[last] if width else 0
+            places = np.flatnonzero((sums[i] > 0) & (sums[i] + slack >= least))
+            # exact cosines of what may be among the k best
+            first, end = self.starts[places], self.starts[places + 1]
+            found = _ranges(first, end)
+            query[terms] = weights
+            cosines = np.add.reduceat(query[self.of[found]] * self.weights[found], np.cumsum(end - first) - (end - first)) if len(places) else np.zeros(0)
+            query[terms] = 0
+            top = np.lexsort((self.ids[places], -cosines))[:k]
+            top = top[cosines[top] > 0]
+            out.append((cosines[top], places[top]))
+        return out
+
+
+def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, dict):
         terms = sorted(vector)
-        bounds = np.array([vector[t] for t in terms]) @ self.largest[terms].astype(np.float64)
-        best, places = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) >= k and bounds[block] < best[-1]:
-                break
-            sums = np.zeros(BLOCK)
-            for term in terms:
-                if (found := self.postings.get((term, int(block)))) is not None:
-                    sums[found[0]] += vector[term] * found[1]
-            hits = np.flatnonzero(sums)
-            best, places = np.concatenate((best, sums[hits])), np.concatenate((places, block * BLOCK + hits))
-            top = np.lexsort((self.ids[places], -best))[:k]
-            best, places = best[top], places[top]
-        return best, places
+        return np.array(terms, np.int64), np.array([vector[t] for t in terms])
+    return vector
 
 
 class Model:
-    """Terms, their idf, and the index; scores one text at a time with a cache of words and vectors."""
+    """Terms, their weights, and the examples' term counts; scores texts together with a cache of words.
+
+    It travels compressed and without its index, which is built where it is first used.
+    """
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, plain_rate: float):
-        self.terms, self.idf, self.plain_rate, self.index = {t: i for i, t in enumerate(terms)}, idf, plain_rate, None
+    def __init__(self, terms: list[bytes], weights: np.ndarray, plain_rate: float):
+        self.terms, self.weights, self.plain_rate = {t: i for i, t in enumerate(terms)}, weights, plain_rate
+        self.examples: tuple[np.ndarray, ...] | None = None  # starts, terms, counts, ids, toxic
+        self.index: BlockMaxIndex | None = None
         self.words: dict[bytes, list[int]] = {}
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
 
-    def counts(self, text: str | None) -> Counter:
-        """Terms of a text with the number of its distinct words that bear them."""
-        found: Counter = Counter()
+    def __getstate__(self):
+        packed = zlib.compress(b" ".join(self.terms), 1), zlib.compress(self.weights.tobytes(), 1)
+        if self.examples is None:
+            return packed, self.plain_rate, None
+        starts, terms, counts, ids, toxic = self.examples
+        return packed, self.plain_rate, (starts, zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes(), 1), zlib.compress(counts.tobytes(), 1), ids, toxic)
+
+    def __setstate__(self, state):
+        (terms, weights), plain_rate, examples = state
+        self.__init__(zlib.decompress(terms).split(), np.frombuffer(zlib.decompress(weights)), plain_rate)
+        if examples is not None:
+            starts, terms, counts, ids, toxic = examples
+            steps = np.frombuffer(zlib.decompress(terms), np.int32)
+            self.examples = starts, np.cumsum(steps, dtype=np.int32), np.frombuffer(zlib.decompress(counts), np.int32), ids, toxic
+
+    def search(self) -> BlockMaxIndex | None:
+        if self.index is None and self.examples is not None and len(self.examples[3]):
+            starts, terms, counts, ids, toxic = self.examples
+            vectors = [self.vector(terms[a:b], counts[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            self.index = BlockMaxIndex(vectors, ids.tolist(), toxic.tolist(), len(self.terms))
+        return self.index
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text in order, and the number of its distinct words that bear each."""
+        found: list[int] = []
         if len(self.words) > 400_000:
             self.words.clear()
         words, terms = self.words, self.terms
@@ -114,31 +189,30 @@ class Model:
             hit = words.get(word)
             if hit is None:
                 hit = words[word] = [terms[t] for t in word_terms(word) if t in terms]
-            if hit:
-                found.update(hit)
-        return found
+            found += hit
+        return np.unique(np.array(found, np.int64), return_counts=True)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        terms, raw = terms[raw > 0], raw[raw > 0]
+        return terms, raw / np.sqrt((raw * raw).sum())
 
     def vote(self, cosines: np.ndarray, toxic: np.ndarray) -> float:
         weights = 1 / (np.maximum(1 - cosines, 0) + SOFT)
         return float((weights @ toxic + SHRINK * self.plain_rate) / (weights.sum() + SHRINK))
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """(score, doc_ids of the voting examples)."""
-        counts = self.counts(text)
-        if not counts or self.index is None or not len(self.index.ids):
-            return self.plain_rate, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            cosines, places = self.index.nearest(self.vector(counts), NEIGHBOURS)
-            self.known[key] = self.vote(cosines, self.index.toxic[places]), self.index.ids[places].tolist()
-        return self.known[key]
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """(score, doc_ids of the voting examples) of each text."""
+        out: list[tuple[float, list[int]]] = []
+        index = self.search()
+        for at in range(0, len(texts), TEXTS):
+            some = texts[at:at + TEXTS]
+            known = {text: self.vector(*self.counts(text)) for text in set(some)}
+            known = {text: v for text, v in known.items() if len(v[0]) and index is not None}
+            found = dict(zip(known, index.nearest_of(list(known.values()), NEIGHBOURS))) if known else {}
+            voted = {text: (self.vote(c, index.toxic[p]), index.ids[p].tolist()) for text, (c, p) in found.items() if len(p)}
+            out += [voted.get(text, (self.plain_rate, [])) for text in some]
+        return out
 
 
 def _terms(batches):
@@ -165,30 +239,33 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         return Model([], np.zeros(0), 0.0)
     seen = rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<binary>").select("toxic", F.explode("terms").alias("term"))
     counted = seen.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    best = counted.where("a + b >= 5").withColumn("ratio", _ratio(F.col("a"), F.col("b"), toxic, other)).where(F.col("ratio") >= LEAST_RATIO)
-    top = best.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
-    idf = np.array([math.log((1 + toxic + other) / (1 + r["a"] + r["b"])) + 1 for r in top])
-    model = Model([bytes(r["term"]) for r in top], idf, 0.0)
+    # a bounded table: the terms of at most ``examples`` texts
+    a, b = F.col("a"), F.col("b")
+    weight = (F.log(F.lit(1.0 + toxic + other) / (1 + a + b)) + 1) * F.greatest(_ratio(a, b, toxic, other), F.lit(0.0))
+    got = counted.select("term", weight.alias("weight")).toArrow().sort_by("term")
+    model = Model(got.column("term").to_pylist(), got.column("weight").to_numpy(), 0.0)
+    terms = docs.sparkSession.sparkContext.broadcast(model)
 
     def bags(batches):
         for batch in batches:
-            found = [sorted(model.counts(t).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())),
-                                              pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    # at most ``examples`` rows of at most TERMS numbers
-    found = sorted(rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<int>").collect())
-    plain = [r["toxic"] for r in found if not r["terms"]]
-    model.plain_rate = sum(plain) / len(plain) if plain else 0.0
-    used = [r for r in found if r["terms"]]
-    model.index = BlockMaxIndex([model.vector(dict(zip(r["terms"], r["counts"]))) for r in used], [r["doc_id"] for r in used], [r["toxic"] for r in used], len(top))
+            found = [terms.value.counts(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int32())),
+                                              pa.array([n for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+
+    # at most ``examples`` rows
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    sizes = pc.list_value_length(found.column("terms")).to_numpy()
+    ids, marks = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy()
+    used = sizes > 0
+    model.plain_rate = float(marks[~used].mean()) if not used.all() else 0.0
+    model.examples = np.cumsum([0, *sizes[used]]), *(pc.list_flatten(found.column(c)).to_numpy().astype(np.int32) for c in ("terms", "counts")), ids[used], marks[used]
     return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of docs (doc_id, text).
 
-    A text without terms (null, empty, or only words that tell nothing) scores the toxic rate of
+    A text without terms (null, empty, or only words that no example has) scores the toxic rate of
     such examples, with no evidence. evidence holds the doc_ids of the voting examples, nearest
     first. Equal texts score alike; other columns are ignored.
     """
@@ -197,7 +274,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches):
         own = model.value
         for batch in batches:
-            found = [own.score(text) for text in batch.column("text").to_pylist()]
+            found = own.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()),
                                               pa.array([int(s >= TOXIC_FROM) for s, _ in found], pa.int32()),
                                               pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -213,6 +290,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def clean(batches):
         own = model.value
         for batch in batches:
-            yield batch.filter(pa.array([own.score(text)[0] < TOXIC_FROM for text in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < TOXIC_FROM for s, _ in own.scores(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import zlib
 
 import numpy as np
@@ -106,6 +107,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_needs_few_examples(spark):
+    draw = np.random.default_rng(4)
+    rows, marks = [], []
+    for i in range(80):
+        own = list(draw.choice([f"palabra{k}" for k in range(40)], size=20))
+        if i % 8 == 0:
+            own[5] = "bomenteco"
+        rows.append((i, " ".join(own)))
+        marks.append((i, int(i % 8 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert any(r.held_out and r.predicted for r in got)
+    assert {r.doc_id for r in got if r.predicted} == {i for i, toxic in marks if toxic}
+
+
+def test_toxicity_recall_in_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").dropDuplicates(["doc_id"]), spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.score_documents(docs, labels).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").join(labels.where("toxic is not null"), "doc_id")
+    rates = {(r.lang, r.toxic): r.rate for r in got.groupBy("lang", "toxic").agg({"predicted": "avg"}).withColumnRenamed("avg(predicted)", "rate").collect()}
+    assert {lang for lang, toxic in rates if toxic} == {"de", "en", "es", "fr"}
+    for (lang, toxic), rate in rates.items():
+        assert rate >= 0.7 if toxic else rate <= 0.05, (lang, toxic, rate)
+
+
 @pytest.mark.parametrize("word_share,arc_share", [(2.5e-7, 1e-6), (1e-4, 2e-4)])
 def test_automaton_equals_recursion(spark, small, monkeypatch, word_share, arc_share):
     monkeypatch.setattr(backoff, "WORD_SHARE", word_share)
