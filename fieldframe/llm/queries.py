@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import backoff, curves, density, lattice, mixing, ngram_join, packing, pii, token_files, toxicity
+from fieldframe.llm import backoff, curves, density, lattice, merge_automaton, mixing, ngram_join, packing, pii, token_files, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -80,3 +80,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lattice_near_copies")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_copies(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query("op11_merge_automaton")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_automaton.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
