@@ -30,14 +30,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from fieldframe.llm.tokens import LINES, PUNCTUATION, single, unsafe
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pre-tokens of byte-level vocabularies: a fixed value.
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A place where pre-tokens always end: before a single space between characters that are not white space.
 BREAK = regex.compile(r"(?<=\S) (?=\S)")
-#: Characters of a text that are split at a time, words kept per worker, and the longest word that is kept.
-SLICE, KEPT, KEPT_BYTES = 1 << 20, 500_000, 64
+#: Characters of a text that are split at a time, pieces kept per worker, and the longest piece that is kept.
+SLICE, KEPT, KEPT_CHARS = 1 << 20, 400_000, 64
 START, FOREVER = -1, 1 << 60
 _made: dict[str, Words] = {}
 
@@ -98,38 +100,51 @@ class Automaton:
                 limit, t = made[t], left[t]
         return True
 
-    def encode(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: the only accepted path over its bytes, every prefix having one last token."""
-        begins, tokens, known, width = self.begins, self.tokens, self.known, self.width
-        n = len(word)
-        last = array("l", bytes(array("l").itemsize * (n + 1)))
-        last[0] = START
-        for at in range(n):
-            state = last[at]
-            end = at + 1
-            while end <= n and (piece := word[at:end]) in begins:
-                token = tokens.get(piece)
-                if token is not None:
-                    if state == START:
-                        last[end] = token
-                    else:
-                        key = state * width + token
-                        holds = known.get(key)
-                        if holds is None:
-                            holds = known[key] = self.arc(state, token)
-                        if holds:
-                            last[end] = token
-                end += 1
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        out.reverse()
+    def begun(self, word: bytes, at: int) -> list[int]:
+        """Tokens whose labels start at a place of the word, longest last."""
+        begins, tokens, out, n = self.begins, self.tokens, [], len(word)
+        end = at + 1
+        while end <= n and (piece := word[at:end]) in begins:
+            token = tokens.get(piece)
+            if token is not None:
+                out.append(token)
+            end += 1
         return out
 
+    def encode(self, word: bytes) -> list[int]:
+        """Ids of one pre-token: the only accepted path over its bytes, long arcs tried first.
+
+        A prefix of the word has one accepted path at most, so a place from which the end was not
+        reached is never entered again, and the walk is linear in the word.
+        """
+        labels, known, width, n = self.labels, self.known, self.width, len(word)
+        path, dead, state, at = [], set(), START, 0
+        ahead = self.begun(word, 0)
+        while at < n:
+            while ahead:
+                token = ahead.pop()
+                end = at + len(labels[token])
+                if end in dead:
+                    continue
+                if state != START:
+                    key = state * width + token
+                    holds = known.get(key)
+                    if holds is None:
+                        holds = known[key] = self.arc(state, token)
+                    if not holds:
+                        continue
+                path.append((at, state, ahead, token))
+                at, state = end, token
+                ahead = self.begun(word, at)
+                break
+            else:
+                dead.add(at)
+                at, state, ahead, _ = path.pop()
+        return [step[3] for step in path]
+
 
 class Words(dict):
-    """Ids of pre-tokens, kept as text: ids joined by commas after a leading comma."""
+    """Ids of pieces that start with a space, kept by what follows it, as 32-bit integers."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -148,30 +163,67 @@ class Words(dict):
         ids = {raw(t): i for t, i in read["model"]["vocab"].items() if t not in added}
         self.automaton = Automaton(ids, [(raw(u), raw(v)) for u, v in pairs])
         self.labels = self.automaton.labels | {i: t.encode() for t, i in added.items()}
+        self.names = {i: str(i) for i in self.labels}
         self.special = regex.compile("|".join(sorted((regex.escape(t) for t in added), key=len, reverse=True))) if added else None
         self.added = added
         #: Letters and numbers that this library's pattern knows and the tokenizers library may not.
         known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
         self.late = frozenset(c for c in known if unicodedata.category(c) == "Cn")
         self.bytes_of = byte_of
-
-    def __missing__(self, word: str) -> str:
-        raw = word.encode()
-        ids = "," + ",".join(map(str, self.automaton.encode(raw)))
-        if len(raw) <= KEPT_BYTES:
+        self.pretokens: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
+        self.newline = self.split_ids("\n")
+
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word and LINES.fullmatch(word):
+            # a newline between other characters is a pre-token; such pieces seldom come again, their lines do
+            first, *lines = word.split("\n")
+            return self[first] + b"".join([self.newline + self.line(text) for text in lines])
+        plain = word.rstrip(PUNCTUATION)
+        if plain != word and plain and plain[-1].isalnum():
+            ids = self[plain] + self.line(word[len(plain):])
+        elif single(word):
+            ids = self.path(" " + word)
+        else:
+            ids = self.split_ids(" " + word)
+        if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
-            if len(self.automaton.known) >= 4 * KEPT:
-                self.automaton.known.clear()
             self[word] = ids
         return ids
 
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens of a part of a text."""
+    def line(self, text: str) -> bytes:
+        """Ids of a piece without a space before it; none of an empty one."""
+        ids = self.lines.get(text)
+        if ids is None:
+            ids = self.split_ids(text)
+            if len(text) <= KEPT_CHARS:
+                if len(self.lines) >= KEPT:
+                    self.lines.clear()
+                self.lines[text] = ids
+        return ids
+
+    def split_ids(self, text: str) -> bytes:
+        """Ids of a part of a text, pre-token by pre-token."""
         if text.isascii() or self.late.isdisjoint(text):
-            return PATTERN.findall(text)
+            return b"".join(map(self.pretoken, PATTERN.findall(text)))
         byte_of = self.bytes_of
-        return [bytes(byte_of[c] for c in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return b"".join([self.pretoken(bytes(byte_of[c] for c in piece).decode()) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
+
+    def pretoken(self, piece: str) -> bytes:
+        ids = self.pretokens.get(piece)
+        if ids is None:
+            ids = self.path(piece)
+            if len(piece) <= KEPT_CHARS:
+                if len(self.pretokens) >= KEPT:
+                    self.pretokens.clear()
+                self.pretokens[piece] = ids
+        return ids
+
+    def path(self, piece: str) -> bytes:
+        if len(self.automaton.known) >= 4 * KEPT:
+            self.automaton.known.clear()
+        return array("I", self.automaton.encode(piece.encode())).tobytes()
 
     def slices(self, text: str) -> Iterator[str]:
         """Parts of about SLICE characters, cut only where pre-tokens end anyway."""
@@ -184,21 +236,29 @@ class Words(dict):
             at = found.start()
         yield text[at:]
 
-    def pieces(self, text: str | None) -> Iterator[str]:
-        """Ids of a text in parts, each as ids after leading commas; special strings are their own ids."""
+    def parts(self, text: str | None) -> Iterator[list[int]]:
+        """Ids of a text, part by part; special strings are their own ids."""
         at = 0
         for found in self.special.finditer(text or "") if self.special else ():
             yield from self.plain(text[at:found.start()])
-            yield f",{self.added[found[0]]}"
+            yield [self.added[found[0]]]
             at = found.end()
         yield from self.plain((text or "")[at:])
 
-    def plain(self, text: str) -> Iterator[str]:
+    def plain(self, text: str) -> Iterator[list[int]]:
         for part in self.slices(text):
-            yield "".join(map(self.__getitem__, self.split(part)))
+            if not part:
+                continue
+            if unsafe(part):
+                ids = self.split_ids(part)
+            else:
+                # single spaces between other characters begin pre-tokens, so pieces can be looked up
+                head, *others = part.split(" ")
+                ids = self.split_ids(head) + b"".join(map(self.__getitem__, others))
+            yield np.frombuffer(ids, np.uint32).tolist()
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(i) for part in self.pieces(text) for i in part[1:].split(",") if i]
+        return [i for part in self.parts(text) for i in part]
 
     def emit(self, ids: list[int]) -> bytes:
         """Labels of the arcs taken, one after another."""
@@ -252,11 +312,8 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             counts, hashed, decoded = [], [], []
             for value in batch.column("text"):
                 ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-                for part in own.pieces(value.as_py()):
-                    if not part:
-                        continue
-                    ids_hash.update((part if n else part[1:]).encode())
-                    ids = np.fromstring(part[1:], dtype=np.int64, sep=",").tolist()
+                for ids in own.parts(value.as_py()):
+                    ids_hash.update(("," * (n > 0) + ",".join(map(own.names.__getitem__, ids))).encode())
                     n += len(ids)
                     # parts end where pre-tokens do, hence between characters
                     text_hash.update(own.emit(ids).decode("utf-8", "replace").encode())
