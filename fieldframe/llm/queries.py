@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import backoff, curves, density, lattice, merge_automaton, mixing, ngram_join, packing, pii, token_files, toxicity
+from fieldframe.llm import backoff, curves, density, lattice, merge_automaton, merkle, mixing, ngram_join, packing, pii, token_files, toxicity, whitening
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -85,3 +85,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merge_automaton")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op13_merkle_manifest", merkle.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_fold(table(spark, sf_dir, "documents"))
+
+
+@query("op12_exact_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -98,8 +98,8 @@ def test_token_files_round_trip(spark, vocabulary, monkeypatch):
 def test_every_operator_has_one_query():
     from fieldframe.llm.queries import ORACLES, QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert set(ORACLES) == {"op5_mix_sources"}
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert set(ORACLES) == {"op5_mix_sources", "op13_merkle_manifest"}
 
 
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
