@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +11,9 @@ from fieldframe.functions.names import normalize_admin_name, normalize_place_nam
 from fieldframe.functions.numbers import parse_year
 from fieldframe.functions.similarity import sequence_ratio
 from fieldframe.functions.text import blank, clean_text, first_rule, looks_like_code
+from fieldframe.operators import succession
 from fieldframe.operators.picks import pick_one
-from fieldframe.session import checkpoint_root, materialize
+from fieldframe.session import materialize
 
 
 def is_active(year: Column | int) -> Column:
@@ -41,48 +41,13 @@ def expand_validity(records: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def resolve_succession(records: DataFrame, target_year: int) -> DataFrame:
-    """Follow successor codes to those active in the target year: ``(code, standard_code, _order)``.
-
-    ``records`` has ``code, start_year, end_year, new_codes array``. Each round joins only
-    the codes that still move, keeps one way (of lowest order) to every code that is reached,
-    and is written out before the next, so lineage stays short, settled rows are not touched
-    again and forks that meet again do not multiply. A code met twice on its own way, or one
-    without successor, stands for itself; that also ends every cycle.
-    """
-    spark = records.sparkSession
-    latest = pick_one(
-        records.where(F.size("new_codes") > 0), ["code"], [F.col("start_year").desc_nulls_last(), F.col("end_year").desc_nulls_first()]
-    ).select("code", "new_codes")
-    active = records.groupBy("code").agg(F.max(is_active(target_year)).alias("_active"))
-    state = materialize(active.join(latest, "code", "left").withColumnRenamed("code", "_at"), "succession-state")
-    moving = records.select("code").distinct().select(
-        "code", F.col("code").alias("_at"), F.array("code").alias("_path"), F.array().cast("array<int>").alias("_order")
-    )
-    again = F.size(F.array_distinct("_path")) < F.size("_path")
-    done = F.coalesce(F.col("_active"), F.lit(False)) | F.col("new_codes").isNull() | again
-    path = f"{checkpoint_root(spark)}/fieldframe/succession-{uuid.uuid4().hex}"
-    while True:
-        looked = materialize(moving.join(state, "_at", "left").withColumn("_done", done), "succession")
-        looked.where("_done").select("code", F.col("_at").alias("standard_code"), "_order").write.mode("append").parquet(path)
-        ahead = looked.where("not _done")
-        if ahead.isEmpty():
-            break
-        further = ahead.select("code", "_path", "_order", F.posexplode("new_codes").alias("_i", "_next")).select(
-            "code", F.col("_next").alias("_at"), F.concat("_path", F.array("_next")).alias("_path"),
-            F.concat("_order", F.array("_i")).alias("_order"),
-        )
-        moving = pick_one(further, ["code", "_at"], [F.col("_order")])
-    settled = spark.read.parquet(path)
-    return settled.groupBy("code", "standard_code").agg(F.min("_order").alias("_order"))
+    """Follow successor codes to those active in the target year: ``(code, standard_code, _order)``."""
+    return succession.resolve(records, is_active(target_year))
 
 
 def standard_codes(resolved: DataFrame) -> DataFrame:
     """Per code its distinct standard codes in order, as array and joined text."""
-    ordered = F.array_sort(F.collect_list(F.struct("_order", "standard_code")))
-    codes = F.transform(ordered, lambda x: x["standard_code"])
-    return resolved.groupBy("code").agg(codes.alias("standard_codes")).withColumn(
-        "admin_code_standard", F.array_join("standard_codes", ";")
-    )
+    return succession.joined_codes(resolved)
 
 
 def succession_confidence(code: Column, codes: Column, active: Column, start_year: Column, target_year: int) -> tuple[Column, Column]:
