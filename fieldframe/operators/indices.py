@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldframe.operators.scalars import with_row
 from fieldframe.functions.numbers import as_number, flag, row_mean, row_sum
-from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
+from fieldframe.operators.quantiles import bounded_quantile, exact_quantiles
 
 
 def _line(year: Column, value: Column, kept: Column) -> tuple[Column, Column]:
@@ -218,8 +218,7 @@ def threshold_chd(df: DataFrame, unit: str | None, tmax: str, precip: str, basel
     quantiles are over years, hence bounded.
     """
     base = df.where(F.col("year").between(*baseline))
-    hot_all = exact_quantile(base, [], tmax, 0.90, "_hot_all")
-    dry_all = exact_quantile(base, [], precip, 0.10, "_dry_all")
+    cuts = exact_quantiles(base, [], {"_hot_all": (tmax, 0.90), "_dry_all": (precip, 0.10)})
     out = df
     if unit:
         groups = base.groupBy(unit).agg(
@@ -228,7 +227,7 @@ def threshold_chd(df: DataFrame, unit: str | None, tmax: str, precip: str, basel
         out = out.join(groups, unit, "left")
     else:
         out = out.withColumns({"_hot": F.lit(None).cast("double"), "_dry": F.lit(None).cast("double")})
-    out = with_row(with_row(out, hot_all), dry_all)
+    out = with_row(out, cuts)
     both = (F.col(tmax) > F.coalesce("_hot", "_hot_all")) & (F.col(precip) < F.coalesce("_dry", "_dry_all"))
     return out.withColumn("chd_annual", flag(both)).drop("_hot", "_dry", "_hot_all", "_dry_all")
 

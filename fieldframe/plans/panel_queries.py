@@ -464,11 +464,14 @@ SELECT province, year, {show_sql(('tmax_anomaly', 'precip_anomaly', 'ndvi_anomal
   CAST(year >= 2000 AS BIGINT) AS post, {R('v')} AS chd_event_intensity,
   CAST(coalesce(v >= (SELECT quantile_cont(v, 0.75) FROM ev), false) AS BIGINT) AS chd_event_treated_p75 FROM ev""")
 def annual_exposure_panel(spark, d):
-    """Source panels to wide annual exposure: merge, anomalies, annual index, event fields."""
+    """Source panels to wide annual exposure: merge, anomalies, annual index, event fields.
+
+    The annual index is 0 or 1, so its event-year means have few values and one aggregate cuts them.
+    """
     merged = merged_sources(spark, d).where(F.col("year").between(*I.YEARS))
     merged = materialize(merged, "annual-sources")
     panel = X.add_chd_annual(X.add_anomalies(merged, "province"), "province", I.BASELINE)
-    out = C.add_event_columns(materialize(panel, "annual-exposure"), I.EVENT_YEAR)
+    out = C.add_event_columns(materialize(panel, "annual-exposure"), I.EVENT_YEAR, day_counts=True)
     return show(out, ["province", "year", "chd_annual", "event_time", "post", "chd_event_treated_p75"],
                 ["tmax_anomaly", "precip_anomaly", "ndvi_anomaly", "chd_event_intensity"])
 

@@ -73,3 +73,25 @@ def test_rolling_cv_matches_history(spark):
             history += [] if v is None else [v]
             want = None if len(history) < 5 else float(np.std(history[-5:], ddof=1) / abs(np.mean(history[-5:])))
             assert got[(u, y)] == (None if want is None else pytest.approx(want))
+
+
+def test_exact_quantiles_of_columns_and_ranks_at_once(spark, monkeypatch):
+    """Per key and over all keys from one written range table; columns without values, null keys."""
+    written = []
+    monkeypatch.setattr(quantiles, "materialize", lambda df, label, f=quantiles.materialize: written.append(label) or f(df, label))
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.choice([rng.gauss(0, 1), 1.0]), rng.randint(0, 5) if rng.random() < 0.9 else None, None) for _ in range(4000)]
+    rows += [("only_x", 3.0, None, None), ("none", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y int, z double").repartition(6)
+    marks = {"x1": ("x", 0.1), "x9": ("x", 0.905), "y5": ("y", 0.5), "z5": ("z", 0.5), "x0": ("x", 0.0)}
+    found = quantiles.exact_quantiles(df, ["k"], marks, whole=True).collect()
+    assert written == ["quantile"] and len(found) == 5 and sum(r["_whole"] for r in found) == 1
+    for r in found:
+        for out, (column, q) in marks.items():
+            values = [row["xyz".index(column) + 1] for row in rows if r["_whole"] or row[0] == r["k"]]
+            values = [v for v in values if v is not None]
+            assert r[out] == (pytest.approx(np.quantile(values, q), abs=1e-12) if values else None)
+    single = quantiles.exact_quantiles(df, [], marks).collect()
+    assert len(single) == 1 and single[0]["y5"] == next(r["y5"] for r in found if r["_whole"]) and single[0]["z5"] is None
+    assert tuple(quantiles.exact_quantiles(df.limit(0), [], marks).first()) == (None,) * 5
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], marks, whole=True).count() == 0
