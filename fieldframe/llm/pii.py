@@ -59,7 +59,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         out += [(m.start(), 0, m.end()) for m in _found(text, EMAIL, EMAIL_FROM)]
     if "." in text:
-        out += [(m.start(), 1, m.end()) for m in _found(text, IP, IP_FROM) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _found(text, IP, IP_FROM) if all(len(q := p.lstrip("0")) < 4 and int(q or "0") < 256 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() > 13 and 14 <= len(digits := _digits(m[0])) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))

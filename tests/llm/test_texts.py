@@ -245,3 +245,8 @@ def test_mix_targets_and_copies(spark):
     assert emitted.columns == docs.columns and emitted.count() == sum(r.copies for r in got)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     assert {r.target for r in mixing.mix_sources(docs.where("source = 'e'")).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("text,count", [("0" * 5000 + ".1.1.1", 1), ("1.2.3." + "0" * 9000, 1), ("9" * 1_000_000, 0), ("0" * 4999 + "256.1.1.1", 0), ("000.0.0.0", 1)])
+def test_numbers_of_any_length_do_not_end_the_search(text, count):
+    assert sum(k == 1 for _, k, _ in pii.base_spans(text)) == count
