@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fieldframe.functions.names import PROVINCE_SUFFIXES, normalize_province_name
 from fieldframe.functions.numbers import flag
-from fieldframe.operators.picks import pick_one
 from fieldframe.operators.quantiles import bounded_quantile, exact_quantile
 from fieldframe.session import materialize
 
@@ -37,70 +36,7 @@ def _plain_name(name: str) -> str:
     return text
 
 
-# --- zones as polygons ----------------------------------------------------------------------
-
-def zones_from_rings(zones: DataFrame, ring: str) -> DataFrame:
-    """Prepare zones for point tests: box and edge list per zone, computed once.
-
-    ``ring`` is a closed ``array<struct<x, y>>``.
-    """
-    r = F.col(ring)
-    edges = F.zip_with(
-        F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1),
-        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
-    )
-    low = lambda axis: F.array_min(F.transform(r, lambda p: p[axis]))
-    high = lambda axis: F.array_max(F.transform(r, lambda p: p[axis]))
-    return zones.withColumns({
-        "_edges": edges, "_x1": low("x"), "_x2": high("x"), "_y1": low("y"), "_y2": high("y"),
-    }).drop(ring)
-
-
-def _odd_crossings(x: Column, y: Column) -> Column:
-    """Ray casting: the point is inside when the ray to the right crosses the ring an odd number of times."""
-    crosses = lambda e: F.when(
-        ((e["y1"] > y) != (e["y2"] > y))
-        & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]),
-        F.lit(1),
-    ).otherwise(F.lit(0))
-    return F.aggregate("_edges", F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
-
-
-def _bins(low: str, high: str, size: float) -> Column:
-    return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
-
-
-def binned_zones(zones: DataFrame, size: float) -> DataFrame:
-    """One row per zone and grid bin that its box touches."""
-    return zones.withColumn("_bx", F.explode(_bins("_x1", "_x2", size))).withColumn(
-        "_by", F.explode(_bins("_y1", "_y2", size))
-    )
-
-
-def join_zones(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "lat", size: float = 1.0,
-               how: str = "inner", polygon: bool = True) -> DataFrame:
-    """Points to the zones that contain them.
-
-    The range condition becomes an equality on grid bins plus a residual test, so Spark
-    hashes on the bin instead of comparing every point with every zone, and a crowded
-    bin can be split by adaptive execution.
-    """
-    x, y = F.col(lon), F.col(lat)
-    left = points.withColumn("_bx", F.floor(x / size)).withColumn("_by", F.floor(y / size)).alias("p")
-    right = binned_zones(zones, size).alias("z")
-    test = x.between(F.col("_x1"), F.col("_x2")) & y.between(F.col("_y1"), F.col("_y2"))
-    if polygon:
-        test = test & _odd_crossings(x, y)
-    same = (F.col("p._bx") == F.col("z._bx")) & (F.col("p._by") == F.col("z._by"))
-    extra = [c for c in zones.columns if c not in ("_edges", "_x1", "_x2", "_y1", "_y2")]
-    return left.join(right, same & test, how).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"z.{c}") for c in extra])
-
-
-def point_in_zone(points: DataFrame, zones: DataFrame, key: str, zone_order: str, size: float = 1.0) -> DataFrame:
-    """Left join of points to polygons, the first zone per point; points outside stay unmatched."""
-    matched = join_zones(points, zones, size=size, how="left")
-    return pick_one(matched, [key], [F.col(zone_order).asc_nulls_last()])
-
+# --- zones as boxes; polygons are in ``zones`` -----------------------------------------------
 
 def zone_boxes(extents: DataFrame, zone: str) -> DataFrame:
     """Union of many extents to one box per zone."""

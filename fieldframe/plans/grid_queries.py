@@ -8,6 +8,7 @@ from fieldframe.functions import roles as L
 from fieldframe.functions.numbers import rounded
 from fieldframe.functions.units import cell_area_ha
 from fieldframe.operators import grid as G
+from fieldframe.operators import zones as Z
 from fieldframe.plans import inputs as I
 from fieldframe.plans.clean_queries import choose, choose_sql
 from fieldframe.plans.inputs import R, with_sql
@@ -22,7 +23,7 @@ def polygons(spark, d):
     at = lambda x, y: F.struct((x0 + x).alias("x"), (y0 + y).alias("y"))
     ring = F.array(at(0.0, 0.0), at(4.0, 0.0), at(4.0, 1.7), at(3.1, 2.4), at(0.0, 2.4), at(0.0, 0.0))
     zones = I.table(spark, d, "nation").select(n.alias("zone_id"), "n_name", ring.alias("ring"))
-    return G.zones_from_rings(zones, "ring")
+    return Z.zones_from_rings(zones, "ring")
 
 
 POINTS = """points AS (SELECT c_custkey, c_acctbal, c_mktsegment, 105 + (c_custkey % 1800) / 100.0 AS lon, 24 + (c_custkey * 7 % 1100) / 100.0 AS lat FROM customer)"""
@@ -38,17 +39,50 @@ def points(spark, d):
 @query("point_in_zone_join", with_sql(POINTS, INSIDE) + """
 SELECT p.c_custkey, min(zone_id) AS zone_id FROM points p LEFT JOIN inside i ON p.c_custkey = i.c_custkey GROUP BY p.c_custkey""")
 def point_in_zone_join(spark, d):
-    return G.point_in_zone(points(spark, d), polygons(spark, d), "c_custkey", "zone_id").select("c_custkey", "zone_id")
+    return Z.point_in_zone(points(spark, d), polygons(spark, d), "c_custkey", "zone_id").select("c_custkey", "zone_id")
 
 
 @query("cell_zone_join", with_sql(POINTS, INSIDE) + f"""
 SELECT zone_id, count(*) AS cells, {R('avg(lon)')} AS mean_lon, {R('avg(lat)')} AS mean_lat FROM inside GROUP BY zone_id""")
 def cell_zone_join(spark, d):
-    cells = G.join_zones(points(spark, d), polygons(spark, d))
+    cells = Z.join_zones(points(spark, d), polygons(spark, d))
     return cells.groupBy("zone_id").agg(F.count(F.lit(1)).alias("cells"), rounded(F.avg("lon")).alias("mean_lon"),
                                         rounded(F.avg("lat")).alias("mean_lat"))
 
 
+@query("unit_zone_join", with_sql(POINTS, INSIDE.replace("FROM points p", "FROM (SELECT c_custkey, lon + 0.015 AS lon, lat + 0.025 AS lat FROM points) p")) + f"""
+SELECT p.c_custkey, {R('p.lon + 0.015')} AS lon, {R('p.lat + 0.025')} AS lat, min(zone_id) AS zone_id
+FROM points p LEFT JOIN inside i ON p.c_custkey = i.c_custkey GROUP BY p.c_custkey, p.lon, p.lat""")
+def unit_zone_join(spark, d):
+    """Units of two parts, a cup with a wide left side and a small island, by a point inside them."""
+    at = lambda x, y: F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y"))
+    cup = [(0.0, 0.0), (0.06, 0.0), (0.06, 0.05), (0.05, 0.05), (0.05, 0.01), (0.03, 0.01), (0.03, 0.05), (0.0, 0.05), (0.0, 0.0)]
+    island = [(0.2, 0.0), (0.22, 0.0), (0.22, 0.04), (0.2, 0.04), (0.2, 0.0)]
+    rings = F.array(*[F.array(*[at(x, y) for x, y in ring]) for ring in (cup, island)])
+    units = points(spark, d).select("c_custkey", rings.alias("rings"))
+    out = Z.assign_units(units, "rings", polygons(spark, d), "c_custkey", "zone_id")
+    return out.select("c_custkey", rounded("lon").alias("lon"), rounded("lat").alias("lat"), "zone_id")
+
+
+THIN = """thin AS (SELECT n_nationkey AS zone_id, 105.003 + (n_nationkey % 5) * 3.6 AS x1, 105.043 + (n_nationkey % 5) * 3.6 + n_nationkey % 3 AS x2,
+  24.003 + (n_nationkey // 5) * 2.2 AS y1, 24.013 + (n_nationkey // 5) * 2.2 + n_nationkey % 2 AS y2 FROM nation)"""
+
+
+@query("cell_zone_touched", with_sql(POINTS, THIN) + f"""
+SELECT zone_id, count(*) AS points, count(DISTINCT (ix, iy)) AS cells, {R('avg(lon)')} AS mean_lon FROM (SELECT *, floor(lon / 0.5) AS ix, floor(lat / 0.5) AS iy FROM points) p
+JOIN thin ON x1 < (ix + 1) * 0.5 AND x2 > ix * 0.5 AND y1 < (iy + 1) * 0.5 AND y2 > iy * 0.5 GROUP BY zone_id""")
+def cell_zone_touched(spark, d):
+    """Cells of half a degree to zones down to a few hundredths wide; by centres most of these have none."""
+    n = F.col("n_nationkey")
+    x1, y1 = F.lit(105.003) + (n % 5) * 3.6, F.lit(24.003) + F.floor(n / 5) * 2.2
+    x2, y2 = x1 + 0.04 + n % 3, y1 + 0.01 + n % 2
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))])
+    zones = Z.zones_from_rings(I.table(spark, d, "nation").select(n.alias("zone_id"), ring.alias("ring")), "ring")
+    found = Z.cell_zones(points(spark, d), zones, "zone_id", 0.5, all_touched=True)
+    cell = F.struct(F.floor(F.col("lon") / 0.5), F.floor(F.col("lat") / 0.5))
+    return found.groupBy("zone_id").agg(F.count(F.lit(1)).alias("points"), F.count_distinct(cell).alias("cells"), rounded(F.avg("lon")).alias("mean_lon"))
+
+
 EXTENTS = """boxes AS (SELECT s_nationkey AS zone_id, min(x1) AS x1, max(x1 + 1.5) AS x2, min(y1) AS y1, max(y1 + 1.2) AS y2 FROM (
   SELECT s_nationkey, 105.003 + (s_nationkey % 5) * 3.6 + (s_suppkey % 7) * 0.1 AS x1, 24.003 + (s_nationkey // 5) * 2.2 + (s_suppkey % 3) * 0.1 AS y1 FROM supplier) GROUP BY s_nationkey)"""
 
@@ -65,7 +99,7 @@ def boxes(spark, d):
 @query("zone_bbox_range_join", with_sql(POINTS, EXTENTS) + """
 SELECT c_custkey, zone_id FROM points JOIN boxes ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2""")
 def zone_bbox_range_join(spark, d):
-    return G.join_zones(points(spark, d), boxes(spark, d), polygon=False).select("c_custkey", "zone_id")
+    return Z.join_zones(points(spark, d), boxes(spark, d), polygon=False).select("c_custkey", "zone_id")
 
 
 ROLES = ("tmax", "precipitation", "temperature", "soil_moisture")
@@ -132,7 +166,7 @@ def remote_season(spark, d):
 SELECT zone_id, variable, CAST(year(time) AS INTEGER) AS year, {R("CASE WHEN variable = 'precipitation' THEN sum(s / n) ELSE sum(s) / sum(n) END")} AS value FROM st GROUP BY zone_id, variable, year(time)""")
 def zone_season_value(spark, d):
     season = cells(spark, d).where(F.month("time").isin(*I.MONTHS))
-    return show(G.zone_season(G.join_zones(season, boxes(spark, d), polygon=False), "zone_id"), ["zone_id", "variable", "year"], ["value"])
+    return show(G.zone_season(Z.join_zones(season, boxes(spark, d), polygon=False), "zone_id"), ["zone_id", "variable", "year"], ["value"])
 
 
 STATS = ("mean", "median", "min", "max", "std")
@@ -143,7 +177,7 @@ SELECT zone_id, {R('avg(c_acctbal)')} AS mean, {R('median(c_acctbal)')} AS media
   {R('stddev_pop(c_acctbal)')} AS std, count(*) AS valid_pixel_count FROM inside WHERE c_custkey % 7 > 0 GROUP BY zone_id""")
 def zone_stats(spark, d):
     values = points(spark, d).withColumn("value", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")))
-    return show(G.zone_stats(G.join_zones(values, polygons(spark, d)), "zone_id", "value"), ["zone_id", "valid_pixel_count"], STATS)
+    return show(G.zone_stats(Z.join_zones(values, polygons(spark, d)), "zone_id", "value"), ["zone_id", "valid_pixel_count"], STATS)
 
 
 @query("zonal_proxy", with_sql(POINTS, INSIDE) + f"""
@@ -152,7 +186,7 @@ SELECT p.zone_id, count(value) AS valid_pixel_count, {R('sum(value)', 4)} AS raw
 FROM polys p LEFT JOIN (SELECT zone_id, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS value FROM inside) i ON p.zone_id = i.zone_id GROUP BY p.zone_id""")
 def zonal_proxy(spark, d):
     values = points(spark, d).withColumn("value", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")))
-    cells_in = G.join_zones(values, polygons(spark, d))
+    cells_in = Z.join_zones(values, polygons(spark, d))
     zones = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("zone_id"))
     out = G.zonal_proxy(zones, cells_in, "zone_id", production=True, factor=1000.0)
     return out.select("zone_id", "valid_pixel_count", rounded("raw_proxy_value", 4).alias("raw_proxy_value"),
@@ -166,7 +200,7 @@ SELECT p.zone_id, {R('coalesce(area, 0)', 4)} AS crop_area_ha, {R('greatest(0, l
   CASE WHEN area > 0 THEN 'zonal_stats' WHEN area IS NOT NULL THEN 'no_crop_observed' ELSE 'no_overlap' END AS status
 FROM polys p LEFT JOIN z ON p.zone_id = z.zone_id""")
 def zonal_crop_area(spark, d):
-    masks = G.join_zones(points(spark, d), polygons(spark, d)).select(
+    masks = Z.join_zones(points(spark, d), polygons(spark, d)).select(
         "zone_id", F.col("c_mktsegment").alias("source"),
         F.when((F.col("c_custkey") % 3 == 0) & (F.col("zone_id") % 7 > 0), 1).otherwise(0).alias("mask"),
         cell_area_ha(F.lit(0.01), F.lit(0.01), F.col("lat")).alias("area_ha"))
@@ -180,7 +214,7 @@ SELECT zone_id, o_orderstatus AS stage, {R('avg(v)')} AS mean_doy FROM (
   SELECT zone_id, o_orderstatus, dayofyear(o_orderdate) + (o_orderkey % 5 - 2) * 100 AS v FROM orders JOIN inside ON o_custkey = c_custkey)
 WHERE v > 0 AND v <= 366 GROUP BY zone_id, o_orderstatus""")
 def zonal_doy_mean(spark, d):
-    zoned = G.join_zones(points(spark, d).select("c_custkey", "lon", "lat"), polygons(spark, d)).select("c_custkey", "zone_id")
+    zoned = Z.join_zones(points(spark, d).select("c_custkey", "lon", "lat"), polygons(spark, d)).select("c_custkey", "zone_id")
     k = F.col("o_orderkey")
     stages = I.table(spark, d, "orders").select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("stage"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldframe.operators import grid as G
+from fieldframe.operators import zones as Z
 from fieldframe.operators import indices as X
 from fieldframe.operators import joins as J
 from fieldframe.operators import panel as P
@@ -53,7 +54,7 @@ def test_crop_area_of_two_boxes(spark):
     zones = spark.createDataFrame([("w", ring(0.0), 0.0008), ("e", ring(2.0), 0.0008)], "zone_id string, ring array<struct<x:double,y:double>>, zone_ha double")
     mask = [(0, 0), (1, 1), (0, 3), (2, 0), (3, 2), (2, 3)]
     cells = spark.createDataFrame([(x + 0.5, y + 0.5, int((x, y) in mask)) for x in range(4) for y in range(4)], "lon double, lat double, mask int")
-    zoned = G.join_zones(cells, G.zones_from_rings(zones, "ring")).withColumns({"area_ha": F.lit(0.0001), "source": F.lit("m.tif")})
+    zoned = Z.join_zones(cells, Z.zones_from_rings(zones, "ring")).withColumns({"area_ha": F.lit(0.0001), "source": F.lit("m.tif")})
     out = {r["zone_id"]: r for r in G.zonal_crop_area(zones, zoned, "zone_id", "zone_ha").collect()}
     for zone in ("w", "e"):
         assert out[zone]["crop_area_ha"] == pytest.approx(0.0003) and out[zone]["crop_fraction"] == pytest.approx(0.375)
@@ -62,12 +63,12 @@ def test_crop_area_of_two_boxes(spark):
 
 def test_zone_join_is_an_equality_join(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]
-    zones = G.zones_from_rings(spark.createDataFrame([(1, ring)], "zone_id int, ring array<struct<x:double,y:double>>"), "ring")
+    zones = Z.zones_from_rings(spark.createDataFrame([(1, ring)], "zone_id int, ring array<struct<x:double,y:double>>"), "ring")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 9.0, 9.0)], "id int, lon double, lat double")
-    out = G.point_in_zone(points, zones, "id", "zone_id")
+    out = Z.point_in_zone(points, zones, "id", "zone_id")
     assert {(r["id"], r["zone_id"]) for r in out.collect()} == {(1, 1), (2, None), (3, None)}
     for how in ("inner", "left"):
-        plan = G.join_zones(points, zones, how=how)._jdf.queryExecution().executedPlan().toString()
+        plan = Z.join_zones(points, zones, how=how)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
