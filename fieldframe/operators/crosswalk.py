@@ -12,6 +12,7 @@ from fieldframe.functions.numbers import parse_year
 from fieldframe.functions.similarity import sequence_ratio
 from fieldframe.functions.text import blank, clean_text, first_rule, looks_like_code
 from fieldframe.operators import succession
+from fieldframe.operators.name_search import closest_names
 from fieldframe.operators.picks import pick_one
 from fieldframe.session import materialize
 
@@ -140,69 +141,8 @@ def distinct_crosswalk(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
 ANYWHERE = "*"
 
 
-def letter_marks(text: Column) -> Column:
-    """Every letter of a name with its number among equal ones, so that names share marks as bags of letters."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
-
-
-def closest_names(targets: DataFrame, names: DataFrame) -> DataFrame:
-    """Best name and code for each (_prov, _y, _narrow, _target) among (block, slot, _in, _name, _code).
-
-    The similarity of two names is at most twice their common letters over the sum of their
-    lengths. A first score to beat comes from names that share the target's rarest pair of
-    letters. A name that beats score s shares more than s/2 of both lengths' sum, so it has one of
-    the target's rarest letters: marks are put in order of rarity, each side files its name under as
-    many of its rarest marks as it may miss and one more, and only names that meet under a mark and
-    whose lengths allow the score are compared. Targets without a first score file all marks.
-    """
-    group = ["_prov", "_y", "_narrow", "_target"]
-    where = {"_prov": "block", "_y": "slot", "_narrow": "_in"}
-    pairs = lambda text: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2))))
-    place = [F.col(a).eqNullSafe(F.col(b)) for a, b in where.items()]
-    # rarity of letter pairs and marks over all names, one row each
-    filed = names.withColumn("_pair", F.explode(pairs(F.col("_name"))))
-    often = filed.groupBy("_pair").agg(F.count(F.lit(1)).alias("_many"))
-    rare = pick_one(targets.withColumn("_pair", F.explode(pairs(F.col("_target")))).join(often, "_pair"), group, [F.col("_many"), F.col("_pair")]).drop("_many")
-    tried = rare.join(filed.withColumnRenamed("_pair", "_p"), [F.col("_pair") == F.col("_p"), *place])
-    # of the names under the rarest pair those of nearest length give the first score
-    tried = pick_one(tried, group, [F.abs(F.length("_name") - F.length("_target")), F.col("_name")])
-    first = materialize(tried.select(*group, sequence_ratio("_target", "_name").alias("_beat")), "match-first")
-    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
-    wanted = targets.alias("l").join(first.alias("r"), same, "left").select("l.*", F.coalesce("r._beat", F.lit(0.0)).alias("_beat"))
-
-    marked = names.select(F.posexplode(letter_marks(F.col("_name"))).alias("_i", "_mark")).groupBy("_mark").agg(F.count(F.lit(1)).alias("_many"))
-
-    def by_rarity(rows: DataFrame, text: str) -> DataFrame:
-        """Marks of each distinct text, rarest first."""
-        spread = rows.select(text).distinct().withColumn("_mark", F.explode(letter_marks(F.col(text)))).join(marked, "_mark", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("_many", F.lit(0)).alias("n"), F.col("_mark").alias("m"))))
-        return spread.groupBy(text).agg(F.transform(order, lambda x: x["m"]).alias("_marks"))
-
-    # a name that reaches the score shares at least this many letters with the target: score / (2 - score) of the target's
-    length = F.length("_target")
-    shared = F.greatest(F.lit(1), F.ceil(length * F.col("_beat") / (2.0 - F.col("_beat")) - 1e-9))
-    left = wanted.join(by_rarity(targets, "_target"), "_target").withColumn("_mark", F.explode(F.slice(F.col("_marks"), F.lit(1), (length - shared + 1).cast("int")))).drop("_marks")
-    right = names.join(by_rarity(names, "_name"), "_name").select("block", "slot", "_in", "_name", "_code", F.posexplode("_marks").alias("_at", "_m"))
-    size = F.length("_name")
-    # the same for the name's side, at the target's score, and lengths that can reach it
-    fits = (F.col("_at") <= size - F.greatest(F.lit(1), F.ceil(size * F.col("_beat") / (2.0 - F.col("_beat")) - 1e-9))) & (
-        2.0 * F.least(size, length) / (size + length) >= F.col("_beat") - 1e-9)
-    met = left.join(right, [F.col("_mark") == F.col("_m"), *place, fits]).select(*group, "_beat", "_name", "_code").distinct()
-    ours, theirs = letter_marks(F.col("_target")), letter_marks(F.col("_name"))
-    rivals = met.where(2.0 * F.size(F.array_intersect(ours, theirs)) / (size + length) >= F.col("_beat") - 1e-9)
-    scored = rivals.withColumn("_score", sequence_ratio("_target", "_name"))
-    return pick_one(scored, group, [F.col("_score").desc(), F.col("_code")]).where("_score > 0")
-
-
-def crosswalk_match(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Best crosswalk code for rows without one: ``(province, prefecture, county, year)`` to code and score.
-
-    Distinct row keys are matched, never raw rows, inside their province (and prefecture
-    when it exists there); a key without a province is matched with all candidates. Exact
-    names are plain equality joins with score 1. Only the rest is compared by similarity,
-    see ``closest_names``. Ties go to the lower code.
-    """
+def _decided(rows: DataFrame, crosswalk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct row keys with their exact code, or null, and what to search otherwise; candidates by block and slot)."""
     norm = normalize_place_name
     years = crosswalk.select(F.col("year").alias("_y")).where("_y is not null").distinct()
     keys = rows.select("province", "prefecture", "county", "year").distinct()
@@ -235,8 +175,7 @@ def crosswalk_match(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
             cond = cond & (F.col("_pref") == F.col(e))
         return base.join(named, cond).select("province", "prefecture", "county", "year", "_code")
 
-    key = ["province", "prefecture", "county", "year"]
-    same = lambda left, right: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    same = lambda left, right: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in MATCH_KEY]
 
     def attach(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
         r = right.withColumnRenamed("_code", column)
@@ -252,18 +191,39 @@ def crosswalk_match(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
     exact = F.when(
         F.col("_coun") != "", F.when(has_pref, F.col("_c_both")).otherwise(F.col("_c_county"))
     ).when(F.col("_pref") != "", F.col("_c_pref")).otherwise(F.col("_c_prov"))
-    decided = materialize(decided.withColumn("_exact", exact).withColumn("_narrow", F.when(has_pref, F.col("_pref"))), "match-exact")
+    return materialize(decided.withColumn("_exact", exact).withColumn("_narrow", F.when(has_pref, F.col("_pref"))), "match-exact"), blocks
+
+
+MATCH_KEY = ("province", "prefecture", "county", "year")
+
 
+def exact_match(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Row keys ``(province, prefecture, county, year)`` whose name a candidate carries exactly, with its lowest code."""
+    decided, _ = _decided(rows, crosswalk)
+    return decided.where("_exact is not null").select(*MATCH_KEY, F.col("_exact").alias("admin_code"))
+
+
+def crosswalk_match(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Best crosswalk code for rows without one: ``(province, prefecture, county, year)`` to code and score.
+
+    Distinct row keys are matched, never raw rows, inside their province (and prefecture
+    when it exists there); a key without a province is matched with all candidates. Exact
+    names are plain equality joins with score 1. Only the rest is compared by similarity,
+    see ``name_search``. Ties go to the lower code.
+    """
+    decided, blocks = _decided(rows, crosswalk)
     # Similarity for the rest: distinct (block, narrowing, target) against distinct names there.
     open_keys = decided.where("_exact is null").select("_prov", "_y", "_narrow", "_target").distinct()
-    wide = blocks.withColumn("_in", F.explode(F.array_union(
+    asked = open_keys.select(F.col("_prov").alias("_b"), F.col("_y").alias("_s")).distinct()
+    reached = blocks.join(asked, (F.col("block") == F.col("_b")) & F.col("slot").eqNullSafe(F.col("_s")), "left_semi").where("code is not null")
+    wide = reached.withColumn("_in", F.explode(F.array_union(
         F.array(F.lit(None).cast("string")), F.filter(F.array_distinct(F.array("f", "n")), lambda v: v != ""))))
-    names = wide.withColumn("_name", name("c", "f", "p", "n")).where("_name <> ''").groupBy("block", "slot", "_in", "_name").agg(F.min("code").alias("_code"))
-    best = closest_names(open_keys.where("_target is not null"), names)
+    names = wide.withColumn("_name", F.explode(F.array_distinct(F.array("c", "f", "p", "n")))).where("_name <> ''").groupBy("block", "slot", "_in", "_name").agg(F.min("code").alias("_code"))
+    best = closest_names(open_keys.where("_target is not null"), names, {"_prov": "block", "_y": "slot", "_narrow": "_in"})
     group = ["_prov", "_y", "_narrow", "_target"]
     again = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
     final = decided.alias("l").join(best.alias("r"), again, "left").select(
-        *[F.col(f"l.{k}") for k in key],
+        *[F.col(f"l.{k}") for k in MATCH_KEY],
         F.coalesce("l._exact", "r._code").alias("admin_code"),
         F.round(F.when(F.col("l._exact").isNotNull(), 1.0).otherwise(F.col("r._score")), 6).alias("match_confidence"),
     )

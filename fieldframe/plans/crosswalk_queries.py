@@ -148,3 +148,24 @@ def crosswalk_match(spark, d):
     matched = K.crosswalk_match(rows, crosswalk)
     return rows.join(matched, ["province", "prefecture", "county", "year"], "left").select(
         "row_id", "admin_code", "match_confidence", "match_method")
+
+
+MATCH_INPUTS = """cand AS (SELECT CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey % 4 + 1998 AS INTEGER) END AS year, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS code,
+  p_brand AS p, p_type AS f, p_name AS c FROM part),
+ask AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'Brand#' || (p_partkey % 28) END AS prov,
+  CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN 'nowhere' ELSE '' END AS pref,
+  CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN translate(p_name, 'aei', 'oxa') ELSE substr(p_name, 3) END AS county,
+  CAST(p_partkey % 6 + 1997 AS INTEGER) AS year FROM part)"""
+
+
+@query("crosswalk_exact", with_sql(MATCH_INPUTS) + """
+, met AS (SELECT row_id, prov, pref, county, code, p, f, c, pref <> '' AND (f = pref OR c = pref) AS hp, county <> '' AND c = county AS hc, p = prov OR c = prov AS hv
+  FROM ask r JOIN cand x ON (x.year = r.year OR r.year NOT IN (SELECT year FROM cand WHERE year IS NOT NULL)) AND (prov = '' OR p = prov OR c = prov)),
+best AS (SELECT row_id, bool_or(hp) AS any_pref, min(code) FILTER (hp AND hc) AS both_code, min(code) FILTER (hc) AS county_code, min(code) FILTER (hp) AS pref_code,
+  min(code) FILTER (hv) AS prov_code FROM met GROUP BY row_id)
+SELECT r.row_id, CASE WHEN county <> '' THEN CASE WHEN any_pref THEN both_code ELSE county_code END WHEN pref <> '' THEN pref_code WHEN prov <> '' THEN prov_code END AS admin_code
+FROM ask r LEFT JOIN best b ON b.row_id = r.row_id""")
+def crosswalk_exact(spark, d):
+    """Rows whose names a candidate carries exactly; the others stay without a code."""
+    rows, crosswalk = match_inputs(spark, d)
+    return rows.join(K.exact_match(rows, crosswalk), list(K.MATCH_KEY), "left").select("row_id", "admin_code")
