@@ -190,33 +190,45 @@ REPORT_RULES = ClaimRules(
     dated_qualifiers=("描述性", "外部一致性", "辅助", "对照", "不作为", "external consistency", "descriptive"),
 )
 
+# Messages of the claim rules; the matched words follow the first.
+MESSAGES = {
+    "risky": "High-risk term must be negated or bounded: ",
+    "chd_scope_label_missing": "CHD figure/table/headline labels must state province-average or province-scale scope.",
+    "validation_scope_missing": "2024 validation language must be framed as descriptive external consistency or auxiliary evidence.",
+    "impact_scope_missing": "Report should explicitly state the current conclusion strength as impact assessment / risk identification.",
+}
+
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 TITLE_OR_TABLE = r"^(#|\| Figure|\| Table|\|\s*(Figure|Table|\d+))"
 
 
 def claim_issues(documents: DataFrame, key: str, text: str, rules: ClaimRules = REPORT_RULES) -> DataFrame:
-    """Rule violations ``(key, line, rule, matched)`` of report texts, one pass per document.
+    """Rule violations ``(key, line, rule, matched, message, excerpt)`` of report texts, one pass per document.
 
     Risky words need a safe or impact word on their line; titles and table rows with an
     exposure label need a scope word; a dated paragraph about validation needs a
-    qualifier; a document needs an impact word somewhere.
+    qualifier; a document needs an impact word somewhere. The excerpt is the line without the
+    white space around it, or the paragraph's lines joined by spaces; a whole document has none.
     """
     low = lambda words: [w.lower() for w in words]
     has = lambda value, words: contains_any(value, low(words))
-    issue = lambda line, rule, matched: F.struct(
-        line.cast("int").alias("line"), F.lit(rule).alias("rule"), matched.alias("matched"))
     none = F.lit("")
+    strip = lambda value: F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+    def issue(line: Column, rule: str, matched: Column = none, excerpt: Column = none) -> Column:
+        message = F.lit(MESSAGES[rule]) if rule in MESSAGES else F.concat(F.lit(MESSAGES["risky"]), matched)
+        return F.struct(line.cast("int").alias("line"), F.lit(rule).alias("rule"), matched.alias("matched"), message.alias("message"), excerpt.alias("excerpt"))
 
     def of_line(line: Column, index: Column) -> Column:
         def check(lower: Column) -> Column:
             fine = has(lower, rules.safe) | has(lower, rules.impact)
             found = [
                 F.when(has(lower, words) & ~fine, issue(index + 1, rule, F.concat_ws(
-                    ", ", *[F.when(lower.contains(w.lower()), F.lit(w)) for w in words])))
+                    ", ", *[F.when(lower.contains(w.lower()), F.lit(w)) for w in words]), strip(line)))
                 for rule, words in rules.risky.items()
             ]
             label = F.trim(line).rlike(TITLE_OR_TABLE) & has(lower, rules.labels) & ~has(lower, rules.scopes)
-            found.append(F.when(label, issue(index + 1, "chd_scope_label_missing", none)))
+            found.append(F.when(label, issue(index + 1, "chd_scope_label_missing", excerpt=strip(line))))
             return F.array_compact(F.array(*found))
 
         return let(F.lower(line), check)
@@ -231,18 +243,18 @@ def claim_issues(documents: DataFrame, key: str, text: str, rules: ClaimRules =
             def check(body: Column) -> Column:
                 lower = F.lower(body)
                 bad = body.contains(rules.dated) & has(lower, rules.dated_terms) & ~has(lower, rules.dated_qualifiers)
-                return F.when(bad, issue(a + 1, "validation_scope_missing", none))
+                return F.when(bad, issue(a + 1, "validation_scope_missing", excerpt=F.array_join(F.transform(F.split(body, "\n"), strip), " ")))
 
             return let(F.array_join(F.slice(ls, a + 1, b - a + 1), "\n"), check)
 
         return F.array_compact(F.zip_with(first, last, of_paragraph))
 
     body = F.coalesce(F.col(text), F.lit(""))
-    unmarked = F.when(~has(F.lower(body), rules.impact), issue(F.lit(1), "impact_scope_missing", none))
+    unmarked = F.when(~has(F.lower(body), rules.impact), issue(F.lit(1), "impact_scope_missing"))
     per_line = let(F.split(body, LINE_BREAK), lambda ls: F.concat(
         F.flatten(F.transform(ls, of_line)),
         # The dated rule can only apply to a document that has the date at all.
-        F.when(body.contains(rules.dated), paragraphs(ls)).otherwise(F.filter(F.array(issue(F.lit(1), "", none)), lambda x: F.lit(False))),
+        F.when(body.contains(rules.dated), paragraphs(ls)).otherwise(F.filter(F.array(issue(F.lit(1), "")), lambda x: F.lit(False))),
     ))
     return documents.select(key, F.inline(F.concat(per_line, F.array_compact(F.array(unmarked)))))
 

@@ -82,19 +82,20 @@ RULES = T.ClaimRules(
     labels=("the", "der"), scopes=("and",), dated="of", dated_terms=("that", "with"), dated_qualifiers=("was",))
 _any = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w.lower()}')" for w in words) + ")"
 _matched = lambda words: "concat_ws(', ', " + ", ".join(f"CASE WHEN contains(l, '{w.lower()}') THEN '{w}' END" for w in words) + ")"
+_strip = lambda text: f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
 RISKY_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, line, '{rule}', {_matched(words)} FROM lines WHERE {_any('l', words)} AND NOT {_any('l', RULES.safe)} AND NOT {_any('l', RULES.impact)}"
+    f"SELECT doc_id, line, '{rule}', {_matched(words)}, '{T.MESSAGES['risky']}' || {_matched(words)}, {_strip('raw')} FROM lines WHERE {_any('l', words)} AND NOT {_any('l', RULES.safe)} AND NOT {_any('l', RULES.impact)}"
     for rule, words in RULES.risky.items())
 
 
 @query("claim_guardrails", with_sql("docs AS (SELECT doc_id, replace(CASE WHEN doc_id % 3 = 0 THEN '# ' || text ELSE text END, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)) AS text FROM documents)",
   "split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs)", "lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS raw, lower(unnest(ls)) AS l FROM split)",
   "isl AS (SELECT *, sum(CASE WHEN trim(raw, ' ' || chr(9)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS g FROM lines)",
-  "paras AS (SELECT doc_id, min(line) AS line, string_agg(raw, chr(10) ORDER BY line) AS body FROM isl WHERE trim(raw, ' ' || chr(9)) <> '' GROUP BY doc_id, g)") + f"""
-SELECT doc_id, CAST(line AS INTEGER) AS line, rule, matched FROM (SELECT doc_id, line, '' AS rule, '' AS matched FROM lines WHERE false UNION ALL {RISKY_SQL}
-UNION ALL SELECT doc_id, line, 'chd_scope_label_missing', '' FROM lines WHERE regexp_matches(trim(raw), '^(#|\\| Figure|\\| Table|\\|\\s*(Figure|Table|\\d+))') AND {_any('l', RULES.labels)} AND NOT {_any('l', RULES.scopes)}
-UNION ALL SELECT doc_id, line, 'validation_scope_missing', '' FROM paras WHERE contains(body, 'of') AND {_any('lower(body)', RULES.dated_terms)} AND NOT {_any('lower(body)', RULES.dated_qualifiers)}
-UNION ALL SELECT doc_id, 1, 'impact_scope_missing', '' FROM docs WHERE NOT {_any('lower(text)', RULES.impact)})""")
+  "paras AS (SELECT doc_id, min(line) AS line, string_agg(raw, chr(10) ORDER BY line) AS body, string_agg(" + _strip("raw") + ", ' ' ORDER BY line) AS shown FROM isl WHERE trim(raw, ' ' || chr(9)) <> '' GROUP BY doc_id, g)") + f"""
+SELECT doc_id, CAST(line AS INTEGER) AS line, rule, matched, message, excerpt FROM (SELECT doc_id, line, '' AS rule, '' AS matched, '' AS message, '' AS excerpt FROM lines WHERE false UNION ALL {RISKY_SQL}
+UNION ALL SELECT doc_id, line, 'chd_scope_label_missing', '', '{T.MESSAGES['chd_scope_label_missing']}', {_strip('raw')} FROM lines WHERE regexp_matches(trim(raw), '^(#|\\| Figure|\\| Table|\\|\\s*(Figure|Table|\\d+))') AND {_any('l', RULES.labels)} AND NOT {_any('l', RULES.scopes)}
+UNION ALL SELECT doc_id, line, 'validation_scope_missing', '', '{T.MESSAGES['validation_scope_missing']}', shown FROM paras WHERE contains(body, 'of') AND {_any('lower(body)', RULES.dated_terms)} AND NOT {_any('lower(body)', RULES.dated_qualifiers)}
+UNION ALL SELECT doc_id, 1, 'impact_scope_missing', '', '{T.MESSAGES['impact_scope_missing']}', '' FROM docs WHERE NOT {_any('lower(text)', RULES.impact)})""")
 def claim_guardrails(spark, d):
     """Claim rules with words of the test language; every third document starts with a title."""
     titled = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), F.col("text"))).otherwise(F.col("text"))
@@ -184,9 +185,30 @@ def prefer_variant(spark, d):
 FROZEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+FROZEN_KEYS = {"orders": ["o_totalprice"], "events": ["value"]}
+FROZEN_YEARS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+
+
 @query("freeze_hashes")
 def freeze_hashes(spark, d):
+    """Content hashes have no SQL; what SQL can measure is in ``freeze_measures``."""
     tables = {n: I.table(spark, d, n) for n in FROZEN}
-    keys = {"orders": ["o_totalprice"], "events": ["value"]}
-    return S.freeze(spark, d, tables, keys).select(
-        S.file_name(F.col("path")).alias("file_name"), "sha256", "length", "rows", "columns", "year_min", "year_max", "key_coverage")
+    return S.freeze(spark, d, tables, FROZEN_KEYS).select(
+        S.file_name(F.col("path")).alias("file_name"), "sha256", "row_digest", "length", "rows", "columns", "year_min", "year_max", "key_coverage")
+
+
+def _measured_sql(table: str) -> str:
+    year = FROZEN_YEARS.get(table)
+    years = [f"CAST({f}(year({year})) AS INTEGER)" if year else "CAST(NULL AS INTEGER)" for f in ("min", "max")]
+    filled = " || ';' || ".join(f"'{c}=' || CAST(round(count({c}) / count(*), 6) AS DOUBLE)" for c in FROZEN_KEYS.get(table, ())) or "''"
+    return f"SELECT '{table}' AS name, count(*) AS rows, (SELECT count(*) FROM (DESCRIBE {table})) AS columns, {years[0]} AS year_min, {years[1]} AS year_max, {filled} AS key_coverage FROM {table}"
+
+
+@query("freeze_measures", " UNION ALL ".join(map(_measured_sql, FROZEN)))
+def freeze_measures(spark, d):
+    """Rows, columns, years and coverage of every table, from the same measures per file."""
+    found = S.measures({n: I.table(spark, d, n) for n in FROZEN}, FROZEN_KEYS)
+    name = F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1)
+    return found.groupBy(name.alias("name")).agg(
+        F.sum("rows").alias("rows"), F.max("columns").cast("bigint").alias("columns"), F.min("year_min").alias("year_min"), F.max("year_max").alias("year_max"),
+        F.max("key_coverage").alias("key_coverage"))

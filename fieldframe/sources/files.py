@@ -158,10 +158,54 @@ def prefer_variant(files: DataFrame, providers: Sequence[str], marker: str = "/c
     return joined.where(F.col("_compact") | ~F.coalesce("_some", F.lit(False))).select(*files.columns)
 
 
-def fingerprints(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Content hash and length per file (``binaryFile`` limits a file to 2 GB)."""
+#: Spark reads a file of at most so many bytes as one value.
+WHOLE_FILE = (1 << 31) - 1
+
+
+def fingerprints(spark: SparkSession, root: str, pattern: str = "*", largest: int = WHOLE_FILE) -> DataFrame:
+    """Content hash and length per file; the hash is null for files of more than ``largest`` bytes, which are not read.
+
+    ``row_digests`` fingerprints the rows of files of any size.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime")
+    hashed = files.where(F.col("length") <= largest).select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime")
+    return hashed.unionByName(files.where(F.col("length") > largest).select("path", F.lit(None).cast("string").alias("sha256"), "length", "modificationTime"))
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a whole row, by different seeds and column orders; nulls count, wherever they are.
+
+    A hash function of Spark passes over nulls, so every column is preceded by whether it is null.
+    Nested values are hashed as JSON, in which nulls inside them are written.
+    """
+    def parts(name: str, kind: str) -> list[Column]:
+        c = F.col(f"`{name}`")
+        nested = kind.startswith(("array", "map", "struct", "variant"))
+        return [c.isNull(), F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c]
+
+    columns = [parts(name, kind) for name, kind in df.dtypes]
+    forward = [F.lit("first"), *(c for pair in columns for c in pair)]
+    backward = [F.lit("second"), *(c for pair in reversed(columns) for c in pair)]
+    return F.xxhash64(*forward), F.xxhash64(*backward)
+
+
+def _digest() -> Column:
+    """Aggregate of the hashes _one and _two of a group's rows."""
+    whole = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).cast("string")
+    xor = lambda c: F.bit_xor(c).cast("string")
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), whole("_one"), whole("_two"), xor("_one"), xor("_two")), 256)
+
+
+def row_digests(df: DataFrame, by: Column | None = None, out: str = "path") -> DataFrame:
+    """One fingerprint per source file of a scan, or per value of ``by``: ``(out, rows, row_digest)``.
+
+    The digest is SHA-256 over the number of rows, and sums and exclusive ors of both row hashes. It
+    is an aggregate with map-side sums, so files are split as Spark likes; it does not depend on
+    the order of rows, and differs when a cell changes or a row is added, lost or repeated.
+    """
+    one, two = row_hashes(df)
+    hashed = df.select((F.col("_metadata.file_path") if by is None else by).alias(out), one.alias("_one"), two.alias("_two"))
+    return hashed.groupBy(out).agg(F.count(F.lit(1)).alias("rows"), _digest().alias("row_digest"))
 
 
 def rows_per_file(df: DataFrame, columns: int | None = None) -> DataFrame:
@@ -170,23 +214,30 @@ def rows_per_file(df: DataFrame, columns: int | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.lit(columns if columns is not None else len(df.columns)).alias("columns"))
 
 
-def freeze(spark: SparkSession, root: str, tables: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
-    """Version freeze: hash, size, rows, columns, year range and filled share of key columns per file.
+def measures(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows, columns, year range, filled share of key columns and row digest per source file of the tables.
 
     The range is that of a year column, or of the years of the first date or time column; null without.
     """
-    def years(df: DataFrame) -> list[Column]:
+    def years(df: DataFrame) -> tuple[Column, Column]:
         whole = next((F.col(c) for c, kind in df.dtypes if c.lower() == "year" and kind in ("int", "bigint", "smallint")), None)
         dated = next((F.year(c) for c, kind in df.dtypes if kind in ("date", "timestamp", "timestamp_ntz")), None)
         year = next((y for y in (whole, dated) if y is not None), F.lit(None))
-        return [F.min(year).cast("int").alias("year_min"), F.max(year).cast("int").alias("year_max")]
+        return F.min(year).cast("int").alias("year_min"), F.max(year).cast("int").alias("year_max")
 
-    measured = None
+    out = None
     for name, df in tables.items():
         filled = [F.concat(F.lit(f"{c}="), F.round(F.count(c) / F.count(F.lit(1)), 6).cast("string")) for c in keys.get(name, ())]
-        part = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-            F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), *years(df), F.concat_ws(";", *filled).alias("key_coverage"))
-        measured = part if measured is None else measured.unionByName(part)
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    hashes = fingerprints(spark, root, "*.parquet").withColumn("path", plain(F.col("path")))
-    return hashes.join(measured.withColumn("path", plain(F.col("path"))), "path", "left")
+        one, two = row_hashes(df)
+        hashed = df.withColumns({"_path": F.col("_metadata.file_path"), "_one": one, "_two": two})
+        part = hashed.groupBy(F.col("_path").alias("path")).agg(
+            F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), *years(df), F.concat_ws(";", *filled).alias("key_coverage"),
+            _digest().alias("row_digest"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+
+
+def freeze(spark: SparkSession, root: str, tables: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
+    """Version freeze per file: content hash and size, and the measures of its rows."""
+    hashes = fingerprints(spark, root, "*.parquet").withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return hashes.join(measures(tables, keys), "path", "left")

@@ -132,7 +132,11 @@ def test_announcement(spark):
 def test_claims(spark):
     text = "# CHD 排名\n\n结果证明因果效应。\n不构成因果识别。\n\n2024 年验证结果良好。\n\n2024 年描述性验证。\n| 1 | chd_annual 省级 |\n"
     df = spark.createDataFrame([(1, text), (2, "影响评估 only"), (3, None)], "id int, t string")
-    got = {(r["id"], r["line"], r["rule"]) for r in T.claim_issues(df, "id", "t").collect()}
+    rows = T.claim_issues(df, "id", "t").collect()
+    got = {(r["id"], r["line"], r["rule"]) for r in rows}
+    shown = {(r["id"], r["rule"]): (r["message"], r["excerpt"]) for r in rows}
+    assert shown[1, "causal_overclaim"] == ("High-risk term must be negated or bounded: 因果效应", "结果证明因果效应。") and shown[1, "chd_scope_label_missing"][1] == "# CHD 排名"
+    assert shown[1, "validation_scope_missing"][1] == "2024 年验证结果良好。" and shown[3, "impact_scope_missing"][1] == "" and all(m.endswith((".", "因果效应")) or "/" in m for m, _ in shown.values())
     assert got == {(1, 1, "chd_scope_label_missing"), (1, 3, "causal_overclaim"), (1, 6, "validation_scope_missing"),
                    (1, 1, "impact_scope_missing"), (3, 1, "impact_scope_missing")}
     assert T.forbidden_tokens(df, "t", ["证明"]).first()["detected"] and not T.forbidden_tokens(df, "t", ["zzz"]).first()["detected"]
