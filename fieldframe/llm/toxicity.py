@@ -12,6 +12,7 @@ score of texts without any.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldframe.llm.words import STEPS, mix, powers
 from fieldframe.session import materialize
 
 EXAMPLES = 8192  # most labelled rows used, by hash of doc_id
 BEGINNINGS = (4, 5, 6)  # lengths of word beginnings, in bytes
 BLOCK = 32
 TEXTS = 256  # searched at once
+PIECE = 1 << 20  # bytes whose words are hashed at once
+LEADING = 20  # bits of a hash by which terms are found
 COMMON = 32  # a term is common if it stands in one of so many examples
 NEIGHBOURS = 15
 SOFT = 0.05  # distance added before a vote's weight is its inverse
@@ -38,14 +42,66 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def text_words(text: str | None) -> set[bytes]:
-    """Distinct lower-cased words of a text: runs of ASCII letters and bytes of other characters."""
-    return set((text or "").lower().encode("utf-8", "replace").translate(PLAIN).split())
-
-
-def word_terms(word: bytes) -> list[bytes]:
-    """A word and its beginnings, which end in * to tell them from words."""
-    return [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
+def _plain(text: str | None) -> bytes:
+    """A text in lower case with a space for whatever is neither an ASCII letter nor part of another character."""
+    return (text or "").lower().encode("utf-8", "replace").translate(PLAIN)
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, bytes]]]:
+    """(row, bytes) in groups of about PIECE bytes; long texts are cut at spaces."""
+    group: list[tuple[int, bytes]] = []
+    size = 0
+    for row, text in enumerate(texts):
+        raw, at = _plain(text), 0
+        while at < len(raw):
+            end = len(raw) if len(raw) - at <= PIECE else raw.find(b" ", at + PIECE)
+            end = len(raw) if end < 0 else end
+            group.append((row, raw[at:end]))
+            size, at = size + end - at, end
+            if size >= PIECE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _group_terms(group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, term hashes, words) of a group: every distinct word of a piece and its beginnings, with how often the word stands there."""
+    data = np.frombuffer(b" ".join(raw for _, raw in group) + b" ", np.uint8)
+    solid = data != 32
+    edges = np.flatnonzero(np.diff(solid, prepend=False))
+    first, length = edges[::2], edges[1::2] - edges[::2]
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes = np.array([len(raw) + 1 for _, raw in group])
+    piece = np.searchsorted(np.cumsum(sizes), first, side="right")
+    places = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    values = (data[solid].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[places]
+    word = mix(np.add.reduceat(values, np.cumsum(length) - length) + length.astype(np.uint64))
+    # equal words of a piece once, with their number
+    key = mix(word + piece.astype(np.uint64) * STEPS[2])
+    order = np.argsort(key)
+    new = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    one, many = order[new], np.diff(new, append=len(order))
+    rows = np.array([row for row, _ in group])[piece[one]]
+    found = [(rows, word[one], many)]
+    for n in BEGINNINGS:
+        longer = length[one] > n
+        letters = data[first[one][longer][:, None] + np.arange(n)].astype(np.uint64) + np.uint64(1)
+        found.append((rows[longer], mix(mix((letters * powers(n)[:n]).sum(axis=1, dtype=np.uint64)) + np.uint64(n)), many[longer]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def text_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash of a term, number of words that bear it) of all texts; a pair of row and term may come in parts.
+
+    Terms are words, runs of ASCII letters and bytes of other characters in lower case, and their
+    beginnings. A term is its 64-bit hash: equal hashes are taken as equal terms.
+    """
+    found = [_group_terms(group) for group in _pieces(texts)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _ratio(a: Column, b: Column, toxic: int, other: int) -> Column:
@@ -146,19 +202,21 @@ def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Terms, their weights, and the examples' term counts; scores texts together with a cache of words.
+    """Terms as sorted hashes, their weights, and the examples' term counts.
 
     It travels compressed and without its index, which is built where it is first used.
     """
 
-    def __init__(self, terms: list[bytes], weights: np.ndarray, plain_rate: float):
-        self.terms, self.weights, self.plain_rate = {t: i for i, t in enumerate(terms)}, weights, plain_rate
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, plain_rate: float):
+        self.terms, self.weights, self.plain_rate = terms.astype(np.uint64), weights, plain_rate
+        # where the terms that share their leading bits start
+        self.starts = np.searchsorted(self.terms, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
+        self.starts = np.append(self.starts, np.int32(len(terms)))
         self.examples: tuple[np.ndarray, ...] | None = None  # starts, terms, counts, ids, toxic
         self.index: BlockMaxIndex | None = None
-        self.words: dict[bytes, list[int]] = {}
 
     def __getstate__(self):
-        packed = zlib.compress(b" ".join(self.terms), 1), zlib.compress(self.weights.tobytes(), 1)
+        packed = self.terms, zlib.compress(self.weights.tobytes(), 1)
         if self.examples is None:
             return packed, self.plain_rate, None
         starts, terms, counts, ids, toxic = self.examples
@@ -166,7 +224,7 @@ class Model:
 
     def __setstate__(self, state):
         (terms, weights), plain_rate, examples = state
-        self.__init__(zlib.decompress(terms).split(), np.frombuffer(zlib.decompress(weights)), plain_rate)
+        self.__init__(terms, np.frombuffer(zlib.decompress(weights)), plain_rate)
         if examples is not None:
             starts, terms, counts, ids, toxic = examples
             steps = np.frombuffer(zlib.decompress(terms), np.int32)
@@ -179,18 +237,33 @@ class Model:
             self.index = BlockMaxIndex(vectors, ids.tolist(), toxic.tolist(), len(self.terms))
         return self.index
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text in order, and the number of its distinct words that bear each."""
-        found: list[int] = []
-        if len(self.words) > 400_000:
-            self.words.clear()
-        words, terms = self.words, self.terms
-        for word in text_words(text):
-            hit = words.get(word)
-            if hit is None:
-                hit = words[word] = [terms[t] for t in word_terms(word) if t in terms]
-            found += hit
-        return np.unique(np.array(found, np.int64), return_counts=True)
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each term, -1 for what is none."""
+        leading = (hashes >> np.uint64(64 - LEADING)).astype(np.int64)
+        at, end = self.starts[leading], self.starts[leading + 1]
+        out = np.full(len(hashes), -1, np.int64)
+        open_ = np.flatnonzero(at < end)
+        at = at[open_]
+        while len(open_):
+            hit = self.terms[at] == hashes[open_]
+            out[open_[hit]] = at[hit]
+            more = ~hit & (at + 1 < end[open_])
+            open_, at = open_[more], at[more] + 1
+        return out
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text its terms in order, and the number of its words that bear each."""
+        rows, hashes, many = text_terms(texts)
+        terms = self.lookup(hashes)
+        kept = terms >= 0
+        key = rows[kept] * len(self.terms) + terms[kept]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        total = np.add.reduceat(many[kept][order], new) if len(new) else np.zeros(0, np.int64)
+        row, term = np.divmod(key[new], max(1, len(self.terms)))
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        return [(term[a:b], total[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = (1 + np.log(counts)) * self.weights[terms]
@@ -207,7 +280,8 @@ class Model:
         index = self.search()
         for at in range(0, len(texts), TEXTS):
             some = texts[at:at + TEXTS]
-            known = {text: self.vector(*self.counts(text)) for text in set(some)}
+            distinct = list(dict.fromkeys(some))
+            known = {text: self.vector(*found) for text, found in zip(distinct, self.counts(distinct))}
             known = {text: v for text, v in known.items() if len(v[0]) and index is not None}
             found = dict(zip(known, index.nearest_of(list(known.values()), NEIGHBOURS))) if known else {}
             voted = {text: (self.vote(c, index.toxic[p]), index.ids[p].tolist()) for text, (c, p) in found.items() if len(p)}
@@ -217,8 +291,11 @@ class Model:
 
 def _terms(batches):
     for batch in batches:
-        terms = [sorted({t for w in text_words(text) for t in word_terms(w)}) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(terms, pa.list_(pa.binary()))], ["toxic", "terms"])
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            rows, hashes, _ = text_terms(part.column("text").to_pylist())
+            terms = [np.unique(hashes[rows == row]).view(np.int64) for row in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(terms, pa.list_(pa.int64()))], ["toxic", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
@@ -236,24 +313,29 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic + other:
-        return Model([], np.zeros(0), 0.0)
-    seen = rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<binary>").select("toxic", F.explode("terms").alias("term"))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    seen = rows.select("toxic", "text").mapInArrow(_terms, "toxic int, terms array<long>").select("toxic", F.explode("terms").alias("term"))
     counted = seen.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     # a bounded table: the terms of at most ``examples`` texts
     a, b = F.col("a"), F.col("b")
     weight = (F.log(F.lit(1.0 + toxic + other) / (1 + a + b)) + 1) * F.greatest(_ratio(a, b, toxic, other), F.lit(0.0))
-    got = counted.select("term", weight.alias("weight")).toArrow().sort_by("term")
-    model = Model(got.column("term").to_pylist(), got.column("weight").to_numpy(), 0.0)
+    got = counted.select("term", weight.alias("weight")).toArrow()
+    hashes = got.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    model = Model(hashes[order], got.column("weight").to_numpy()[order], 0.0)
     terms = docs.sparkSession.sparkContext.broadcast(model)
 
     def bags(batches):
         for batch in batches:
-            found = [terms.value.counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int32())),
-                                              pa.array([n for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = terms.value.counts(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int32())),
+                                                  pa.array([n for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     # at most ``examples`` rows
     found = rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    terms.destroy()
     sizes = pc.list_value_length(found.column("terms")).to_numpy()
     ids, marks = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy()
     used = sizes > 0
