@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldframe.functions.numbers import rounded
 from fieldframe.operators import models as M
+from fieldframe.operators import projection as J
+from fieldframe.operators import quality as Q
 from fieldframe.operators import robustness as B
 from fieldframe.operators import treatment as T
 from fieldframe.plans import inputs as I
@@ -99,6 +101,16 @@ def two_way_fe(spark, d):
     return show(rows, ["term", "n_obs", "df"], ["estimate", "standard_error", "r2", "adjusted_r2"])
 
 
+@query("two_way_fe_alternating", with_sql(*FE_CHAIN, *balanced_fe_sql("fe", "0")) + f"""
+SELECT 'x' AS term, {R('b')} AS estimate, {R('sqrt(ssr / df / sxx)')} AS standard_error, n AS n_obs, df, {R('1 - ssr / tss')} AS r2,
+  {R('1 - ssr / tss * (n - 1) / df')} AS adjusted_r2 FROM fit0""")
+def two_way_fe_alternating(spark, d):
+    """The same model by means taken out in turn; tests compare both ways on unbalanced panels."""
+    fit = J.fit_two_way_alternating(fe_panel(spark, d), "y", ["x"])
+    rows = spark.createDataFrame(M.coefficient_rows("two_way_fixed_effects", fit), M.COEFFICIENT_SCHEMA)
+    return show(rows, ["term", "n_obs", "df"], ["estimate", "standard_error", "r2", "adjusted_r2"])
+
+
 DID = """sc AS (SELECT province, avg(h) AS s FROM fe WHERE year = 2000 GROUP BY province),
 tr AS (SELECT fe.*, CAST(s >= (SELECT quantile_cont(s, 0.5) FROM sc) AS BIGINT) AS t FROM fe JOIN sc ON fe.province = sc.province),
 mean AS (SELECT year, avg(y) FILTER (t = 1) AS m1, avg(y) FILTER (t = 0) AS m0 FROM tr GROUP BY year)"""
@@ -189,3 +201,41 @@ def model_coefficients(spark, d):
     rows += M.coefficient_rows("province_two_way_fixed_effects", M.fit_two_way(panel, y, [x]))
     rows += M.coefficient_rows("event_study_candidate", M.event_study_fe(panel, y, "tmax_anomaly", "province", I.EVENT_YEAR, 0.5, 3))
     return spark.createDataFrame(rows, M.COEFFICIENT_SCHEMA)
+
+
+_SHOWN = "CAST(CAST(round({0}, 6) AS DECIMAL(20,6)) AS VARCHAR)"
+#: Student's t by Simpson's rule from 0 to |t|, and the saturated event study's errors on a balanced panel.
+AUDIT = """tt AS (SELECT abs(b / sqrt(ssr / df / sxx)) AS t, df FROM fit0),
+pv AS (SELECT 1 - 2 * max(t) / 12000 * max(exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()))
+  * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2.0)) AS p FROM tt, range(0, 4001) r(i)),
+left_over AS (SELECT y - avg(y) OVER (PARTITION BY province) - avg(y) OVER (PARTITION BY t, year) + avg(y) OVER (PARTITION BY t) AS e, province, year, t FROM tr),
+noise AS (SELECT sqrt(sum(e * e) / (count(*) - count(DISTINCT province) - 2 * (count(DISTINCT year) - 1))
+  * 2 * (1.0 / count(DISTINCT province) FILTER (t = 1) + 1.0 / count(DISTINCT province) FILTER (t = 0))) AS se FROM left_over),
+trend AS (SELECT bool_and(abs(m1 - m0 - (SELECT m1 - m0 FROM mean WHERE year = 1999)) <= 1.96 * se) AS ok FROM mean, noise WHERE year < 1999),
+sides AS (SELECT count(*) FILTER (t = 1) AS treated, count(*) FILTER (t = 0) AS control FROM tr WHERE year = 2000)"""
+
+
+@query("model_audit_full", with_sql(*FE_CHAIN, *balanced_fe_sql("fe", "0"), DID, AUDIT) + f"""
+SELECT 'has_descriptive_ols' AS "check", 'passed' AS status, 'True' AS value, '' AS notes
+UNION ALL SELECT 'has_province_two_way_fixed_effects', CASE WHEN n > 0 THEN 'passed' ELSE 'failed' END, CASE WHEN n > 0 THEN 'True' ELSE 'False' END, '' FROM fit0
+UNION ALL SELECT 'has_event_study_candidate', CASE WHEN treated > 0 AND control > 0 THEN 'passed' ELSE 'failed' END, CASE WHEN treated > 0 AND control > 0 THEN 'True' ELSE 'False' END, '' FROM sides
+UNION ALL SELECT 'chd_annual_coefficient', 'info', {_SHOWN.format('b')}, CASE WHEN b < 0 THEN 'negative' WHEN b > 0 THEN 'positive' ELSE 'zero' END FROM fit0
+UNION ALL SELECT 'chd_annual_p_value', 'info', {_SHOWN.format('p')}, CASE WHEN p < 0.05 THEN 'significant_at_5pct' WHEN p < 0.1 THEN 'significant_at_10pct' ELSE 'not_significant' END FROM pv
+UNION ALL SELECT 'sample_size', 'info', CAST(n AS VARCHAR), '' FROM fit0
+UNION ALL SELECT 'r2', 'info', {_SHOWN.format('1 - ssr / tss')}, '' FROM fit0
+UNION ALL SELECT 'adjusted_r2', 'info', {_SHOWN.format('1 - ssr / tss * (n - 1) / df')}, '' FROM fit0
+UNION ALL SELECT 'contains_province_fe', CASE WHEN count(DISTINCT province) > 1 THEN 'passed' ELSE 'failed' END, CASE WHEN count(DISTINCT province) > 1 THEN 'True' ELSE 'False' END, '' FROM fe
+UNION ALL SELECT 'contains_year_fe', CASE WHEN count(DISTINCT year) > 1 THEN 'passed' ELSE 'failed' END, CASE WHEN count(DISTINCT year) > 1 THEN 'True' ELSE 'False' END, '' FROM fe
+UNION ALL SELECT 'pretrend_test_passed', CASE WHEN ok THEN 'passed' ELSE 'failed' END, CASE WHEN ok THEN 'True' ELSE 'False' END, '' FROM trend
+UNION ALL SELECT 'treated_province_count', 'info', CAST(treated AS VARCHAR), '' FROM sides
+UNION ALL SELECT 'control_province_count', 'info', CAST(control AS VARCHAR), '' FROM sides
+UNION ALL SELECT 'missing_rows_concentrated_in_watched_years', 'info', (SELECT {_SHOWN.format('count(*) FILTER (y IN (1994, 2002)) / count(*)')} FROM range(1990, 2006) t(y)
+   WHERE y NOT IN (SELECT DISTINCT year FROM fe)), ''""")
+def model_audit_full(spark, d):
+    """Audit of a whole run: least squares, fixed effects with p value, event study with its pre-trend."""
+    panel = materialize(T.assign_treatment(fe_panel(spark, d).withColumnRenamed("x", "chd_annual"), "h", "province", I.EVENT_YEAR, 0.5, "treated"), "audit-panel")
+    rows = M.coefficient_rows("descriptive_ols", M.fit_ols(panel, "y", ["chd_annual"]))
+    rows += M.coefficient_rows("province_two_way_fixed_effects", M.fit_two_way(panel, "y", ["chd_annual"]))
+    events = M.coefficient_rows("event_study_candidate", M.event_study_fe(panel, "y", "h", "province", I.EVENT_YEAR, 0.5, 5))
+    tables = [spark.createDataFrame(r, M.COEFFICIENT_SCHEMA) for r in (rows, events)]
+    return Q.model_audit(*tables, panel, "province", I.EVENT_YEAR, "treated", (1990, 2005), (1994, 2002))

@@ -19,6 +19,7 @@ def get_session(app_name: str = "fieldframe", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.legacy.javaCharsets": "true",  # statistics tables come in GB18030 too
+        "spark.sql.legacy.codingErrorAction": "true",  # bytes that an encoding does not know are marked, not an error
         **conf,
     }
     for key, value in settings.items():
