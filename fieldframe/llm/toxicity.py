@@ -29,7 +29,8 @@ BLOCK = 32
 TEXTS = 256  # searched at once
 PIECE = 1 << 20  # bytes whose words are hashed at once
 LEADING = 20  # bits of a hash by which terms are found
-COMMON = 32  # a term is common if it stands in one of so many examples
+RUN = 16  # blocks whose common terms are multiplied at once
+COMMON = 12  # a term is common if it stands in one of so many examples
 NEIGHBOURS = 15
 SOFT = 0.05  # distance added before a vote's weight is its inverse
 SHRINK = 1.0  # weight of the rate of examples without terms
@@ -175,9 +176,13 @@ class BlockMaxIndex:
         kth = np.partition(sums, last, axis=1)[:, last] if width else np.zeros(len(vectors), np.float32)
         bounds = sums.reshape(len(vectors), self.blocks, BLOCK).max(axis=2) + common @ self.largest if width else np.zeros((len(vectors), 0))
         open_ = bounds + slack >= kth[:, None]
-        for block in np.flatnonzero(open_.any(axis=0)):
-            need, part = np.flatnonzero(open_[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
-            sums[need, part] += common[need] @ self.dense[:, part]
+        for first in range(0, self.blocks, RUN):
+            # neighbouring blocks are multiplied together, for the texts to which one of them is open
+            need, part = np.flatnonzero(open_[:, first:first + RUN].any(axis=1)), slice(first * BLOCK, (first + RUN) * BLOCK)
+            if 2 * len(need) > len(vectors):
+                sums[:, part] += common @ self.dense[:, part]
+            elif len(need):
+                sums[need, part] += common[need] @ self.dense[:, part]
         out, query = [], np.zeros(self.terms)
         for i, (terms, weights) in enumerate(vectors):
             least = np.partition(sums[i], last)[last] if width else 0
