@@ -37,6 +37,7 @@ def tall(one_row: DataFrame, section: str | None = None) -> DataFrame:
 # --- yield coverage and tier ----------------------------------------------------------------
 
 def recommendation(level: Column, crop: Column, rate: Column) -> Column:
+    """What a coverage rate allows; the labels and limits are fixed values."""
     sub = level.isin("county", "prefecture")
     return first_rule(
         [
@@ -323,6 +324,7 @@ def exposure_diagnosis(model: DataFrame, annual_exposure: str, sources: Mapping[
 
 # --- model scope ----------------------------------------------------------------------------
 
+# Names of the gates.
 GATES = (
     "yield_panel_coverage_gte_0_75", "pretrend_test_passed", "placebo_tests_passed", "robustness_direction_stable",
     "admin_crosswalk_match_rate_gte_0_90", "mechanism_remote_sensing_consistent",

@@ -82,13 +82,19 @@ def name_years(path: Column) -> Column:
     return F.transform(found, lambda y: y.cast("int"))
 
 
+# Words of proxy paths, and of the names of phenology rasters, with what they say; the first that fits applies.
+PROXY_SOURCES = ((("ggcp10",), "ggcp10"), (("asiariceyield", "asia_rice_yield"), "asia_rice_yield_4km"))
+NAMED_PROXY = ("gdhy", "gdhy")
+STAGE_WORDS = (("transplant", "transplanting"), ("maturity", "maturity"), ("heading", "heading"))
+SEASON_WORDS = (("early_rice", "early"), ("middle_rice", "middle"), ("late_rice", "late"), ("rice", "rice"))
+
+
 def filename_metadata(path: Column) -> dict[str, Column]:
     """Source, year, crop, variable and factor of a proxy raster; stage, season and province of others."""
     p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     n = file_name(p)
     source = first_rule(
-        [(p.contains("ggcp10"), F.lit("ggcp10")), (contains_any(p, ("asiariceyield", "asia_rice_yield")), F.lit("asia_rice_yield_4km")),
-         (n.contains("gdhy"), F.lit("gdhy"))],
+        [*[(contains_any(p, words), F.lit(name)) for words, name in PROXY_SOURCES], (n.contains(NAMED_PROXY[0]), F.lit(NAMED_PROXY[1]))],
         F.lit("unknown_yield_proxy"),
     )
     variable = first_rule(
@@ -103,10 +109,8 @@ def filename_metadata(path: Column) -> dict[str, Column]:
         "crop": F.when(p.contains("rice"), "rice").otherwise("unknown"),
         "variable": variable,
         "value_to_ton_factor": F.when((source == "ggcp10") & (variable == "production"), 1000.0),
-        "stage": first_rule([(n.contains("transplant"), F.lit("transplanting")), (n.contains("maturity"), F.lit("maturity")),
-                             (n.contains("heading"), F.lit("heading"))], F.lit(None).cast("string")),
-        "season": first_rule([(n.contains("early_rice"), F.lit("early")), (n.contains("middle_rice"), F.lit("middle")),
-                              (n.contains("late_rice"), F.lit("late")), (n.contains("rice"), F.lit("rice"))], F.lit(None).cast("string")),
+        "stage": first_rule([(n.contains(word), F.lit(name)) for word, name in STAGE_WORDS], F.lit(None).cast("string")),
+        "season": first_rule([(n.contains(word), F.lit(name)) for word, name in SEASON_WORDS], F.lit(None).cast("string")),
         "province": map_province_name(F.replace(region, F.lit("_"), F.lit(" "))),
     }
 
