@@ -119,3 +119,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Let go of the worker's encoders and what they keep; the next use makes them anew."""
+    _encoders.clear()

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldframe.llm import tokens
 from fieldframe.llm.words import STEPS, mix, powers
 from fieldframe.session import materialize
 
@@ -240,6 +241,7 @@ class Model:
             starts, terms, counts, ids, toxic = self.examples
             vectors = [self.vector(terms[a:b], counts[a:b]) for a, b in zip(starts[:-1], starts[1:])]
             self.index = BlockMaxIndex(vectors, ids.tolist(), toxic.tolist(), len(self.terms))
+            self.examples = None  # the index holds what they say
         return self.index
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
@@ -328,19 +330,19 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     hashes = got.column("term").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     model = Model(hashes[order], got.column("weight").to_numpy()[order], 0.0)
-    terms = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def bags(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                found = terms.value.counts(part.column("text").to_pylist())
+                found = shared.value.counts(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int32())),
                                                   pa.array([n for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     # at most ``examples`` rows
     found = rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    terms.destroy()
+    shared.destroy()
     sizes = pc.list_value_length(found.column("terms")).to_numpy()
     ids, marks = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy()
     used = sizes > 0
@@ -359,6 +361,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def scored(batches):
+        tokens.forget()
         own = model.value
         for batch in batches:
             found = own.scores(batch.column("text").to_pylist())
@@ -375,6 +378,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def clean(batches):
+        tokens.forget()  # a worker that encoded texts before holds its words
         own = model.value
         for batch in batches:
             yield batch.filter(pa.array([s < TOXIC_FROM for s, _ in own.scores(batch.column("text").to_pylist())], pa.bool_()))
