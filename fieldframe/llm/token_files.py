@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm.tokens import encoder
+from fieldframe.llm.tokens import encoder, forget
 from fieldframe.session import checkpoint_root
 
 BLOCK_IDS = 1 << 19
@@ -55,38 +55,43 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -> None:
     """Encode every row of docs (doc_id, text) and write it under ``path``, rows by doc_id, null first.
 
-    A null or empty text is its end id alone; rows that repeat a doc_id stay apart, by their ids.
+    A null or empty text is its end id alone; rows that repeat a doc_id stay apart, by their ids. Ids
+    are counted while encoding, and become ranks in their blocks.
     """
     spark = docs.sparkSession
-    small = "<u2"
 
     def encoded(batches):
-        own = encoder(vocabulary)
-        kind = small if own.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        """Ids of every row; a task's last row holds its counts of ids instead."""
+        own, total = encoder(vocabulary), np.zeros(0, np.int64)
+        kind = "<u2" if own.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids = [np.append(own.ids(t.as_py()), np.array([end_id], "<u4")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                                              pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+            rows = [own.raw(t.as_py()) + end for t in batch.column("text")]
+            lengths = np.array([len(r) // 4 for r in rows], np.int64)
+            ids = np.frombuffer(b"".join(rows), "<u4")
+            found = np.bincount(ids)
+            total = np.pad(total, (0, max(0, len(found) - len(total))))
+            total[:len(found)] += found
+            raw, cuts = ids.astype(kind).tobytes(), np.concatenate(([0], np.cumsum(lengths))) * np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary()),
+                                              pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int64()))], names)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                                              *(pa.array([x], pa.list_(pa.int64())) for x in (at, total[at]))], names)
 
-    docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, n long, ids binary").write.option("compression", "zstd").parquet(f"{path}/ids")
-    ids = spark.read.parquet(f"{path}/ids")
+    names = ["doc_id", "n", "ids", "kinds", "counts"]
+    form = "doc_id long, n long, ids binary, kinds array<long>, counts array<long>"
+    docs.select("doc_id", "text").mapInArrow(encoded, form).write.option("compression", "zstd").parquet(f"{path}/ids")
+    ids = spark.read.schema(form).parquet(f"{path}/ids")
+    small = encoder(vocabulary).tokenizer.get_vocab_size() <= 1 << 16
+    forget()
 
     def joined(batch: pa.RecordBatch) -> np.ndarray:
         """Ids of all rows of a batch, one after another."""
-        raw = b"".join(batch.column("ids").to_pylist())
-        return np.frombuffer(raw, small if len(raw) == 2 * int(batch.column("n").to_numpy().sum()) else "<u4")
-
-    def counted(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            found = np.bincount(joined(batch))
-            if len(found) > len(total):
-                total = np.pad(total, (0, len(found) - len(total)))
-            total[:len(found)] += found
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "count"])
+        return np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2" if small else "<u4")
 
-    counts = ids.select("n", "ids").mapInArrow(counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    counts = ids.where("kinds is not null").select(F.explode(F.arrays_zip("kinds", "counts")).alias("c")).groupBy(F.col("c.kinds").alias("id")).agg(F.sum("c.counts").alias("count"))
     # one row per id of the vocabulary at most
     order = [r["id"] for r in counts.orderBy(F.desc("count"), "id").select("id").collect()]
     spark.createDataFrame([(r, i) for r, i in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
@@ -94,14 +99,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
-    def ranked(batches):
-        for batch in batches:
-            kind = small if len(order) <= 1 << 16 else "<u4"
-            ranks = shared.value[joined(batch)].astype(kind).tobytes()
-            cut = np.concatenate(([0], np.cumsum(batch.column("n").to_numpy()))) * np.dtype(kind).itemsize
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array([ranks[a:b] for a, b in zip(cut, cut[1:])], pa.binary())],
-                                             ["doc_id", "n", "ids"])
-
     def blocks(batches):
         at, held, size = 0, [], 0
         for batch in batches:
@@ -122,7 +119,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
     def block(rows: list[pa.RecordBatch], at: int) -> pa.RecordBatch:
         """One block, ``at`` ids into its part: its documents' ids as one stream."""
         table = pa.Table.from_batches(rows)
-        control, data = encode_ranks(np.concatenate([joined(r) for r in rows]))
+        control, data = encode_ranks(shared.value[np.concatenate([joined(r) for r in rows])])
         lengths = table.column("n").to_pylist()
         return pa.RecordBatch.from_arrays([
             pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([at], pa.int64()), pa.array([sum(lengths)], pa.int64()),
@@ -130,8 +127,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
             pa.array([control], pa.binary()), pa.array([data], pa.binary()),
         ], ["part", "at", "tokens", "docs", "lengths", "control", "data"])
 
-    sorted_rows = ids.mapInArrow(ranked, "doc_id long, n long, ids binary").repartitionByRange("doc_id")
-    sorted_rows = sorted_rows.sortWithinPartitions("doc_id", "n", F.xxhash64("ids")).withColumn("part", F.spark_partition_id())
+    # rows that repeat a doc_id are dealt and ordered by their ids
+    keys = ("doc_id", "n", "mark")
+    rows = ids.where("n is not null").select("doc_id", "n", "ids", F.xxhash64("ids").alias("mark"))
+    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     form = "part int, at long, tokens long, docs array<long>, lengths array<long>, control binary, data binary"
     sorted_rows.select("part", "doc_id", "n", "ids").mapInArrow(blocks, form).write.option("compression", "zstd").parquet(f"{path}/blocks")
 

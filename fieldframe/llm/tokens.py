@@ -54,6 +54,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
+        self.space, self.tokenize = self.letters[32], self.model.tokenize
         self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.heads: dict[str, bytes] = {}
         self.newline = self.whole("\n")
@@ -73,18 +74,18 @@ class Encoder(dict):
             first, *others = word.split("\n")
             return self[first] + b"".join([self.newline + self.head(line) for line in others])
         elif single(word):
-            ids = self.model_ids(" " + word)
+            ids = self.model_ids(word, self.space)
         else:
             ids = self.whole(" " + word)
         self[word] = ids
         return ids
 
-    def model_ids(self, piece: str) -> bytes:
-        """Ids of one pre-token, with a space before it or not."""
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1")
+    def model_ids(self, word: str, before: str = "") -> bytes:
+        """Ids of one pre-token of letters or digits, which stand for themselves where they are ASCII."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
         coded = self.coded
-        return b"".join([coded[t.id] for t in self.model.tokenize(piece.translate(self.letters))])
+        return b"".join([coded[t.id] for t in self.tokenize(before + word)])
 
     def head(self, word: str) -> bytes:
         """Ids of a word without a space before it; kept apart."""
@@ -102,16 +103,20 @@ class Encoder(dict):
             self.heads[word] = ids
         return ids
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a text; of a null or empty text none."""
+    def raw(self, text: str | None) -> bytes:
+        """Ids of a text as bytes; of a null or empty text none."""
         if not text:
-            return np.zeros(0, "<u4")
+            return b""
         if not self.byte_level or unsafe(text) or any(s in text for s in self.special):
-            return np.frombuffer(self.whole(text), "<u4")
+            return self.whole(text)
         if len(self) > KEPT:
             self.clear()
         head, *words = text.split(" ")
-        return np.frombuffer(self.head(head) + b"".join(map(self.__getitem__, words)), "<u4")
+        return self.head(head) + b"".join(map(self.__getitem__, words))
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Ids of a text; of a null or empty text none."""
+        return np.frombuffer(self.raw(text), "<u4")
 
 
 def encoder(path: str) -> Encoder:
