@@ -115,3 +115,34 @@ def backoff_scores(rows, word_share, arc_share, discount):
         score = sum(math.log10(p(tuple(run[max(0, k - 1):k + 1]), w)) for k, w in enumerate(ws))
         out[i] = (len(ws), sum(one[w] > 0 for w in ws), n, base, score)
     return out
+
+
+def density_sums(tags: list[str], parents: list[int], doubts: list[bool], texts: list[tuple[int, str]], named: float) -> list[float]:
+    """Sum of the composite densities of each node's children and of its own text, by recursion from the definition."""
+    children = {n: [c for c, p in enumerate(parents) if p == n] for n in range(len(tags))}
+    own = [sum(len("".join(t.split())) for n, t in texts if n == node) for node in range(len(tags))]
+
+    def measures(node):
+        inner = [measures(c) for c in children[node] if not doubts[c]]
+        c, t, lc, lt = (sum(m[k] for m in inner) for k in range(4))
+        c, t = c + own[node], t + len(inner)
+        return (c, t, c, lt + 1) if tags[node] == "a" else (c, t, lc, lt)
+
+    c0, _, l0, _ = measures(0)
+
+    def density(c, t, lc, lt):
+        if lc >= c:
+            return 0.0
+        outer = math.log(c / (c - lc) * lc + (l0 / c0 if c0 else 0.0) * c + math.e)
+        return max(0.0, c / max(1, t) * math.log(c / max(1, lc) * (max(1, t) / max(1, lt))) / outer)
+
+    def above(node):
+        return [node, *(above(parents[node]) if parents[node] >= 0 else [])]
+
+    out = []
+    for node in range(len(tags)):
+        found = [density(*measures(c)) for c in children[node] if not doubts[c]]
+        if not any(tags[n] == "a" for n in above(node)):
+            found.append(density(own[node], 1, 0, 0))
+        out.append(sum(found) * named ** sum(doubts[n] for n in above(node)))
+    return out

@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import random
 import zlib
 
 import numpy as np
@@ -250,3 +251,37 @@ def test_mix_targets_and_copies(spark):
 @pytest.mark.parametrize("text,count", [("0" * 5000 + ".1.1.1", 1), ("1.2.3." + "0" * 9000, 1), ("9" * 1_000_000, 0), ("0" * 4999 + "256.1.1.1", 0), ("000.0.0.0", 1)])
 def test_numbers_of_any_length_do_not_end_the_search(text, count):
     assert sum(k == 1 for _, k, _ in pii.base_spans(text)) == count
+
+
+LONG = "<p>" + "many words of the text of the page here " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><form>{LONG}{LONG}<input><button>Send it</button></form></article>",
+    f"<body><form><div class=nav><a href=x>Home</a></div>{LONG}{LONG}</form></body>",
+    f"<main><div class='article-tags'>{LONG}{LONG}</div><form><label>Subscribe</label></form></main>",
+    f"<article>{LONG}{LONG}<article><p>Send your remark</p></article></article>",
+    f"<main>{LONG}{LONG}<div class=comments>{LONG.replace('words', 'Send')}</div></main>",
+])
+def test_density_decides_inside_forms_and_named_elements(page):
+    main_text = density.main_text
+
+    block = " ".join(LONG[3:-4].split())
+    assert main_text(page) == f"{block}\n{block}"
+
+
+def test_density_sums_equal_recursion():
+    NAMED, Page = density.NAMED, density.Page
+
+    draw = random.Random(5)
+
+    def tree(depth):
+        tag = draw.choice(["div", "p", "a", "span", "section", "form", "div class=menu"])
+        inner = "".join(tree(depth - 1) for _ in range(draw.randint(0, 3))) if depth else ""
+        return f"<{tag}>{'word ' * draw.choice([0, 1, 5, 40])}{inner}</{tag.split()[0]}>"
+
+    for _ in range(40):
+        page = Page("".join(tree(4) for _ in range(3)))
+        _, total = page.densities()
+        texts = [(n, t) for t, n in zip(page.pieces, page.owner) if t is not None]
+        assert total == pytest.approx(plain.density_sums(page.tag, page.parent, page.doubt, texts, NAMED), rel=1e-6)
