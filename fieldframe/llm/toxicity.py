@@ -12,7 +12,7 @@ score of texts without any.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +130,7 @@ class BlockMaxIndex:
     A vector is a dict of terms and weights over 0, or an array of each.
     """
 
-    def __init__(self, vectors: list, ids: list[int], toxic: list[int], terms: int):
+    def __init__(self, vectors: Iterable, ids: list[int], toxic: list[int], terms: int):
         vectors = [_arrays(v) for v in vectors]
         # examples with the same leading terms share blocks, which keeps the bounds tight
         order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), ids[i]))
@@ -139,8 +139,9 @@ class BlockMaxIndex:
         self.blocks, self.terms = -(-len(order) // BLOCK), terms
         empty = [np.zeros(0, np.int32)], [np.zeros(0)]
         self.starts = np.cumsum([0, *(len(vectors[i][0]) for i in order)])
-        self.of = np.concatenate([vectors[i][0] for i in order] or empty[0]).astype(np.int32)
+        self.of = np.concatenate([vectors[i][0] for i in order] or empty[0]).astype(np.int32, copy=False)
         self.weights = np.concatenate([vectors[i][1] for i in order] or empty[1])
+        vectors.clear()
         places = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.starts))
         sizes = np.bincount(self.of, minlength=terms)
         # column of each common term, -1 for the others
@@ -149,9 +150,12 @@ class BlockMaxIndex:
         self.column[common] = np.arange(len(common))
         at = self.column[self.of]
         self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        self.dense[at[at >= 0], places[at >= 0]] = self.weights[at >= 0]
+        held = np.flatnonzero(at >= 0)
+        self.dense[at[held], places[held]] = self.weights[held]
+        del held
         self.largest = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(common), 0), np.float32)
-        rare = np.flatnonzero(at < 0)
+        rare = np.flatnonzero(at < 0).astype(np.int32)  # there are fewer than 2^31 words in the examples
+        del at
         rare = rare[np.argsort(self.of[rare], kind="stable")]
         self.posted, self.posted_weights = places[rare], self.weights[rare].astype(np.float32)
         self.lists = np.concatenate(([0], np.cumsum(np.where(self.column < 0, sizes, 0))))
@@ -238,12 +242,17 @@ class Model:
 
     def search(self) -> BlockMaxIndex | None:
         if self.index is None and self.examples is not None and len(self.examples[3]):
-            starts, terms, counts, ids, toxic = self.examples
-            vectors = [self.vector(terms[a:b], counts[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-            self.index = BlockMaxIndex(vectors, ids.tolist(), toxic.tolist(), len(self.terms))
-            self.examples = None  # the index holds what they say
+            ids, toxic = self.examples[3:]
+            self.index = BlockMaxIndex(self._vectors(), ids.tolist(), toxic.tolist(), len(self.terms))
         return self.index
 
+    def _vectors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Vectors of the examples, which the model lets go of: the index holds what they say."""
+        starts, terms, counts, *_ = self.examples
+        self.examples = None
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield self.vector(terms[a:b], counts[a:b])
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each term, -1 for what is none."""
         leading = (hashes >> np.uint64(64 - LEADING)).astype(np.int64)
