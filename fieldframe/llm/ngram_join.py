@@ -2,8 +2,9 @@
 
 Stages: (1) every text becomes its set of distinct shingles; equal sets are one class. (2) Blocks:
 the hash space is cut into one segment more than a pair at the threshold can have differing
-shingles, so a linked pair agrees on a whole segment; classes that share a segment's hash fall into
-one block. (3) A block's classes form signature trees, whose nodes hold OR-combined token bitmaps
+shingles, so a linked pair agrees on a whole segment, and with some spare segments on several. Pairs
+of classes that share as many segment hashes as a linked pair must fall into one block; in a hash of
+more than ``PAIRED`` classes pairs are not counted, and all its classes do. (3) A block's classes form signature trees, whose nodes hold OR-combined token bitmaps
 and size ranges; a dual traversal drops node pairs whose largest possible overlap is too small, and
 the sets of the surviving leaves are compared exactly. A block over the size limit is dealt out in
 chunks: neighbouring chunks first, then only what is not yet in the block's main component is
@@ -29,6 +30,7 @@ FAN = 8
 CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
 FILTER_BITS = 1 << 23
 SPARE_PERCENT = 6
+PAIRED = 128  # most classes of one segment hash whose pairs are counted
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -53,12 +55,16 @@ class Segments:
         self.percent, self.ranges, self.edges = percent, [], {}
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.filed(tokens)[0]
+
+    def filed(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, and beside each how many hashes a linked partner shares at least (at most 127); the smaller of both sets' holds for a pair."""
         n = len(tokens)
         if not self.ranges or self.ranges[-1][1] < n:
             self.ranges = size_classes(2 * n, self.percent)
         k = next(k for k, (_, high) in enumerate(self.ranges) if n <= high) if n < 64 else int(np.searchsorted([r[1] for r in self.ranges], n))
         sums = None
-        out = []
+        out, least = [], []
         for c in (k, k - 1):
             if c < 0:
                 continue
@@ -78,8 +84,11 @@ class Segments:
             cut = np.concatenate(([0], np.searchsorted(tokens, self.edges[parts]), [n]))
             codes = mix((sums[cut[1:]] - sums[cut[:-1]]) * STEPS[2] + np.uint64(c << 32) + np.arange(parts, dtype=np.uint64))
             filled = cut[1:] > cut[:-1]
-            out.append(codes[filled] if parts - int(filled.sum()) <= spare else codes)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            empty = parts - int(filled.sum())
+            out.append(codes[filled] if empty <= spare else codes)
+            # a linked pair agrees on spare + 1 segments; empty ones are filed by neither, or by both
+            least.append(np.full(len(out[-1]), min(127, 1 + spare - (empty if empty <= spare else 0)), np.int8))
+        return (np.concatenate(out), np.concatenate(least)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -184,11 +193,58 @@ def _segments(words: int, percent: int):
                 if not len(tokens) or (mark := set_hash(tokens)) in seen:
                     continue
                 seen.add(mark)
-                found.append(cut.of(tokens))
+                found.append(cut.filed(tokens))
                 marks.append(mark)
             if found:
+                codes, least = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([
-                    longs(np.concatenate(found)), pa.array(np.repeat(np.array(marks, np.int64), [len(x) for x in found]))], ["seg", "cls"])
+                    longs(codes), pa.array(np.repeat(np.array(marks, np.int64), [len(x) for x, _ in found])), pa.array(least)], ["seg", "cls", "least"])
+    return of
+
+
+def _near(limit: int):
+    """Pairs (u, v, least) of the classes of each segment hash; over ``limit`` classes, each with the first and least 0.
+
+    Rows come by hash and class, without a hash's first class, which stands in every row as v.
+    """
+    def pairs(seg, cls, least, v, of_v, large):
+        """Pairs of whole hashes, and stars of those with more rows or in ``large``."""
+        at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+        sizes = np.diff(at, append=len(seg))
+        many = (sizes >= limit) | np.isin(seg[at], large)
+        star = np.repeat(many, sizes)
+        found = [(cls[star], v[star], np.zeros(int(star.sum()), np.int8))]
+        for size in np.unique(sizes[~many]):
+            first = at[~many & (sizes == size)]
+            rows = first[:, None] + np.arange(size)
+            group = np.concatenate((v[first][:, None], cls[rows]), axis=1)
+            needed = np.concatenate((of_v[first][:, None], least[rows]), axis=1)
+            a, b = np.triu_indices(size + 1, 1)
+            found.append((group[:, b].ravel(), group[:, a].ravel(), np.minimum(needed[:, a], needed[:, b]).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v", "least"])
+
+    def of(batches):
+        held, large = None, []  # rows of a hash that may go on, or that hash once its pairs are not counted
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("seg", "cls", "least", "v", "of_v")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            seg, cls = rows[:2]
+            once = np.concatenate(([True], (seg[1:] != seg[:-1]) | (cls[1:] != cls[:-1])))
+            rows = [x[once] for x in rows]
+            seg = rows[0]
+            last = len(seg) - int((seg == seg[-1]).sum())
+            if len(seg) - last >= limit or seg[-1] in large:
+                yield pairs(*rows, [*large, seg[-1]])
+                held, large = None, [seg[-1]]
+                continue
+            if last:
+                yield pairs(*(x[:last] for x in rows), large)
+            held, large = [x[last:] for x in rows], []
+        if held is not None:
+            yield pairs(*held, large)
     return of
 
 
@@ -237,10 +293,13 @@ def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFra
     """Classes (id, n, cls) of a table (id, text), and (node, root) of the classes that links connect."""
     spark = texts.sparkSession
     classes = materialize(texts.mapInArrow(_classes(words), "id long, n int, cls long"), "classes")
-    shared = texts.select("text").mapInArrow(_segments(words, percent), "seg long, cls long")
-    # the running frame needs no group in memory
-    first = F.first("cls").over(Window.partitionBy("seg").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0))
-    near = shared.withColumn("v", first).where("cls <> v").select(F.col("cls").alias("u"), "v")
+    shared = texts.select("text").mapInArrow(_segments(words, percent), "seg long, cls long, least byte")
+    # the running frame needs no group in memory; rows stay in the order of hash and class
+    running = Window.partitionBy("seg").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = shared.withColumns({"v": F.first("cls").over(running), "of_v": F.first("least").over(running)}).where("cls <> v")
+    counted = ordered.mapInArrow(_near(PAIRED), "u long, v long, least byte").groupBy("u", "v").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
+    near = counted.where("shared >= least").select("u", "v")
     blocks = materialize(components(near), "blocks")
     sizes = classes.select(F.col("cls").alias("node"), "n").distinct()
     measured = blocks.join(sizes, "node").groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
