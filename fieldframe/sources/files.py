@@ -15,6 +15,7 @@ from fieldframe.operators.scalars import with_row
 from fieldframe.functions.names import map_province_name
 from fieldframe.functions.text import contains_any, first_rule
 from fieldframe.operators.picks import pick_one, pick_top
+from fieldframe.sources import sha256
 
 # Suffixes per raw category and path words per external category.
 CLIMATE_SUFFIXES = (".nc", ".nc4", ".cdf")
@@ -164,16 +165,33 @@ def prefer_variant(files: DataFrame, providers: Sequence[str], marker: str = "/c
 
 #: Spark reads a file of at most so many bytes as one value.
 WHOLE_FILE = (1 << 31) - 1
+#: Larger files are hashed in blocks of so many bytes.
+BLOCK = 1 << 27
 
 
-def fingerprints(spark: SparkSession, root: str, pattern: str = "*", largest: int = WHOLE_FILE) -> DataFrame:
+def fingerprints(spark: SparkSession, root: str, pattern: str = "*", largest: int | None = None, block: int = BLOCK) -> DataFrame:
     """Content hash and length per file; the hash is null for files of more than ``largest`` bytes, which are not read.
 
-    ``row_digests`` fingerprints the rows of files of any size.
+    A file of more than ``block`` bytes is hashed block by block, so no task reads or holds it whole.
+    Packed files, which Spark cannot split, are read as one value up to WHOLE_FILE and have no hash above.
+    ``row_digests`` fingerprints the rows of files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    hashed = files.where(F.col("length") <= largest).select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime")
-    return hashed.unionByName(files.where(F.col("length") > largest).select("path", F.lit(None).cast("string").alias("sha256"), "length", "modificationTime"))
+    # conditions on the listing leave out files before they are read; those on the columns read them first
+    size = F.col("_metadata.file_size")
+    packed = F.lower("_metadata.file_name").rlike("(" + "|".join(x.replace(".", "[.]") for x in sha256.PACKED) + ")$")
+    over = packed & (size > WHOLE_FILE)
+    if largest is not None:
+        over |= size > largest
+    blocks = ~over & ~packed & (size > block)
+    columns = ["path", "sha256", "length", "modificationTime"]
+    hashed = files.where(~over & ~blocks).select("path", F.sha2("content", 256).alias("sha256"), "length", "modificationTime")
+    out = hashed.unionByName(files.where(over).select("path", F.lit(None).cast("string").alias("sha256"), "length", "modificationTime"))
+    large = files.where(blocks).select("path", sha256.file_key(F.col("_metadata.file_path")).alias("file"), "length", "modificationTime")
+    lengths = {r["file"]: r["length"] for r in large.select("file", "length").collect()}  # files of more than a block each
+    if not lengths:
+        return out
+    return out.unionByName(large.join(sha256.large_files(spark, root, pattern, lengths, block, block), "file").select(*columns))
 
 
 def row_hashes(df: DataFrame) -> tuple[Column, Column]:
