@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.llm.tokens import encoder
+from fieldframe.llm.tokens import encoder, trim
 
 WINDOW = 512
 TASK_SHIFT = 40
@@ -134,6 +134,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(),
     columns are ignored.
     """
     def packed(batches):
+        trim()
         task, count = TaskContext.get().partitionId() << TASK_SHIFT, 0
         own, packer = encoder(vocabulary), Packer(limits)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
@@ -149,7 +150,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, limits: Limits = Limits(),
                 count += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 8)], names)
 
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             done = []
             prompts = batch.column("prompt").to_pylist()
             for doc_id, text, prompt in zip(batch.column("doc_id").to_pylist(), batch.column("text"), prompts):
