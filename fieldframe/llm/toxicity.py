@@ -28,10 +28,11 @@ EXAMPLES = 8192  # most labelled rows used, by hash of doc_id
 BEGINNINGS = (4, 5, 6)  # lengths of word beginnings, in bytes
 BLOCK = 32
 TEXTS = 256  # searched at once
-PIECE = 1 << 20  # bytes whose words are hashed at once
+PIECE = 1 << 18  # bytes whose words are hashed at once
 LEADING = 20  # bits of a hash by which terms are found
 RUN = 16  # blocks whose common terms are multiplied at once
-COMMON = 12  # a term is common if it stands in one of so many examples
+LEFT = 0.005  # most that rare terms, and common ones, add to a cosine which are left to the exact comparison
+COMMON = 16  # a term is common if it stands in one of so many examples
 NEIGHBOURS = 15
 SOFT = 0.05  # distance added before a vote's weight is its inverse
 SHRINK = 1.0  # weight of the rate of examples without terms
@@ -127,82 +128,144 @@ def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Unit vectors in blocks of examples: postings of rare terms, columns of common ones with their largest weight per block.
 
-    A vector is a dict of terms and weights over 0, or an array of each.
+    A vector is a dict of terms and weights over 0, or an array of each. With ``scale``, vectors are one triple of arrays
+    (starts, terms, counts) instead, and a weight is 1 + log(count) times the term's scale, before a vector gets length
+    one; counts are kept as numbers of their few levels, a quarter or less of the memory of weights. The array of terms
+    becomes the index's own.
     """
 
-    def __init__(self, vectors: Iterable, ids: list[int], toxic: list[int], terms: int):
-        vectors = [_arrays(v) for v in vectors]
+    def __init__(self, vectors, ids: list[int], toxic: list[int], terms: int, scale: np.ndarray | None = None):
+        self.scale = scale
+        self.starts, self.of, self.amounts = _joined(vectors) if scale is None else vectors
+        spans = list(zip(self.starts[:-1].tolist(), self.starts[1:].tolist()))
+        if scale is not None:
+            values, counts = np.unique(self.amounts), self.amounts
+            self.levels, self.amounts = 1 + np.log(values, dtype=np.float64), np.zeros(len(counts), np.min_scalar_type(len(values)))
+            for a, b in spans:
+                self.amounts[a:b] = np.searchsorted(values, counts[a:b])
+            del counts
+        self.norms, leading, sizes, most = np.ones(len(ids)), [], np.zeros(terms, np.int64), np.zeros(terms, np.float32)
+        for i, (a, b) in enumerate(spans):
+            raw = self._raw(slice(a, b))
+            self.norms[i] = 1.0 if scale is None else np.sqrt((raw * raw).sum())
+            leading.append(self.of[a:b][np.argsort(-raw, kind="stable")[:3]].tolist())
+            sizes[self.of[a:b]] += 1
+            most[self.of[a:b]] = np.maximum(most[self.of[a:b]], raw / self.norms[i])
+        # inside the index common terms are numbered first, by largest weight, and the others from the most frequent: what is looked up often lies together
+        common = sizes * COMMON > len(ids)
+        frequent = np.lexsort((np.where(common, -most, -sizes), ~common))
+        self.common, self.most, self.number = int(common.sum()), most[frequent], np.zeros(terms, np.int32)
+        self.number[frequent] = np.arange(terms)
         # examples with the same leading terms share blocks, which keeps the bounds tight
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (leading[i], ids[i]))
+        self.order = np.array(order, np.int64)
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
         self.blocks, self.terms = -(-len(order) // BLOCK), terms
-        empty = [np.zeros(0, np.int32)], [np.zeros(0)]
-        self.starts = np.cumsum([0, *(len(vectors[i][0]) for i in order)])
-        self.of = np.concatenate([vectors[i][0] for i in order] or empty[0]).astype(np.int32, copy=False)
-        self.weights = np.concatenate([vectors[i][1] for i in order] or empty[1])
-        vectors.clear()
-        places = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.starts))
-        sizes = np.bincount(self.of, minlength=terms)
-        # column of each common term, -1 for the others
-        common = np.flatnonzero(sizes * COMMON > len(order))
-        self.column = np.full(terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        at = self.column[self.of]
-        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        held = np.flatnonzero(at >= 0)
-        self.dense[at[held], places[held]] = self.weights[held]
-        del held
-        self.largest = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(common), 0), np.float32)
-        rare = np.flatnonzero(at < 0).astype(np.int32)  # there are fewer than 2^31 words in the examples
-        del at
-        rare = rare[np.argsort(self.of[rare], kind="stable")]
-        self.posted, self.posted_weights = places[rare], self.weights[rare].astype(np.float32)
-        self.lists = np.concatenate(([0], np.cumsum(np.where(self.column < 0, sizes, 0))))
+        for a, b in spans:
+            self.of[a:b] = self.number[self.of[a:b]]
+        sizes = sizes[frequent]
+        if scale is not None:
+            self.scale = scale[frequent]
+        self.dense = np.zeros((self.common, self.blocks * BLOCK), np.float32)
+        sizes[:self.common] = 0
+        self.lists = np.concatenate(([0], np.cumsum(sizes)))
+        self.posted = np.zeros(self.lists[-1], np.min_scalar_type(max(0, len(order) - 1)))
+        self.posted_weights = np.zeros(self.lists[-1], np.float32)
+        # example by example, so that nothing else of the size of the index is held
+        free = self.lists[:-1].copy()
+        for place, i in enumerate(order):
+            a, b = spans[i]
+            of, weights = self.of[a:b], (self._raw(slice(a, b)) / self.norms[i]).astype(np.float32)
+            common = of < self.common
+            self.dense[of[common], place] = weights[common]
+            of, weights = of[~common], weights[~common]
+            self.posted[free[of]], self.posted_weights[free[of]] = place, weights
+            free[of] += 1
+        self.largest = self.dense.reshape(self.common, self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((self.common, 0), np.float32)
+
+    def _raw(self, which) -> np.ndarray:
+        """Weights of the chosen entries before a vector gets length one."""
+        return self.amounts[which] if self.scale is None else self.levels.take(self.amounts[which]) * self.scale.take(self.of[which])
 
     def nearest(self, vector, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, places) of the k examples with the largest cosine over 0, ties to the smaller id."""
         return self.nearest_of([vector], k)[0]
 
+    def _rare_sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Of every example the sum over these rare terms."""
+        width = self.blocks * BLOCK
+        if not len(terms):
+            return np.zeros(width)
+        first, end = self.lists[terms], self.lists[terms + 1]
+        found = _ranges(first, end)
+        weights = np.repeat(weights.astype(np.float32), end - first)
+        weights *= self.posted_weights.take(found)  # for single numbers take is twice as fast as brackets
+        return np.bincount(self.posted.take(found), weights, width)
+
     def nearest_of(self, vectors: list, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """nearest() of each vector, searched together."""
-        vectors = [_arrays(v) for v in vectors]
+        vectors = [(self.number[terms], weights) for terms, weights in map(_arrays, vectors)]
         width = self.blocks * BLOCK
         sums, common = np.zeros((len(vectors), width), np.float32), np.zeros((len(vectors), len(self.dense)), np.float32)
+        left = []  # rare terms that together cannot add more than LEFT to a cosine, and so for common ones
+        # sums over the rare terms are below the cosines, and with what is left out and the largest weights of the common ones above them
+        slack = np.full(len(vectors), 1e-4, np.float32)  # over the error of single precision
         for i, (terms, weights) in enumerate(vectors):
-            at = self.column[terms]
-            common[i, at[at >= 0]] = weights[at >= 0]
-            first, end = self.lists[terms[at < 0]], self.lists[terms[at < 0] + 1]
-            found = _ranges(first, end)
-            sums[i] = np.bincount(self.posted[found], self.posted_weights[found] * np.repeat(weights[at < 0], end - first), width)
-        # sums over the rare terms are below the cosines, and with the largest weights of the common ones above them
-        slack = np.float32(1e-4)  # over the error of single precision
-        last = max(0, width - k)
-        kth = np.partition(sums, last, axis=1)[:, last] if width else np.zeros(len(vectors), np.float32)
-        bounds = sums.reshape(len(vectors), self.blocks, BLOCK).max(axis=2) + common @ self.largest if width else np.zeros((len(vectors), 0))
-        open_ = bounds + slack >= kth[:, None]
+            rare = terms >= self.common
+            common[i, terms[~rare]] = weights[~rare]
+            terms, weights = terms[rare], weights[rare]
+            most = weights * self.most[terms]
+            order = np.argsort(most)
+            total = np.cumsum(most[order])
+            few = int(np.searchsorted(total, LEFT))
+            slack[i] += total[few - 1] if few else 0
+            left.append((terms[order[:few]], weights[order[:few]]))
+            sums[i] = self._rare_sums(terms[order[few:]], weights[order[few:]])
+        rest = np.cumsum((common * self.most[:self.common])[:, ::-1], axis=1)[:, ::-1]
+        many = int((rest > LEFT).sum(axis=1).max(initial=0))
+        if many < self.common:
+            slack += rest[:, many]
+        if width:
+            # the k-th largest of the blocks' maxima is at most the k-th largest of all
+            best, last = sums.reshape(len(vectors), self.blocks, BLOCK).max(axis=2), max(0, self.blocks - k)
+            kth = np.partition(best, last, axis=1)[:, last] if k <= self.blocks else np.zeros(len(vectors), np.float32)
+            open_ = best + common[:, :many] @ self.largest[:many] + slack[:, None] >= kth[:, None]
         for first in range(0, self.blocks, RUN):
             # neighbouring blocks are multiplied together, for the texts to which one of them is open
             need, part = np.flatnonzero(open_[:, first:first + RUN].any(axis=1)), slice(first * BLOCK, (first + RUN) * BLOCK)
             if 2 * len(need) > len(vectors):
-                sums[:, part] += common @ self.dense[:, part]
+                sums[:, part] += common[:, :many] @ self.dense[:many, part]
             elif len(need):
-                sums[need, part] += common[need] @ self.dense[:, part]
-        out, query = [], np.zeros(self.terms)
+                sums[need, part] += common[need, :many] @ self.dense[:many, part]
+        out, query, last = [], np.zeros(self.terms), max(0, width - k)
         for i, (terms, weights) in enumerate(vectors):
             least = np.partition(sums[i], last)[last] if width else 0
-            places = np.flatnonzero((sums[i] > 0) & (sums[i] + slack >= least))
+            if least <= 2 * slack[i]:
+                # so little is known of the k best that what was left out could tell
+                sums[i] += self._rare_sums(*left[i]) + common[i, many:] @ self.dense[many:]
+                slack[i] = 1e-4
+                least = np.partition(sums[i], last)[last] if width else 0
+            places = np.flatnonzero((sums[i] > 0) & (sums[i] + slack[i] >= least))
             # exact cosines of what may be among the k best
-            first, end = self.starts[places], self.starts[places + 1]
-            found = _ranges(first, end)
-            query[terms] = weights
-            cosines = np.add.reduceat(query[self.of[found]] * self.weights[found], np.cumsum(end - first) - (end - first)) if len(places) else np.zeros(0)
+            query[terms] = weights if self.scale is None else weights * self.scale[terms]
+            cosines = np.concatenate([np.zeros(0), *(self._cosines(places[at:at + TEXTS], query) for at in range(0, len(places), TEXTS))])
             query[terms] = 0
             top = np.lexsort((self.ids[places], -cosines))[:k]
             top = top[cosines[top] > 0]
             out.append((cosines[top], places[top]))
         return out
 
+    def _cosines(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Cosines of the examples at ``places``, none of them empty, with a unit vector given by all its components times their scale."""
+        which = self.order[places]
+        first, end = self.starts[which], self.starts[which + 1]
+        sizes = end - first
+        spans = [slice(a, b) for a, b in zip(first.tolist(), end.tolist())]
+        of, amounts = (np.concatenate([array[span] for span in spans]) for array in (self.of, self.amounts))
+        weights = amounts if self.scale is None else self.levels.take(amounts)
+        return np.add.reduceat(query.take(of) * weights, np.cumsum(sizes) - sizes) / self.norms[which]
+
 
 def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(vector, dict):
@@ -211,6 +274,13 @@ def _arrays(vector) -> tuple[np.ndarray, np.ndarray]:
     return vector
 
 
+def _joined(vectors: Iterable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, terms, weights) of vectors."""
+    vectors = [_arrays(v) for v in vectors]
+    starts = np.cumsum([0, *(len(terms) for terms, _ in vectors)])
+    return starts, *(np.concatenate([np.zeros(0, form), *(v[x] for v in vectors)]).astype(form) for x, form in enumerate((np.int32, np.float64)))
+
+
 class Model:
     """Terms as sorted hashes, their weights, and the examples' term counts.
 
@@ -230,29 +300,28 @@ class Model:
         if self.examples is None:
             return packed, self.plain_rate, None
         starts, terms, counts, ids, toxic = self.examples
-        return packed, self.plain_rate, (starts, zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes(), 1), zlib.compress(counts.tobytes(), 1), ids, toxic)
+        return packed, self.plain_rate, (starts, zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes(), 1), (zlib.compress(counts.tobytes(), 1), counts.dtype), ids, toxic)
 
     def __setstate__(self, state):
         (terms, weights), plain_rate, examples = state
         self.__init__(terms, np.frombuffer(zlib.decompress(weights)), plain_rate)
         if examples is not None:
-            starts, terms, counts, ids, toxic = examples
-            steps = np.frombuffer(zlib.decompress(terms), np.int32)
-            self.examples = starts, np.cumsum(steps, dtype=np.int32), np.frombuffer(zlib.decompress(counts), np.int32), ids, toxic
+            starts, terms, (counts, form), ids, toxic = examples
+            terms = np.cumsum(np.frombuffer(zlib.decompress(terms), np.int32), dtype=np.int32)
+            self.examples = starts, terms, np.frombuffer(zlib.decompress(counts), form), ids, toxic
 
     def search(self) -> BlockMaxIndex | None:
         if self.index is None and self.examples is not None and len(self.examples[3]):
-            ids, toxic = self.examples[3:]
-            self.index = BlockMaxIndex(self._vectors(), ids.tolist(), toxic.tolist(), len(self.terms))
+            starts, terms, counts, ids, toxic = self.examples
+            self.examples = None  # the index holds what they say
+            tells = self.weights[terms] > 0
+            if not tells.all():
+                starts = np.concatenate(([0], np.cumsum(tells)))[starts]
+                terms, counts = terms[tells], counts[tells]
+            del tells
+            self.index = BlockMaxIndex((starts, terms, counts), ids.tolist(), toxic.tolist(), len(self.terms), self.weights)
         return self.index
 
-    def _vectors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Vectors of the examples, which the model lets go of: the index holds what they say."""
-        starts, terms, counts, *_ = self.examples
-        self.examples = None
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield self.vector(terms[a:b], counts[a:b])
-
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each term, -1 for what is none."""
         leading = (hashes >> np.uint64(64 - LEADING)).astype(np.int64)
@@ -305,13 +374,18 @@ class Model:
         return out
 
 
-def _terms(batches):
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of TEXTS rows at most."""
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
-            part = batch.slice(at, TEXTS)
-            rows, hashes, _ = text_terms(part.column("text").to_pylist())
-            terms = [np.unique(hashes[rows == row]).view(np.int64) for row in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(terms, pa.list_(pa.int64()))], ["toxic", "terms"])
+            yield batch.slice(at, TEXTS)
+
+
+def _terms(batches):
+    for part in _parts(batches):
+        rows, hashes, _ = text_terms(part.column("text").to_pylist())
+        terms = [np.unique(hashes[rows == row]).view(np.int64) for row in range(part.num_rows)]
+        yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(terms, pa.list_(pa.int64()))], ["toxic", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
@@ -342,12 +416,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def bags(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                found = shared.value.counts(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int32())),
-                                                  pa.array([n for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+        for part in _parts(batches):
+            found = shared.value.counts(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([t for t, _ in found], pa.list_(pa.int32())),
+                                              pa.array([n for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     # at most ``examples`` rows
     found = rows.select("doc_id", "toxic", "text").mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")
@@ -356,7 +428,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     ids, marks = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy()
     used = sizes > 0
     model.plain_rate = float(marks[~used].mean()) if not used.all() else 0.0
-    model.examples = np.cumsum([0, *sizes[used]]), *(pc.list_flatten(found.column(c)).to_numpy().astype(np.int32) for c in ("terms", "counts")), ids[used], marks[used]
+    terms, counts = (pc.list_flatten(found.column(c)).to_numpy().astype(np.int32) for c in ("terms", "counts"))
+    model.examples = np.cumsum([0, *sizes[used]]), terms, counts.astype(np.min_scalar_type(counts.max(initial=0))), ids[used], marks[used]
     return model
 
 
@@ -372,7 +445,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches):
         tokens.forget()
         own = model.value
-        for batch in batches:
+        for batch in _parts(batches):
             found = own.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()),
                                               pa.array([int(s >= TOXIC_FROM) for s, _ in found], pa.int32()),
@@ -389,7 +462,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def clean(batches):
         tokens.forget()  # a worker that encoded texts before holds its words
         own = model.value
-        for batch in batches:
+        for batch in _parts(batches):
             yield batch.filter(pa.array([s < TOXIC_FROM for s, _ in own.scores(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -285,3 +285,25 @@ def test_density_sums_equal_recursion():
         _, total = page.densities()
         texts = [(n, t) for t, n in zip(page.pieces, page.owner) if t is not None]
         assert total == pytest.approx(plain.density_sums(page.tag, page.parent, page.doubt, texts, NAMED), rel=1e-6)
+
+
+def test_block_max_index_of_counts_is_small_and_exact():
+    draw = np.random.default_rng(6)
+    scale = draw.random(3000) ** 8  # most terms tell little, so what is left out matters
+    bags = [(np.sort(draw.choice(3000, size=200, replace=False)).astype(np.int32), draw.integers(1, 30, 200)) for _ in range(600)]
+    bags += [(np.array([2999], np.int32), np.array([2])), bags[0]]
+    starts, of, counts = np.cumsum([0, *(len(t) for t, _ in bags)]), np.concatenate([t for t, _ in bags]), np.concatenate([n for _, n in bags])
+    plain = np.zeros((len(bags), 3000))
+    for row, (terms, many) in zip(plain, bags):
+        row[terms] = (1 + np.log(many)) * scale[terms]
+    plain /= np.linalg.norm(plain, axis=1)[:, None]
+    index = toxicity.BlockMaxIndex((starts, of, counts), list(range(len(bags))), [0] * len(bags), 3000, scale)
+    assert sum(v.nbytes for v in vars(index).values() if isinstance(v, np.ndarray) and v.dtype == np.float64 and len(v) > 3000) == 0
+    least = int(np.flatnonzero(plain[3])[np.argmin(plain[3][plain[3] > 0])])
+    queries = [row for row in plain[:40]] + [np.eye(3000)[least], np.eye(3000)[2999]]  # the last ones have a single term
+    vectors = [(np.flatnonzero(q), q[q > 0]) for q in queries]
+    for query, (cosines, places) in zip(queries, index.nearest_of(vectors, 15)):
+        want = plain @ query
+        best = np.sort(want[want > 0])[::-1][:15]
+        assert np.allclose(cosines, best, rtol=1e-9, atol=0) and len(set(places.tolist())) == len(best)
+        assert np.allclose(want[index.ids[places]], best, rtol=1e-9, atol=0)
