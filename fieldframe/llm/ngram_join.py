@@ -3,8 +3,10 @@
 Stages: (1) every text becomes its set of distinct shingles; equal sets are one class. (2) Blocks:
 the hash space is cut into one segment more than a pair at the threshold can have differing
 shingles, so a linked pair agrees on a whole segment, and with some spare segments on several. Pairs
-of classes that share as many segment hashes as a linked pair must fall into one block; in a hash of
-more than ``PAIRED`` classes pairs are not counted, and all its classes do. (3) A block's classes form signature trees, whose nodes hold OR-combined token bitmaps
+of classes that share as many segment hashes as a linked pair must, and whose sizes and parity
+sketches do not rule a link out, fall into one block. In a hot hash, one of more than ``PAIRED``
+classes, pairs are not counted: a pair needs as many hashes less as its classes have hot ones, and
+only classes with so many hot ones that a pair may share no other meet by those, the rarest of them. (3) A block's classes form signature trees, whose nodes hold OR-combined token bitmaps
 and size ranges; a dual traversal drops node pairs whose largest possible overlap is too small, and
 the sets of the surviving leaves are compared exactly. A block over the size limit is dealt out in
 chunks: neighbouring chunks first, then only what is not yet in the block's main component is
@@ -31,6 +33,8 @@ CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
 FILTER_BITS = 1 << 23
 SPARE_PERCENT = 6
 PAIRED = 128  # most classes of one segment hash whose pairs are counted
+SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -86,8 +90,8 @@ class Segments:
             filled = cut[1:] > cut[:-1]
             empty = parts - int(filled.sum())
             out.append(codes[filled] if empty <= spare else codes)
-            # a linked pair agrees on spare + 1 segments; empty ones are filed by neither, or by both
-            least.append(np.full(len(out[-1]), min(127, 1 + spare - (empty if empty <= spare else 0)), np.int8))
+            # a linked pair agrees on spare + 1 segments; empty ones are filed by neither, or by both, or by one of them
+            least.append(np.full(len(out[-1]), min(127, 1 + spare - empty) if empty <= spare else 1, np.int8))
         return (np.concatenate(out), np.concatenate(least)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
 
 
@@ -95,6 +99,12 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens ^ STEPS[1]).sum(dtype=np.uint64) + np.uint64(len(tokens))])).view(np.int64)[0])
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """64-bit words whose bits flip with every token; two sets differ in at least as many tokens as their sketches in bits."""
+    flips = np.bincount(((tokens >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS)
+    return np.packbits((flips & 1).astype(bool)).view(np.uint64)
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, dtype=bool)
     bits[(tokens >> np.uint64(17)).astype(np.int64) % BITS] = True
@@ -177,10 +187,11 @@ def _classes(words: int):
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int32)
             marks = np.zeros(batch.num_rows, np.int64)
+            sketches = np.zeros((batch.num_rows, SKETCH_WORDS), np.uint64)
             for row, tokens in shingle_sets(batch.column("text"), words):
-                sizes[row] = len(tokens)
-                marks[row] = set_hash(tokens) if len(tokens) else 0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(marks)], ["id", "n", "cls"])
+                if len(tokens):
+                    sizes[row], marks[row], sketches[row] = len(tokens), set_hash(tokens), parity_sketch(tokens)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(marks), *(longs(x) for x in sketches.T)], ["id", "n", "cls", *SKETCH])
     return of
 
 
@@ -202,10 +213,12 @@ def _segments(words: int, percent: int):
     return of
 
 
-def _near(limit: int):
+def _near(limit: int, by_hash: bool = False):
     """Pairs (u, v, least) of the classes of each segment hash; over ``limit`` classes, each with the first and least 0.
 
-    Rows come by hash and class, without a hash's first class, which stands in every row as v.
+    Rows come by hash and class, without a hash's first class, which stands in every row as v. With
+    ``by_hash`` each class of a hash over the limit, the first too, comes with the hash and -1 - least;
+    rows may repeat.
     """
     def pairs(seg, cls, least, v, of_v, large):
         """Pairs of whole hashes, and stars of those with more rows or in ``large``."""
@@ -213,7 +226,11 @@ def _near(limit: int):
         sizes = np.diff(at, append=len(seg))
         many = (sizes >= limit) | np.isin(seg[at], large)
         star = np.repeat(many, sizes)
-        found = [(cls[star], v[star], np.zeros(int(star.sum()), np.int8))]
+        if by_hash:
+            first = at[many]
+            found = [(cls[star], seg[star], -1 - least[star]), (v[first], seg[first], -1 - of_v[first])]
+        else:
+            found = [(cls[star], v[star], np.zeros(int(star.sum()), np.int8))]
         for size in np.unique(sizes[~many]):
             first = at[~many & (sizes == size)]
             rows = first[:, None] + np.arange(size)
@@ -289,29 +306,64 @@ def _bit_filter(nodes: DataFrame) -> bytes:
     return bits.tobytes()
 
 
+def _written(table: DataFrame, label: str) -> DataFrame:
+    """materialize(); then Spark may drop the shuffle files behind it, which it only does when the driver collects garbage."""
+    out = materialize(table, label)
+    del table
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _candidates(counted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect every linked pair of ``counted`` (u, v, shared, least; least below 0: v is a hot hash of u)."""
+    hot = counted.where("least < 0").select(F.col("u").alias("cls"), F.col("v").alias("seg"), (-1 - F.col("least")).alias("needed"))
+    of = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"), F.min("needed").alias("needed"))
+    sides = classes.where("n > 0").dropDuplicates(["cls"]).withColumn("n", F.col("n").cast("long")).drop("id").join(of.drop("needed"), "cls", "left").fillna(0, ["hot"])
+    pairs = counted.where("least >= 0")
+    for side in "uv":
+        pairs = pairs.join(sides.select(F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "hot", *SKETCH))), side)
+    # of the hashes that a linked pair shares at most as many are hot as the one with fewer has
+    enough = F.col("shared") >= F.col("least") - F.least("u_hot", "v_hot")
+    near = percent * F.greatest("u_n", "v_n") <= 100 * F.least("u_n", "v_n")
+    differ = sum(F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))).cast("long") for c in SKETCH)
+    able = (100 + percent) * differ <= (100 - percent) * (F.col("u_n") + F.col("v_n"))
+    # pairs that may share hot hashes only: both have as many as they need, and of those in one order (the hashes
+    # with fewest classes first) they share one that is not among the last needed - 1 of either
+    order = Window.partitionBy("cls").orderBy("size", "seg")
+    sizes = hot.groupBy("seg").agg(F.count(F.lit(1)).alias("size"))
+    heavy = hot.select("cls", "seg").join(of.where("hot >= needed"), "cls").join(sizes, "seg").withColumn("at", F.row_number().over(order))
+    kept = heavy.where("at <= hot - needed + 1").select("cls", "seg")
+    star = kept.join(kept.groupBy("seg").agg(F.min("cls").alias("v")), "seg").where("cls <> v").select(F.col("cls").alias("u"), "v")
+    return pairs.where(enough & near & able).select("u", "v").union(star.distinct())
+
+
 def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes (id, n, cls) of a table (id, text), and (node, root) of the classes that links connect."""
     spark = texts.sparkSession
-    classes = materialize(texts.mapInArrow(_classes(words), "id long, n int, cls long"), "classes")
+    classes = materialize(texts.mapInArrow(_classes(words), "id long, n int, cls long, " + ", ".join(f"{c} long" for c in SKETCH)), "classes")
     shared = texts.select("text").mapInArrow(_segments(words, percent), "seg long, cls long, least byte")
     # the running frame needs no group in memory; rows stay in the order of hash and class
     running = Window.partitionBy("seg").orderBy("cls").rowsBetween(Window.unboundedPreceding, 0)
     ordered = shared.withColumns({"v": F.first("cls").over(running), "of_v": F.first("least").over(running)}).where("cls <> v")
-    counted = ordered.mapInArrow(_near(PAIRED), "u long, v long, least byte").groupBy("u", "v").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"))
-    near = counted.where("shared >= least").select("u", "v")
-    blocks = materialize(components(near), "blocks")
+    counted = _written(ordered.mapInArrow(_near(PAIRED, by_hash=True), "u long, v long, least byte").groupBy("u", "v").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("least").alias("least")), "counted")
+    near = _candidates(counted, classes, percent)
+    classes = classes.select("id", "n", "cls")
+    blocks = _written(components(near), "blocks")
     sizes = classes.select(F.col("cls").alias("node"), "n").distinct()
     measured = blocks.join(sizes, "node").groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("tokens") / CHUNK_TOKENS))
     member = materialize(blocks.join(measured.select("root", chunks.alias("chunks")), "root").select(
         F.col("node").alias("cls"), "root", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")), "members")
-    filter_ = spark.sparkContext.broadcast(_bit_filter(blocks))
-    sets = materialize(texts.select("text").mapInArrow(_chosen_sets(words, filter_), "cls long, tokens binary")
-                       .groupBy("cls").agg(F.any_value("tokens").alias("tokens")), "sets")
 
-    def compare(dealt: DataFrame) -> DataFrame:
-        rows = dealt.join(sets, "cls").repartition("task").sortWithinPartitions("task")
+    def sets(nodes: DataFrame) -> DataFrame:
+        """Sets (cls, tokens) of a table (node), read from the texts again: less than what writing them and dealing them twice takes."""
+        filter_ = spark.sparkContext.broadcast(_bit_filter(nodes))
+        found = texts.select("text").mapInArrow(_chosen_sets(words, filter_), "cls long, tokens binary")
+        return found.join(nodes.select(F.col("node").alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.any_value("tokens").alias("tokens"))
+
+    def compare(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+        rows = dealt.join(sets(nodes), "cls").repartition("task").sortWithinPartitions("task")
         return rows.select("task", "whole", "cls", "tokens").mapInArrow(_links(percent), "u long, v long, whole boolean")
 
     # neighbouring chunks meet in one task; with one or two chunks that is all pairs
@@ -319,7 +371,7 @@ def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFra
         F.array(F.col("chunk"), F.pmod(F.col("chunk") + F.col("chunks") - 1, F.col("chunks"))))
     first = member.select("cls", "root", "chunks", F.explode(ring).alias("at")).select(
         "cls", F.xxhash64("root", "at").alias("task"), (F.col("chunks") < 3).alias("whole"))
-    found = materialize(compare(first), "found")
+    found = _written(compare(first, blocks.select("node")), "found")
     done = found.where("whole").select(F.col("u").alias("node"), F.col("v").alias("root"))
     large = member.where("chunks > 2")
     if large.isEmpty():
@@ -335,7 +387,7 @@ def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFra
                                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     as_all = whole.select("cls", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "chunk")
     second = as_rest.select("cls", "root", "part", "chunk").union(as_all.select("cls", "root", "part", "chunk")).distinct()
-    more = compare(second.select("cls", F.xxhash64("root", "part", "chunk").alias("task"), F.lit(False).alias("whole")))
+    more = compare(second.select("cls", F.xxhash64("root", "part", "chunk").alias("task"), F.lit(False).alias("whole")), whole.select(F.col("cls").alias("node")))
     return classes, done.union(components(links.union(more.select("u", "v"))))
 
 

@@ -66,3 +66,23 @@ def test_join_equals_all_pairs_on_either_way(spark, monkeypatch, paired, size, p
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, size, percent).collect()}
     assert got == plain.jaccard_components(rows, size, percent)
+
+
+def test_hot_hashes_make_no_common_block(spark, monkeypatch):
+    """Else the larger a corpus, the more of its unlike texts fall into one block."""
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    sizes = []
+    grouped = ngram_join._bit_filter
+    monkeypatch.setattr(ngram_join, "_bit_filter", lambda blocks: sizes.append(blocks.count()) or grouped(blocks))
+    rows = list(enumerate(passages()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.keep_one(docs, 5, 80).count() == len(rows)
+    assert sizes[0] < len(rows) // 2
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 30, 700):
+        common, a, b = (words.mix(draw.integers(0, 2**63, k).astype(np.uint64)) for k in (50, n, n // 2))
+        x, y = (ngram_join.parity_sketch(np.union1d(common, s)) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
