@@ -7,7 +7,8 @@ with the corpus. It lies in hash-partitioned tables. A path's log probability is
 words, pairs and triples: each n-gram carries the log of its arc, less that of the path it replaces,
 and the failure weight of the state it leads to. So a text needs only the values of its n-grams. The
 most frequent values are broadcast, a bit filter keeps back n-grams the tables do not hold, and all
-others are joined; what is broadcast changes no result.
+others are joined: texts ask for them in packed blocks by ranges of keys, and a range's part of the
+tables answers with sums for each text. What is broadcast changes no result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldframe.llm.batches import longs
 from fieldframe.llm.words import BASE, STEPS, mix, text_slices, word_hashes
-from fieldframe.session import materialize
+from fieldframe.session import discard, materialize
 
 WORD_SHARE = 2.5e-7  # of all tokens: words that are broadcast, at most 4 million; the others are joined
 HOT_ARCS = 1 << 21  # most pairs and triples that are broadcast; the others are joined
@@ -32,6 +33,7 @@ FILTER_WORDS = 1 << 21  # 64-bit words of a bit filter
 DISCOUNT = 0.75
 END = mix(np.array([0xE0D], np.uint64))[0]
 BUFFER = 1 << 22
+RANGE_ROWS = 1 << 21  # table rows that one range of keys has at most, about
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,6 +116,8 @@ class KeyFilter:
         rows = table.groupBy(F.shiftrightunsigned("key", shift).cast("int").alias("at")).agg(F.bit_or(bits).alias("bits")).toArrow()
         self.shift, self.bits = np.uint64(shift), np.zeros(size, np.uint64)
         self.bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        del rows
+        table.sparkSession.sparkContext._jvm.System.gc()  # the shuffle files behind the bits may go
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         low = np.uint64(63)
@@ -168,12 +172,14 @@ def _buffered(batches, part) -> Iterator[pa.RecordBatch]:
 
 
 def _with_key(table: DataFrame, ids) -> DataFrame:
-    """table (x, y, count) with the n-gram's key."""
+    """table (x, y, ...) with the n-gram's key in place of y."""
+    rest = [c for c in table.columns if c != "y"]
+
     def keyed(batches):
         for batch in batches:
             x, y = (batch.column(c).to_numpy().view(np.uint64) for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([longs(ids(x, y)), *(batch.column(c) for c in ("x", "y", "count"))], ["key", "x", "y", "count"])
-    return table.mapInArrow(keyed, f"key long, {FORM}")
+            yield pa.RecordBatch.from_arrays([longs(ids(x, y)), *(batch.column(c) for c in rest)], ["key", *rest])
+    return table.mapInArrow(keyed, ", ".join(["key long", *(f"{c} {t}" for c, t in table.dtypes if c != "y")]))
 
 
 def _fail(left: str, lower: str) -> Column:
@@ -206,8 +212,8 @@ def fit(texts: DataFrame) -> Automaton:
     words = counts.where("y is null").select(F.col("x").alias("key"), "count")
     tokens, kinds = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     seen = F.col("count") >= F.lit(max(2.0, ARC_SHARE * tokens))
-    pairs = _written(_with_key(counts.where("y is not null").where(seen), pair_ids), "pairs")
-    known_pairs = spark.sparkContext.broadcast(KeyFilter(pairs))
+    pairs = counts.where("y is not null").where(seen)
+    known_pairs = spark.sparkContext.broadcast(KeyFilter(_with_key(pairs, pair_ids)))
 
     def long(batches):
         # a triple is seen at most as often as its pairs, so one with a pair that is no arc is none either
@@ -222,29 +228,43 @@ def fit(texts: DataFrame) -> Automaton:
             return ((first[both], last[both]),)
         return _buffered(batches, part)
 
-    triples = _with_key(total(long, "count >= 2").where(seen), triple_ids)
+    counted = triples = _written(total(long, "count >= 2").where(seen), "triples")
 
     # smoothing: one added to word counts; pairs and triples discounted
     share = (F.col("count") + 1) / float(tokens + kinds + 1)
     before = words.select(F.col("key").alias("x"), F.col("count").alias("of"))
     after = words.select(F.col("key").alias("y"), share.alias("lower"))
     p = (F.col("count") - DISCOUNT) / F.col("of")
-    pairs = _written(pairs.join(before, "x").join(after, "y").select("key", "x", "count", p.alias("p"), "lower"), "pair_shares")
+
+    def shares(table: DataFrame, ids) -> DataFrame:
+        """Keys join the shuffles no sooner than needed."""
+        joined = table.join(before, "x").join(after, "y").select("x", "y", "count", p.alias("p"), "lower")
+        return _with_key(joined, ids).select("key", "x", "count", "p", "lower")
+
+    pairs = _written(shares(pairs, pair_ids), "pair_shares")
     word_fail = _written(pairs.groupBy("x").agg(_fail("p", "lower").alias("fail")), "word_fail")
     before = pairs.select(F.col("key").alias("x"), F.col("count").alias("of"))
     after = pairs.select(F.col("key").alias("y"), F.col("p").alias("lower"))
-    triples = _written(triples.join(before, "x").join(after, "y").select("key", "x", "count", p.alias("p"), "lower"), "triple_shares")
+    triples = _written(shares(triples, triple_ids), "triple_shares")
+    discard(counted)
     pair_fail = _written(triples.groupBy("x").agg(_fail("p", "lower").alias("fail")), "pair_fail")
 
     own = F.log10(share)
     word_values = words.join(word_fail.withColumnRenamed("x", "key"), "key", "left").select(
         "key", "count", own.alias("base"), (own + F.coalesce("fail", F.lit(0.0))).alias("value"))
+    word_values = _written(word_values, "words")
+    discard(counts)
     # an arc takes the place of the failure arc and the lower arc
     gain = F.log10("p") - F.log10("lower") - F.col("fail")
     to = pair_fail.select(F.col("x").alias("key"), F.col("fail").alias("next"))
     pair_values = pairs.join(word_fail, "x").join(to, "key", "left").select("key", "count", (gain + F.coalesce("next", F.lit(0.0))).alias("value"))
-    triple_values = triples.join(pair_fail, "x").select("key", "count", gain.alias("value"))
-    return Automaton(tokens, kinds, _written(word_values, "words"), _written(pair_values.unionByName(triple_values), "arcs"))
+    pair_values = _written(pair_values, "pair_values")
+    discard(pairs)
+    discard(word_fail)
+    triple_values = _written(triples.join(pair_fail, "x").select("key", "count", gain.alias("value")), "triple_values")
+    discard(triples)
+    discard(pair_fail)
+    return Automaton(tokens, kinds, word_values, pair_values.unionByName(triple_values))
 
 
 def _hot_count(model: Automaton) -> float:
@@ -262,6 +282,52 @@ def _hot_count(model: Automaton) -> float:
     return least
 
 
+ASKED = "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, keys binary, places binary"
+ANSWER = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double"
+
+
+def _packed(keys: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as the byte planes of their differences that are in use, and 32-bit places beside them by planes."""
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    first, rest = keys[:1].tobytes(), steps[1:]
+    used = int(np.flatnonzero(rest.any(axis=0)).max(initial=-1)) + 1
+    beside = places.astype("<u4").view(np.uint8).reshape(-1, 4)
+    wide = int(np.flatnonzero(beside.any(axis=0)).max(initial=-1)) + 1
+    return first + rest[:, :used].T.tobytes(), beside[:, :wide].T.tobytes()
+
+
+def _unpacked(keys: bytes, places: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps, beside = np.zeros((n, 8), np.uint8), np.zeros((n, 4), np.uint8)
+    steps[0] = np.frombuffer(keys[:8], np.uint8)
+    if n > 1:
+        steps[1:, :(len(keys) - 8) // (n - 1)] = np.frombuffer(keys[8:], np.uint8).reshape(-1, n - 1).T
+    beside[:, :len(places) // n] = np.frombuffer(places, np.uint8).reshape(-1, n).T
+    return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64), beside.reshape(-1).view("<u4").astype(np.int64)
+
+
+def _answered(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Heads of texts as they are, and for each text of a block the sums of what the range holds of its n-grams."""
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+    out = [asked.filter(asked.column("keys").is_null()).select(names)]
+    keys = held.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    more = [held.column(c).to_numpy()[order] for c in ("known", "base", "value")]
+    blocks = asked.filter(asked.column("keys").is_valid())
+    if len(keys):
+        for row, n, k, places in zip(*(blocks.column(c).to_pylist() for c in ("row", "n_tokens", "keys", "places"))):
+            want, place = _unpacked(k, places, n)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[at] == want
+            at, place = at[hit], place[hit]
+            if len(at):
+                some = np.flatnonzero(np.bincount(place))
+                known, base, value = (np.bincount(place, x[at])[some] for x in more)
+                nulls = [pa.nulls(len(some), t) for t in (pa.int64(), pa.bool_(), pa.int64())]
+                out.append(pa.Table.from_arrays([pa.array(row + some), *nulls, pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)], names))
+    return pa.concat_tables(x.cast(out[0].schema) for x in out)
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
@@ -285,9 +351,24 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     shared = rows.sparkSession.sparkContext.broadcast((table(words.where(often), "base", "value"), table(arcs.where(hot), "value"), KeyFilter(joined)))
 
+    bits = max(4, (sum(t.count() for t in (words, arcs)) // RANGE_ROWS).bit_length())
+
     def traversed(batches):
         (known, bases, values), (arc, arc_values), rest = shared.value
-        number = TaskContext.get().partitionId() << 33
+        number = base = TaskContext.get().partitionId() << 33
+        waiting, size = [], 0
+
+        def blocks():
+            """One block for each range of keys that the texts from ``base`` on ask for."""
+            asked, whose = (np.concatenate(x) for x in zip(*waiting))
+            order = np.argsort(asked)
+            asked, whose = asked[order], whose[order] - base
+            cuts = np.searchsorted(asked >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            for part in np.flatnonzero(np.diff(cuts)):
+                some = slice(cuts[part], cuts[part + 1])
+                block = {"part": part, "row": base, "n_tokens": some.stop - some.start} | dict(zip(("keys", "places"), _packed(asked[some], whose[some])))
+                yield pa.RecordBatch.from_arrays([pa.array([block.get(c)], t) for c, t in zip(names, kinds)], names)
+
         for batch in batches:
             for first, end, tokens, starts in token_runs(batch.column("text")):
                 many, owner = end - first, np.repeat(np.arange(end - first), np.diff(starts))
@@ -298,27 +379,31 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 score = np.bincount(owner, values[ids], many) + np.bincount(owners, arc_values[arcs_at], many)
                 asked, whose = np.concatenate((tokens[ids < 0], keys[arcs_at < 0])), np.concatenate((owner[ids < 0], owners[arcs_at < 0]))
                 some = rest.may_hold(asked)
-                asked, whose = asked[some], whose[some]
                 heads = np.arange(number, number + many)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(heads), pa.array(heads), batch.column("doc_id").slice(first, many), batch.column("held_out").slice(first, many),
+                    pa.array((heads % (1 << bits)).astype(np.int32)), pa.array(heads), batch.column("doc_id").slice(first, many), batch.column("held_out").slice(first, many),
                     pa.array(np.diff(starts).astype(np.int64)), pa.array(np.bincount(owner[ids >= 0], minlength=many).astype(np.int64)),
-                    pa.array(np.bincount(owner, bases[ids], many).astype(float)), pa.array(score.astype(float)),
+                    pa.array(np.bincount(owner, bases[ids], many).astype(float)), pa.array(score.astype(float)), pa.nulls(many, pa.binary()), pa.nulls(many, pa.binary()),
                 ], names)
-                yield pa.RecordBatch.from_arrays([longs(asked), pa.array(number + whose), *(pa.nulls(len(asked), t) for t in kinds)], names)
+                waiting.append((asked[some], number + whose[some]))
+                size += int(some.sum())
                 number += many
-
-    names, kinds = ["key", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "value"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    form = "key long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double"
-    # one row for each text, keyed by its number, and one for each n-gram that is asked for
-    asked = rows.mapInArrow(traversed, form)
-    more = joined.select("key", F.col("known").alias("more_known"), F.col("base").alias("more_base"), F.col("value").alias("more"))
-    own = F.col("n_tokens").isNotNull()
-
-    def either(mine: str, other: str) -> Column:
-        return F.coalesce(F.sum(F.when(own, F.col(mine)).otherwise(F.col(other))), F.lit(0))
+                if size >= BUFFER:
+                    yield from blocks()
+                    waiting, size, base = [], 0, number
+        if size:
+            yield from blocks()
+
+    names = [f.split()[0] for f in ASKED.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[f.split()[1]] for f in ASKED.split(", ")]
+    # one row for each text, keyed by its number, and blocks of the n-grams that texts ask for; each range of keys answers
+    asked = rows.mapInArrow(traversed, ASKED)
+    more = joined.withColumn("part", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    answers = asked.groupBy("part").cogroup(more.groupBy("part")).applyInArrow(_answered, ANSWER)
+    def both(column: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
 
     plain = F.max("n_tokens") * F.lit(floor)
-    return asked.join(more, "key", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), either("n_known", "more_known").cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (either("base", "more_base") + plain).alias("base_score"), (either("value", "more") + plain).alias("score")).drop("row")
+    return answers.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), both("n_known").cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (both("base") + plain).alias("base_score"), (both("value") + plain).alias("score")).drop("row")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,3 +50,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/fieldframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote and that no plan reads any more; no other folder is touched."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if re.fullmatch(r".*/fieldframe/\w+-[0-9a-f]{32}", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

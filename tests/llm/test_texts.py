@@ -11,6 +11,7 @@ import plain
 import pytest
 
 from fieldframe.llm import backoff, density, mixing, pii, toxicity
+from fieldframe.session import checkpoint_root
 
 TEXTS = [None, "", " ", "write to a.b+c@mail-1.example.com, or +1 (377) 555-0271.", "4929348385146306 and 4417 7442 8035 1547 or 0000-0000-0000-00",
          "at 10.0.0.1 or 256.1.1.1, 1.2.3.4.5", "x@y.z@w.v a@b.c_d@e.f @x.y", "+1+1 (171) 555-2028 +12 34", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0", "a" * 3000 + "@" + "b" * 3000,
@@ -307,3 +308,21 @@ def test_block_max_index_of_counts_is_small_and_exact():
         best = np.sort(want[want > 0])[::-1][:15]
         assert np.allclose(cosines, best, rtol=1e-9, atol=0) and len(set(places.tolist())) == len(best)
         assert np.allclose(want[index.ids[places]], best, rtol=1e-9, atol=0)
+
+
+def test_packed_blocks_of_keys():
+    draw = np.random.default_rng(5)
+    for n, low, high, places in ((1, 0, 2**63, 1), (1, 0, 1, 1), (5, 7, 8, 1), (4000, 0, 2**63, 90_000), (4000, 2**62, 2**62 + 9000, 200)):
+        keys, at = np.sort(draw.integers(low, high, n).astype(np.uint64)), draw.integers(0, places, n)
+        packed = backoff._packed(keys, at)
+        back, there = backoff._unpacked(*packed, n)
+        assert np.array_equal(back, keys) and np.array_equal(there, at)
+    assert len(packed[0]) + len(packed[1]) <= 8 + 3 * n
+
+
+def test_automaton_keeps_only_its_values_on_disk(spark, small):
+    """Counts and shares of n-grams are deleted once the values that texts look up are written."""
+    folder = f"{checkpoint_root(spark)}/fieldframe"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    backoff.score_texts(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")).count()
+    assert {f.rpartition("-")[0] for f in set(os.listdir(folder)) - before} == {"words", "pair_values", "triple_values"}
