@@ -26,8 +26,9 @@ from fieldframe.llm.batches import longs
 from fieldframe.llm.words import BASE, STEPS, mix, text_slices, word_hashes
 from fieldframe.session import discard, materialize
 
-WORD_SHARE = 2.5e-7  # of all tokens: words that are broadcast, at most 4 million; the others are joined
-HOT_ARCS = 1 << 21  # most pairs and triples that are broadcast; the others are joined
+# a table that is broadcast lies on the disks of the driver and of every executor, so it is kept small
+WORD_SHARE = 2e-6  # of all tokens: words that are broadcast, at most 500,000; the others are joined
+HOT_ARCS = 1 << 19  # most pairs and triples that are broadcast; the others are joined
 ARC_SHARE = 0.0  # of all tokens that an arc must have; 0: two occurrences at any size of the corpus
 FILTER_WORDS = 1 << 21  # 64-bit words of a bit filter
 DISCOUNT = 0.75
@@ -46,9 +47,9 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         mixed = mix(keys.astype(np.uint64))
-        self.order = np.argsort(mixed)
+        self.order = np.argsort(mixed).astype(np.int32)
         self.sorted = mixed[self.order]
-        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, len(keys).bit_length()))
         slots = (self.sorted >> self.shift).astype(np.int64)
         self.first = np.searchsorted(slots, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
 
@@ -229,6 +230,7 @@ def fit(texts: DataFrame) -> Automaton:
         return _buffered(batches, part)
 
     counted = triples = _written(total(long, "count >= 2").where(seen), "triples")
+    known_pairs.destroy()
 
     # smoothing: one added to word counts; pairs and triples discounted
     share = (F.col("count") + 1) / float(tokens + kinds + 1)
