@@ -32,7 +32,7 @@ FAN = 8
 CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
 FILTER_BITS = 1 << 23
 SPARE_PERCENT = 6
-PAIRED = 128  # most classes of one segment hash whose pairs are counted
+PAIRED = 32  # most classes of one segment hash whose pairs are counted
 SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
