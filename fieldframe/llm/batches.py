@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,3 +57,12 @@ def doubles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     matrix = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), width)
     good = np.isfinite(matrix).all(axis=1) & (matrix != 0).any(axis=1)
     return matrix[good], rows[good]
+
+
+def trim() -> None:
+    """Give memory that earlier tasks of this worker left free back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)

@@ -7,13 +7,12 @@ come from the tokenizers library and are kept per worker. Texts for which such c
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 
 import numpy as np
-import pyarrow as pa
+
+from fieldframe.llm.batches import trim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -133,12 +132,3 @@ def forget() -> None:
     """Let go of the worker's encoders and what they keep; the next use makes them anew."""
     _encoders.clear()
     trim()
-
-
-def trim() -> None:
-    """Give memory that earlier tasks of this worker left free back to the system, where its C library can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if give is not None:
-        give(0)

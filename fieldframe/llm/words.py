@@ -30,6 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    back = [np.uint64(pow(int(step), -1, 1 << 64)) for step in STEPS[:2]]
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * back[1]
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * back[0]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def powers(n: int) -> np.ndarray:
     """At least n powers of BASE modulo 2**64."""
     global _powers
