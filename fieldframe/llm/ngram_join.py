@@ -6,8 +6,9 @@ shingles, so a linked pair agrees on a whole segment, and with some spare segmen
 of classes that share as many segment hashes as a linked pair must, and whose sizes and parity
 sketches do not rule a link out, fall into one block. In a hot hash, one of more than ``PAIRED``
 classes, pairs are not counted: a pair needs as many hashes less as its classes have hot ones, and
-only classes with so many hot ones that a pair may share no other meet by those, the rarest of them. (3) A block's classes form signature trees, whose nodes hold OR-combined token bitmaps
-and size ranges; a dual traversal drops node pairs whose largest possible overlap is too small, and
+only classes with so many hot ones that a pair may share no other meet by those, the rarest of them,
+and are linked there if sizes and sketches allow it. (3) A block's classes form signature trees,
+whose nodes hold OR-combined token bitmaps and size ranges; a dual traversal drops node pairs whose largest possible overlap is too small, and
 the sets of the surviving leaves are compared exactly. A block over the size limit is dealt out in
 chunks: neighbouring chunks first, then only what is not yet in the block's main component is
 compared with the rest, so links that only repeat a known connection are not computed.
@@ -33,6 +34,8 @@ CHUNK_SETS, CHUNK_TOKENS = 1024, 1 << 20
 FILTER_BITS = 1 << 23
 SPARE_PERCENT = 6
 PAIRED = 32  # most classes of one segment hash whose pairs are counted
+HOT_CHUNK = 8192  # classes of one hot hash that meet in one task
+MET = 1 << 18  # pairs of classes whose sketches are compared at once
 SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
@@ -314,6 +317,53 @@ def _written(table: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _able(u, v, percent: int):
+    """Whether sizes and sketches of two classes allow a link; ``u`` and ``v`` give the columns of either by name."""
+    near = percent * F.greatest(u("n"), v("n")) <= 100 * F.least(u("n"), v("n"))
+    differ = sum(F.bit_count(u(c).bitwiseXOR(v(c))).cast("long") for c in SKETCH)
+    return near & ((100 + percent) * differ <= (100 - percent) * (u("n") + v("n")))
+
+
+def _met(percent: int):
+    """Links (u, v) that connect what sizes and sketches let the ``rest`` of a task's classes link with all of them."""
+    def of(batches):
+        for part in runs(batches, "task"):
+            cls, n = part.column("cls").to_numpy(), part.column("n").to_numpy()
+            sketch = np.stack([part.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
+            u = v = np.zeros(0, np.int64)
+            rest = np.flatnonzero(part.column("rest").to_numpy())
+            for rows in np.array_split(rest, -(-len(rest) * len(cls) // MET)):
+                a, b = np.nonzero(percent * np.maximum.outer(n[rows], n) <= 100 * np.minimum.outer(n[rows], n))
+                a = rows[a]
+                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                able = ((100 + percent) * differ <= (100 - percent) * (n[a] + n[b])) & (a != b)
+                if able.any():
+                    u, v = spanning(np.concatenate((u, cls[a[able]])), np.concatenate((v, cls[b[able]])))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    return of
+
+
+def _hot_links(kept: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect the classes of each hash whose sizes and sketches allow a link; of (seg, cls, n, sketch).
+
+    The first class of a hash takes all that it may link with; only what it leaves meets all others.
+    """
+    kept = materialize(kept, "kept")
+    first = kept.groupBy("seg").agg(F.min(F.struct("cls", "n", *SKETCH)).alias("v"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    near = kept.join(first, "seg").withColumn("rest", ~_able(F.col, lambda c: F.col(f"v.{c}"), percent))
+    left = near.where("rest").groupBy("seg").agg(F.ceil(F.count(F.lit(1)) / HOT_CHUNK).alias("parts"))
+    to = F.xxhash64("cls")
+    chunks = F.ceil(F.col("many") / HOT_CHUNK)
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_all = F.transform(numbers(F.col("parts")), lambda p: F.struct(p.alias("part"), F.pmod(to, chunks).alias("chunk")))
+    as_rest = F.transform(numbers(chunks), lambda c: F.struct(F.pmod(to, F.col("parts")).alias("part"), c.alias("chunk")))
+    tasks = F.when(F.col("rest"), F.array_union(as_rest, as_all)).otherwise(as_all)
+    dealt = near.join(left, "seg").withColumn("at", F.explode(tasks)).select(F.xxhash64("seg", "at.part", "at.chunk").alias("task"), "cls", "n", "rest", *SKETCH)
+    more = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_met(percent), "u long, v long")
+    return near.where("not rest").select(F.col("cls").alias("u"), F.col("v.cls").alias("v")).union(more).where("u <> v")
+
+
 def _candidates(counted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that connect every linked pair of ``counted`` (u, v, shared, least; least below 0: v is a hot hash of u)."""
     hot = counted.where("least < 0").select(F.col("u").alias("cls"), F.col("v").alias("seg"), (-1 - F.col("least")).alias("needed"))
@@ -324,17 +374,14 @@ def _candidates(counted: DataFrame, classes: DataFrame, percent: int) -> DataFra
         pairs = pairs.join(sides.select(F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "hot", *SKETCH))), side)
     # of the hashes that a linked pair shares at most as many are hot as the one with fewer has
     enough = F.col("shared") >= F.col("least") - F.least("u_hot", "v_hot")
-    near = percent * F.greatest("u_n", "v_n") <= 100 * F.least("u_n", "v_n")
-    differ = sum(F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))).cast("long") for c in SKETCH)
-    able = (100 + percent) * differ <= (100 - percent) * (F.col("u_n") + F.col("v_n"))
+    able = _able(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"), percent)
     # pairs that may share hot hashes only: both have as many as they need, and of those in one order (the hashes
     # with fewest classes first) they share one that is not among the last needed - 1 of either
     order = Window.partitionBy("cls").orderBy("size", "seg")
     sizes = hot.groupBy("seg").agg(F.count(F.lit(1)).alias("size"))
     heavy = hot.select("cls", "seg").join(of.where("hot >= needed"), "cls").join(sizes, "seg").withColumn("at", F.row_number().over(order))
-    kept = heavy.where("at <= hot - needed + 1").select("cls", "seg")
-    star = kept.join(kept.groupBy("seg").agg(F.min("cls").alias("v")), "seg").where("cls <> v").select(F.col("cls").alias("u"), "v")
-    return pairs.where(enough & near & able).select("u", "v").union(star.distinct())
+    kept = heavy.where("at <= hot - needed + 1").select("cls", "seg").join(sides.select("cls", "n", *SKETCH), "cls")
+    return pairs.where(enough & able).select("u", "v").union(_hot_links(kept, percent).distinct())
 
 
 def similar_classes(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -86,3 +86,47 @@ def test_sketches_never_differ_more_than_their_sets():
         common, a, b = (words.mix(draw.integers(0, 2**63, k).astype(np.uint64)) for k in (50, n, n // 2))
         x, y = (ngram_join.parity_sketch(np.union1d(common, s)) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_classes_of_a_hot_hash_meet_as_sizes_and_sketches_allow(monkeypatch):
+    monkeypatch.setattr(ngram_join, "MET", 50)
+    draw = np.random.default_rng(5)
+    base = [words.mix(draw.integers(0, 2**63, k).astype(np.uint64)) for k in (40, 60, 60, 200)]
+    sets = [np.unique(np.concatenate((b[int(draw.integers(0, 4)):], words.mix(draw.integers(0, 2**63, 2).astype(np.uint64))))) for b in base for _ in range(10)]
+    rest = draw.random(len(sets)) < 0.5
+    sketches = np.array([ngram_join.parity_sketch(s) for s in sets])
+    columns = {"task": pa.array([i % 2 for i in range(40)]), "cls": pa.array(range(40), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "rest": pa.array(rest)}
+    table = pa.table(columns | {c: pa.array(x.view(np.int64)) for c, x in zip(ngram_join.SKETCH, np.ascontiguousarray(sketches.T))}).sort_by("task")
+    found = [(r["u"], r["v"]) for b in ngram_join._met(80)(table.to_batches(7)) for r in b.to_pylist()]
+    want = [(i, j) for i in range(40) for j in range(40) if i != j and i % 2 == j % 2 and (rest[i] or rest[j])
+            and 80 * max(len(sets[i]), len(sets[j])) <= 100 * min(len(sets[i]), len(sets[j]))
+            and 180 * np.bitwise_count(sketches[i] ^ sketches[j]).sum() <= 20 * (len(sets[i]) + len(sets[j]))]
+    assert plain.components(range(40), found) == plain.components(range(40), want)
+    assert len(want) < 40 * 39 // 2
+
+
+def test_unlike_texts_of_hot_hashes_only_make_no_common_block(spark, monkeypatch):
+    """Texts of common passages, of which nearly every hash is hot; blocks of them grew faster than a corpus."""
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    draw = random.Random(11)
+    fixed = [" ".join(f"p{i}w{k}" for k in range(14)) for i in range(12)]
+    texts = [" ".join(draw.sample(fixed, 3)) for _ in range(150)]
+    copies = [f"{t} end" for t in texts[:20]]
+    sizes = []
+    grouped = ngram_join._bit_filter
+    monkeypatch.setattr(ngram_join, "_bit_filter", lambda blocks: sizes.append(blocks.count()) or grouped(blocks))
+    rows = list(enumerate(texts + copies))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, 5, 80).collect()}
+    assert got == plain.jaccard_components(rows, 5, 80)
+    assert sizes[0] < len(rows) // 2
+
+
+@pytest.mark.parametrize("chunk", [8192, 2])
+def test_join_of_hot_hashes_dealt_out_equals_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)
+    monkeypatch.setattr(ngram_join, "HOT_CHUNK", chunk)
+    rows = list(enumerate(made_texts(400) + passages(40)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs, 3, 90).collect()}
+    assert got == plain.jaccard_components(rows, 3, 90)
