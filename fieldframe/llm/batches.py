@@ -32,6 +32,24 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys in batches in ascending order of a key without nulls: the runs that end in a batch together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if held and (last or held[0].column(key)[0].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def longs(values: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

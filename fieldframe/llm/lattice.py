@@ -9,13 +9,15 @@ step writes all pairs. Equal vectors are one member with their number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.llm.batches import common_width, doubles, runs
-from fieldframe.llm.graph import components
+from fieldframe.llm.batches import common_width, doubles, whole_runs
+from fieldframe.llm.graph import components, spanning
 from fieldframe.llm.words import STEPS, mix
 from fieldframe.session import materialize
 
@@ -23,6 +25,8 @@ TABLES = 10
 PROBES = 3
 SCALE = 0.16  # length of the lattice's unit in the projected space of unit vectors
 CHUNK = 1024
+COSINES = 1 << 20  # entries of the products made at once
+PAIRS = 1 << 16  # linked pairs whose codes are compared at once
 SEED = 10
 
 
@@ -67,16 +71,39 @@ def cell_codes(unit: np.ndarray, labels: np.ndarray, projections: list[np.ndarra
     return np.concatenate(out, axis=1)
 
 
-def _spanning(near: np.ndarray) -> np.ndarray:
-    """For every position the smallest one that it reaches in a symmetric boolean matrix."""
-    label = np.arange(len(near))
-    while True:
-        reach = np.where(near, label[None, :], len(label)).min(axis=1, initial=len(label))
-        new = np.minimum(label, reach)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
+def unit_vectors(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def close_pairs(unit: np.ndarray, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a < b) of unit vectors with cosine >= ``least``, inside each of the consecutive groups of ``sizes`` rows; groups of equal size at once."""
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 1]):
+        first = starts[sizes == size]
+        upper = np.triu(np.ones((size, size), bool), 1)
+        for some in np.array_split(first, -(-len(first) * size * size // COSINES)):
+            rows = some[:, None] + np.arange(size)
+            x = unit[rows]
+            cosines = x @ x.transpose(0, 2, 1)
+            # rounding of the product must not decide: what lies at the threshold is measured one by one
+            for g, i, j in zip(*np.nonzero((np.abs(cosines - least) < 1e-12) & upper)):
+                cosines[g, i, j] = float(np.dot(x[g, i], x[g, j]))
+            g, i, j = np.nonzero((cosines >= least) & upper)
+            if len(g):
+                yield rows[g, i], rows[g, j]
+
+
+def met_before(codes: np.ndarray, a: np.ndarray, b: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Whether the rows a and b of ``codes`` (sorted in each row) have one in common that is below ``code``, for each pair."""
+    met = np.zeros(len(a), bool)
+    for start in range(0, len(a), PAIRS):
+        left = np.arange(start, min(start + PAIRS, len(a)))
+        for kth in codes.T:
+            left = left[kth[a[left]] < code[left]]
+            same = (codes[b[left]] == kth[a[left]][:, None]).any(axis=1)
+            met[left[same]] = True
+            left = left[~same]
+    return met
 
 
 def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -99,14 +126,14 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         for batch in batches:
             matrix, at = doubles(batch.column("embedding"), width)
             if len(at):
-                unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
                 picked = pa.array(at)
-                codes = np.sort(cell_codes(unit, batch.column("label").to_numpy()[at], projections).view(np.int64), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("cls").take(picked), batch.column("copies").take(picked),
-                                                  pa.array(list(codes), pa.list_(pa.int64())), pa.array([x.tobytes() for x in unit], pa.binary())],
-                                                 ["cls", "copies", "codes", "v"])
+                codes = np.sort(cell_codes(unit_vectors(matrix), batch.column("label").to_numpy()[at], projections).view(np.int64), axis=1)
+                lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * codes.shape[1], codes.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("cls").take(picked), batch.column("copies").take(picked), lists, batch.column("embedding").take(picked)],
+                                                 ["cls", "copies", "codes", "embedding"])
 
-    files = materialize(same.mapInArrow(filed, "cls long, copies long, codes array<long>, v binary"), "cells")
+    kind = same.schema["embedding"].dataType.simpleString()
+    files = materialize(same.mapInArrow(filed, f"cls long, copies long, codes array<long>, embedding {kind}"), "cells")
     filed_under = files.select("cls", F.explode(F.array_distinct("codes")).alias("code"))
     shared = filed_under.groupBy("code").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     chunks = F.ceil(F.col("many") / CHUNK)
@@ -118,36 +145,24 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     met = dealt.join(files, "cls").repartition("task").sortWithinPartitions("task")
 
     def compared(batches):
-        for part in runs(batches, "task"):
-            ids, code = part.column("cls").to_numpy(), part.column("code")[0].as_py()
-            unit = np.frombuffer(b"".join(part.column("v").to_pylist())).reshape(len(ids), -1)
-            near = unit @ unit.T
-            # rounding of the product must not decide: what lies at the threshold is measured one by one
-            for i, j in zip(*np.nonzero(np.abs(near - least) < 1e-12)):
-                near[i, j] = float(np.dot(unit[i], unit[j]))
-            near = near >= least
-            np.fill_diagonal(near, False)
-            if not part.column("alone")[0].as_py():
-                first = part.column("first").to_numpy()
-                near &= first[:, None] != first[None, :]
-            if near.any():
-                lists = part.column("codes").combine_chunks()
-                lengths = np.diff(lists.offsets.to_numpy())
-                flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lengths)
-                earlier = flat < code
-                if earlier.any():
-                    names, place = np.unique(flat[earlier], return_inverse=True)
-                    for k in range(0, len(names), 4096):
-                        inside = (place >= k) & (place < k + 4096)
-                        sheet = np.zeros((len(ids), min(4096, len(names) - k)), np.float32)
-                        sheet[owner[earlier][inside], place[inside] - k] = 1
-                        near &= (sheet @ sheet.T) == 0
-                links = near @ part.column("copies").to_numpy()
-                label = _spanning(near)
-                on = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on].astype(np.int64)), pa.array(ids[label[on]])], ["cls", "links", "to"])
-
-    found = materialize(met.select("task", "cls", "code", "first", "alone", "copies", "codes", "v").mapInArrow(compared, "cls long, links long, to long"), "near")
+        for part in whole_runs(batches, "task"):
+            matrix, _ = doubles(part.column("embedding"), width)
+            ids, copies, code, first, alone, task = (part.column(c).to_numpy() for c in ("cls", "copies", "code", "first", "alone", "task"))
+            codes = part.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            sizes = np.diff(np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1]))), append=len(task))
+            for a, b in close_pairs(unit_vectors(matrix), sizes, least):
+                counts = alone[a] | (first[a] != first[b])
+                a, b = a[counts], b[counts]
+                counts = ~met_before(codes, a, b, code[a])
+                a, b = a[counts], b[counts]
+                if len(a):
+                    rows, to = spanning(a, b)
+                    links = np.zeros(len(ids), np.int64)
+                    np.add.at(links, a, copies[b])
+                    np.add.at(links, b, copies[a])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(links[rows]), pa.array(ids[to])], ["cls", "links", "to"])
+
+    found = materialize(met.select("task", "cls", "code", "first", "alone", "copies", "codes", "embedding").mapInArrow(compared, "cls long, links long, to long"), "near")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "cls")
     known = files.select("cls", "copies").join(links, "cls", "left").join(roots, "cls", "left").select(

@@ -7,7 +7,7 @@ import plain
 import pyarrow as pa
 import pytest
 
-from fieldframe.llm import curves, graph, lattice, ngram_join, words
+from fieldframe.llm import batches, curves, graph, lattice, ngram_join, words
 
 
 def test_word_hashes_split_like_the_pattern():
@@ -127,6 +127,32 @@ def test_lattice_links_equal_all_pairs(spark, monkeypatch, chunk):
     assert got == sorted((rows[k][0], count[k], least[root[k]], rows[k][0] == least[root[k]]) for k in range(len(rows)))
 
 
+def test_close_pairs_of_many_cells_equal_single_ones(monkeypatch):
+    monkeypatch.setattr(lattice, "COSINES", 40)
+    monkeypatch.setattr(lattice, "PAIRS", 3)
+    draw = np.random.default_rng(6)
+    sizes = np.array([2, 1, 5, 2, 3, 9, 2, 1, 3])
+    unit = lattice.unit_vectors(draw.normal(size=(4, 8))[draw.integers(0, 4, sizes.sum())] + draw.normal(size=(sizes.sum(), 8)) * 0.05)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    found = [(a, b) for x, y in lattice.close_pairs(unit, sizes, 0.98) for a, b in zip(x.tolist(), y.tolist())]
+    want = [(a, b) for a in range(len(unit)) for b in range(a + 1, len(unit)) if cell[a] == cell[b] and unit[a] @ unit[b] >= 0.98]
+    assert sorted(found) == want and 3 < len(want) < sizes.sum()
+    codes = np.sort(draw.integers(0, 30, (len(unit), 6)), axis=1)
+    a, b = np.array(want).T
+    limit = draw.integers(0, 30, len(want))
+    met = [any(c < k for c in set(codes[x]) & set(codes[y])) for x, y, k in zip(a, b, limit)]
+    assert lattice.met_before(codes, a, b, limit).tolist() == met and any(met) and not all(met)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 4, 100])
+def test_whole_runs(batch):
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, 7, 8, 8]
+    table = pa.table({"k": keys, "x": range(len(keys))})
+    parts = [p.column("k").to_pylist() for p in batches.whole_runs(iter(table.to_batches(batch)), "k")]
+    assert sum(parts, []) == keys
+    assert all(not set(a) & set(b) for a, b in zip(parts, parts[1:]))
+
+
 def test_lattice_of_no_rows(spark):
     assert lattice.near_copies(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
