@@ -110,6 +110,21 @@ def made_vectors():
     return rows
 
 
+def test_a_vector_comes_once_to_a_table(spark):
+    """Before, it was dealt out with every cell that it shared."""
+    codes = list(range(lattice.TABLES * lattice.PROBES))
+    files = spark.createDataFrame([(0, k, 1, codes, [1.0, 0.0]) for k in range(5)], "label long, cls long, copies long, codes array<long>, embedding array<float>")
+    got = lattice._dealt(files, None).groupBy("cls", "task").count().collect()
+    assert len(got) == 5 * lattice.TABLES and {r["count"] for r in got} == {1}
+
+
+@pytest.mark.parametrize("rows", [75_000, 20])
+@pytest.mark.parametrize("chunk", [1024, 2])
+def test_lattice_of_parts_equals_all_pairs(spark, monkeypatch, chunk, rows):
+    monkeypatch.setattr(lattice, "TASK_ROWS", rows)
+    test_lattice_links_equal_all_pairs(spark, monkeypatch, chunk)
+
+
 @pytest.mark.parametrize("chunk", [1024, 2])
 def test_lattice_links_equal_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(lattice, "CHUNK", chunk)
@@ -134,7 +149,11 @@ def test_close_pairs_of_many_cells_equal_single_ones(monkeypatch):
     sizes = np.array([2, 1, 5, 2, 3, 9, 2, 1, 3])
     unit = lattice.unit_vectors(draw.normal(size=(4, 8))[draw.integers(0, 4, sizes.sum())] + draw.normal(size=(sizes.sum(), 8)) * 0.05)
     cell = np.repeat(np.arange(len(sizes)), sizes)
-    found = [(a, b) for x, y in lattice.close_pairs(unit, sizes, 0.98) for a, b in zip(x.tolist(), y.tolist())]
+    rows, found = draw.permutation(len(unit)), []
+    place = np.argsort(rows)
+    for x, y, at in lattice.close_pairs(unit[place], rows, sizes, 0.98):
+        assert ((np.cumsum(sizes) - sizes)[cell[place[x]]] == at).all()
+        found += zip(place[x].tolist(), place[y].tolist())
     want = [(a, b) for a in range(len(unit)) for b in range(a + 1, len(unit)) if cell[a] == cell[b] and unit[a] @ unit[b] >= 0.98]
     assert sorted(found) == want and 3 < len(want) < sizes.sum()
     codes = np.sort(draw.integers(0, 30, (len(unit), 6)), axis=1)
